@@ -6,7 +6,8 @@ from checks.views import (
     CYCLICAL_SQL, DATE_PARTS_SQL, SEQUENCE_COLUMNS, Tables, band, sql,
 )
 from tillcast.functions import calendar, demand, intervals, keys
-from tillcast.operators import fill, facts, lookups, prep, split, windows
+from tillcast.operators import facts, fill, lookups, prep, split, windows
+from tillcast.session import materialize
 
 LAG_COLUMNS = [c for c in SEQUENCE_COLUMNS if "lag" in c]
 ROLLING_COLUMNS = [c for c in SEQUENCE_COLUMNS if "rolling" in c]
@@ -42,7 +43,8 @@ def feat_lag(t: Tables):
 
 def feat_lag_ungrouped(t: Tables):
     """One sequence over all stores, cut into overlapping blocks."""
-    return windows.lag_features(daily_keys(t), order_cols=["date", "store_id"], block_rows=5000)
+    daily = t.daily_stage.select("date", "store_id", "sales")
+    return windows.lag_features(daily, order_cols=["date", "store_id"], block_rows=5000)
 
 
 def feat_rolling(t: Tables):
@@ -55,10 +57,10 @@ def feat_rolling(t: Tables):
 
 def feat_rolling_blocks(t: Tables):
     """The same columns, with every store cut into blocks of rows."""
-    made = windows.rolling_features(
-        t.money_daily.select("date", "store_id", "sales"), group_cols=["store_id"],
-        block_rows=2000,
+    daily = t.daily_stage.select(
+        "date", "store_id", F.col("sales").cast(facts.MONEY).alias("sales")
     )
+    made = windows.rolling_features(daily, group_cols=["store_id"], block_rows=2000)
     money = [f.name for f in made.schema.fields if f.dataType.typeName() == "decimal"]
     return round_features(made.withColumns({c: F.col(c).cast("double") for c in money}))
 
@@ -70,7 +72,7 @@ def fill_group(t: Tables):
 
 def fill_global(t: Tables):
     made = windows.lag_features(daily_keys(t), group_cols=["store_id"])
-    return fill.fill_sequences(made, scope="global")
+    return fill.fill_sequences(materialize(made, "lags"), scope="global")
 
 
 def all_features_global(t: Tables):
@@ -83,7 +85,7 @@ def all_features_global(t: Tables):
     money = [f.name for f in made.schema.fields if f.dataType.typeName() == "decimal"]
     return round_features(made.withColumns({c: F.col(c).cast("double") for c in money})).select(
         "date", "store_id", "sales", "has_promotion", *LAG_COLUMNS,
-        *[c for c in ROLLING_COLUMNS if "_3_" in c and "_30_" not in c],
+        *[c for c in SHORT_COLUMNS if c not in LAG_COLUMNS],
     )
 
 
@@ -298,7 +300,7 @@ SCALED = ["sales", "customer_traffic", "quantity_sold"]
 
 
 def scale_standard(t: Tables):
-    labelled = split.split_chrono(t.store_day)
+    labelled = split.split_chrono(t.store_day_stage)
     params = prep.scale_fit(labelled.filter(F.col("split") == "train"), SCALED)
     return prep.scale_apply(labelled, params, SCALED).select(
         "date", "store_id", "split", *[F.round(c, 5).alias(c) for c in SCALED]
@@ -310,6 +312,17 @@ _SCALE_SQL = ", ".join(
 )
 _SCALE_FIT = ", ".join(f"avg({c}) as {c}_m, stddev_pop({c}) as {c}_s" for c in SCALED)
 
+SHORT_COLUMNS = LAG_COLUMNS + [c for c in ROLLING_COLUMNS if "_rolling_3_" in c]
+
+
+def _global_sql() -> list[str]:
+    out = []
+    for c in SHORT_COLUMNS:
+        text = f"coalesce(last_value({c} ignore nulls) over up, first_value({c} ignore nulls) over whole)"
+        out.append(f"round({text}, 2) as {c}" if c.endswith("_std") else f"{text} as {c}")
+    return out
+
+
 QUERIES = {
     "feat_date": (
         lambda t: lookups.lookup_holiday(t.daily.withColumns(calendar.date_parts()), t.holidays),
@@ -360,6 +373,12 @@ QUERIES = {
         lambda t: t.daily.orderBy("store_id", "date"),
         sql("select * from {daily} order by store_id, date")),
     "all_features": (lambda t: round_features(t.features), sql(FEATURES_SQL)),
+    "all_features_global": (all_features_global, sql(f"""select date, store_id, sales,
+        coalesce(cast(has_promotion as int), 0) as has_promotion, {', '.join(_global_sql())}
+        from {{sequenced}}
+        window up as (order by store_id, date rows between unbounded preceding and current row),
+        whole as (order by store_id, date
+                  rows between unbounded preceding and unbounded following)""")),
     "seasonality_factor": (seasonality_factor, sql(f"""select date, product_id,
         round({SEASON_SQL}, 9) as seasonality_factor from (select distinct date, product_id,
         date in (select date from {{holidays}}) as is_holiday from {{sales}})

@@ -137,7 +137,7 @@ def dist_shift(t: Tables):
 
 
 def pred_extremes(t: Tables):
-    made = diagnose.pred_extremes(t.predictions)
+    made = diagnose.pred_extremes(t.prediction_stage)
     return rounded(made, ["pred_mean", "pred_std", "residual_mean", "residual_std", "mape"])
 
 
@@ -145,7 +145,7 @@ LEAKY = ["quantity_sold", "profit", "has_promotion", "customer_traffic"]
 
 
 def leakage_corr(t: Tables):
-    train = split_chrono(t.store_day).filter(F.col("split") == "train")
+    train = split_chrono(t.store_day_stage).filter(F.col("split") == "train")
     return rounded(diagnose.leakage_corr(train, LEAKY, "sales"), ["corr"], 6)
 
 
@@ -156,8 +156,8 @@ def zero_target(t: Tables):
 
 
 def diagnosis_report(t: Tables):
-    data = split_chrono(t.store_day)
-    made = diagnose.diagnosis_report(data, t.predictions, "sales", LEAKY)
+    data = split_chrono(t.store_day_stage)
+    made = diagnose.diagnosis_report(data, t.prediction_stage, "sales", LEAKY)
     return rounded(made, ["value"], 5)
 
 
@@ -188,7 +188,7 @@ def prefixed(t: Tables):
 
 
 def report_residuals(t: Tables):
-    return report.residual_table(t.predictions)
+    return report.residual_table(t.prediction_stage)
 
 
 def report_boxplot(t: Tables):

@@ -11,6 +11,7 @@ from tillcast.operators import evaluate, facts, registry, split, windows
 from tillcast.plans.daily import daily_store_sales
 from tillcast.plans.features import all_features
 from tillcast.functions import calendar
+from tillcast.session import materialize
 
 HOLIDAY_CODES = [101, 430, 501, 902]  # fixed values: month * 100 + day
 SEASONS = ["holiday", "summer", "winter", "back_to_school", "fitness", "spring", "all_year"]
@@ -21,7 +22,11 @@ def month_day(date):
 
 
 class Tables:
-    """The views of one scale-factor folder. Nothing is cached; every view is a plan."""
+    """The views of one scale-factor folder.
+
+    A view is a plan. The daily table and the predictions also exist as stored stages, written
+    anew for each query, for operators that read their input more than once.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
@@ -137,6 +142,18 @@ class Tables:
     def daily(self) -> DataFrame:
         return daily_store_sales(self.sales, self.promotions, self.customer_traffic)
 
+    @cached_property
+    def daily_stage(self) -> DataFrame:
+        return materialize(self.daily, "daily")
+
+    @cached_property
+    def store_day_stage(self) -> DataFrame:
+        return materialize(self.store_day, "store-day")
+
+    @cached_property
+    def prediction_stage(self) -> DataFrame:
+        return materialize(self.predictions, "predictions")
+
     @cached_property
     def money_daily(self) -> DataFrame:
         """Daily table with decimal sales, so that window sums are exact."""
@@ -144,7 +161,7 @@ class Tables:
 
     @cached_property
     def daily_split(self) -> DataFrame:
-        return split.split_chrono(self.daily)
+        return split.split_chrono(self.daily_stage)
 
     @cached_property
     def features(self) -> DataFrame:
@@ -169,6 +186,7 @@ class Tables:
                          F.col("sales_rolling_3_mean").alias("prediction")),
             )),
         )
+        single = materialize(single, "single")
         both = evaluate.ensemble_predict(single, None, ("date", "store_id", "actual"))
         return single.unionByName(both.withColumn("model", F.lit("ensemble")))
 

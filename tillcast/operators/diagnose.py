@@ -150,7 +150,10 @@ def diagnosis_report(
     feature_cols: list[str],
     split_col: str = "split",
 ) -> DataFrame:
-    """All checks as (check, subject, value, flagged, message)."""
+    """All checks as (check, subject, value, flagged, message).
+
+    Every check reads its input again, so pass stored tables.
+    """
 
     def rows(df, check, subject, value, flagged, message):
         return df.select(

@@ -2,7 +2,8 @@
 
 A table is cut into ranges of its sort key. The cut points are a fixed number of keys, so what
 is broadcast (cut points, one summary row per range) has a size that does not depend on the
-data. Results never depend on which keys were drawn, only the balance of the ranges does.
+data. The cut points and the row counts are read from the keys before the rows are, so pass a
+stored table (``session.materialize``) rather than a long plan. Results never depend on which keys were drawn, only the balance of the ranges does.
 """
 
 from __future__ import annotations

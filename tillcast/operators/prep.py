@@ -8,6 +8,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tillcast.operators import ordering
+from tillcast.session import materialize
 
 
 def feature_columns(df: DataFrame, target: str, exclude: list[str] | None = None) -> list[str]:
@@ -22,10 +23,14 @@ def text_columns(df: DataFrame, columns: list[str]) -> list[str]:
 
 
 def encode_fit(train: DataFrame, columns: list[str]) -> DataFrame:
-    """Codes by sorted label, as (column, label, code). Any number of labels."""
+    """Codes by sorted label, as (column, label, code). Any number of labels.
+
+    The distinct labels are written once, since numbering reads them several times.
+    """
     tables = []
     for name in columns:
         labels = train.select(F.col(name).cast("string").alias("label")).distinct().dropna()
+        labels = materialize(labels, "labels")
         tables.append(
             ordering.with_position(labels, ["label"], "code").select(
                 F.lit(name).alias("column"), "label", F.col("code").cast("int").alias("code")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tillcast.functions.intervals import interval
 from tillcast.operators import ordering
@@ -118,8 +118,10 @@ def normal_quantile(p: Column) -> Column:
 def qq_table(residuals: DataFrame, keys: list[str], value: str = "residual", group: str = "model") -> DataFrame:
     """Sample quantiles against normal quantiles, ordered without collecting a model in a task."""
     placed = ordering.with_position(residuals, [group, value, *keys], "__position")
-    groups = placed.groupBy(group).agg(
-        F.min("__position").alias("__first"), F.count(F.lit(1)).alias("n")
+    before = W.orderBy(group).rowsBetween(W.unboundedPreceding, -1)  # one row per model
+    groups = (
+        residuals.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("__first", F.coalesce(F.sum("n").over(before), F.lit(0)))
     )
     i = F.col("__position") - F.col("__first") + 1
     n = F.col("n")
@@ -130,7 +132,7 @@ def qq_table(residuals: DataFrame, keys: list[str], value: str = "residual", gro
         .when(i == 1, F.lit(1.0) - edge)
         .otherwise((i - F.lit(0.3175)) / (n + F.lit(0.365)))
     )
-    return placed.join(F.broadcast(groups), group).select(  # one row per model
+    return placed.join(F.broadcast(groups), group).select(
         group, *keys, i.alias("rank"), F.col(value).alias("sample_quantile"),
         normal_quantile(p).alias("theoretical_quantile"),
     )

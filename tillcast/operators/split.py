@@ -20,7 +20,7 @@ def split_chrono(
 
     Only two keys matter: the first of val and the first of test. They are found from row
     counts per day and the keys of the day that holds the cut, and every row is then labelled
-    by comparison, without moving it.
+    by comparison, without moving it. The keys are read several times: pass a stored table.
     """
     keys = df.select(date_col, *tie_cols)
     n_train = (F.col("total") * F.lit(float(train_size))).cast("bigint")

@@ -14,34 +14,65 @@ from tillcast import config
 from tillcast.operators import ordering
 
 
-def _lags(target: str, lags: list[int], window, prefix: str) -> dict[str, Column]:
-    return {f"{prefix}_lag_{k}": F.lag(target, k).over(window) for k in lags}
-
-
-def _rolling(
-    target: str, windows: list[int], functions: list[str], window, prefix: str
-) -> dict[str, Column]:
-    def stat(name: str, frame) -> Column:
-        if name == "mean":
-            # sum / count keeps a decimal target exact
-            return F.try_divide(
-                F.sum(target).over(frame).cast("double"), F.count(target).over(frame)
-            )
-        if name == "std":
-            return F.stddev_samp(target).over(frame)
-        if name == "min":
-            return F.min(target).over(frame)
-        if name == "max":
-            return F.max(target).over(frame)
-        if name == "median":
-            return F.percentile(target, 0.5).over(frame)
-        raise ValueError(f"unknown rolling function {name}")
-
-    return {
-        f"{prefix}_rolling_{w}_{f}": stat(f, window.rowsBetween(-w, -1))
-        for w in windows
-        for f in functions
-    }
+FRAME_FUNCTIONS = ("mean", "std")
+SORTED_FUNCTIONS = ("min", "max", "median")
+
+
+def _with_statistics(
+    df: DataFrame,
+    target: str,
+    lags: list[int],
+    windows: list[int],
+    functions: list[str],
+    window,
+    prefix: str,
+) -> DataFrame:
+    """Add all columns over one window specification.
+
+    A sliding median needs the frame's values in order. Each frame is therefore gathered and
+    sorted once, at most as many values as the frame has rows, and its median, minimum and
+    maximum are read from that array.
+    """
+    unknown = set(functions) - {*FRAME_FUNCTIONS, *SORTED_FUNCTIONS}
+    if unknown:
+        raise ValueError(f"unknown rolling functions {sorted(unknown)}")
+    from_array = "median" in functions
+    framed = {f"{prefix}_lag_{k}": F.lag(target, k).over(window) for k in lags}
+    names, read = list(framed), {}
+    for w in windows:
+        frame = window.rowsBetween(-w, -1)
+        gathered = f"__values_{w}"
+        if from_array:
+            framed[gathered] = F.sort_array(F.collect_list(target).over(frame))
+        for f in functions:
+            name = f"{prefix}_rolling_{w}_{f}"
+            names.append(name)
+            if f == "mean":
+                # sum / count keeps a decimal target exact
+                framed[name] = F.try_divide(
+                    F.sum(target).over(frame).cast("double"), F.count(target).over(frame)
+                )
+            elif f == "std":
+                framed[name] = F.stddev_samp(target).over(frame)
+            elif from_array:
+                read[name] = _from_sorted(gathered, f)
+            else:
+                framed[name] = (F.min if f == "min" else F.max)(target).over(frame)
+    made = df.withColumns(framed)
+    if read:
+        made = made.withColumns(read)
+    return made.select(*[c for c in df.columns if c not in names], *names)
+
+
+def _from_sorted(values: str, name: str) -> Column:
+    last = F.size(values) - 1
+    if name == "min":
+        return F.get(values, F.lit(0))
+    if name == "max":
+        return F.get(values, last)
+    low = F.get(values, F.floor(last / 2).cast("int")).cast("double")
+    high = F.get(values, F.ceil(last / 2).cast("int")).cast("double")
+    return F.when(last >= 0, (low + high) * F.lit(0.5))
 
 
 def sequence_features(
@@ -63,23 +94,13 @@ def sequence_features(
     functions = functions or config.ROLLING_FUNCTIONS
     if group_cols and block_rows is None:
         window = W.partitionBy(*group_cols).orderBy(*order_cols)
-        return df.withColumns(
-            {
-                **_lags(target, lags, window, prefix),
-                **_rolling(target, windows, functions, window, prefix),
-            }
-        )
+        return _with_statistics(df, target, lags, windows, functions, window, prefix)
     sequence = [*group_cols, *[c for c in order_cols if c not in group_cols]]
     depth = max([*lags, *windows], default=0)
     blocks = ordering.with_blocks(df, sequence, depth, block_rows or ordering.BLOCK_ROWS)
     window = W.partitionBy("__block", *group_cols).orderBy("__position")
     return ordering.drop_halo(
-        blocks.withColumns(
-            {
-                **_lags(target, lags, window, prefix),
-                **_rolling(target, windows, functions, window, prefix),
-            }
-        )
+        _with_statistics(blocks, target, lags, windows, functions, window, prefix)
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from tillcast import config
 from tillcast.functions import calendar
 from tillcast.operators import fill, lookups, windows
+from tillcast.session import materialize
 
 
 def all_features(
@@ -32,6 +33,8 @@ def all_features(
         dated, target, [date_col], list(group_cols), lags, windows_
     )
     columns = fill.sequence_columns(sequenced)
+    if fill_scope == "global":  # reads its input several times
+        sequenced = materialize(sequenced, "sequences")
     filled = fill.fill_sequences(sequenced, columns, group_cols, date_col, fill_scope)
     cycled = filled.withColumns(calendar.cyclical(date_col))
     if categorical_cols:

@@ -56,12 +56,11 @@ def preprocess(
 ) -> Prepared:
     """Split by time, encode text and scale, with parameters fitted on the training rows.
 
-    The split table is written once, because both parameter fits and every training pass
-    read it again.
+    The features are written once, because the split, both parameter fits and the assembly
+    read them again; so are the vectors, which every training pass reads.
     """
-    labelled = split.split_chrono(features, keys[0], keys[1:])
-    kept = labelled.withColumns({f"__key_{k}": F.col(k) for k in keys})
-    stage = materialize(kept, "features")
+    kept = features.withColumns({f"__key_{k}": F.col(k) for k in keys})
+    stage = split.split_chrono(materialize(kept, "features"), keys[0], keys[1:])
     columns = prep.feature_columns(
         stage, target, [*exclude, "split", *[f"__key_{k}" for k in keys]]
     )
