@@ -1,7 +1,7 @@
 """Roll-ups of daily facts and the joins between them.
 
-A group key that is null drops the row, a sum of nothing is 0, and money is summed as a
-decimal so that a result does not depend on task order.
+A group key that is null drops the row, and money is summed in whole units of 1/10000, so that
+a result does not depend on task order.
 """
 
 from __future__ import annotations
@@ -11,15 +11,23 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 MONEY = "decimal(18,4)"
+MONEY_UNIT = 10_000.0  # 4 decimals
+
+
+def _units(column: str) -> Column:
+    """Money as a whole number of 1/10000 units; ANSI arithmetic stops on overflow."""
+    return F.rint(F.col(column) * F.lit(MONEY_UNIT)).cast("bigint")
 
 
 def exact_sum(column: str) -> Column:
-    total = F.sum(F.col(column).cast(MONEY)).cast("double")
-    return F.coalesce(total, F.lit(0.0)).alias(column)
+    """Sum to 4 decimals, the same in any order; a sum of nothing is 0."""
+    total = F.coalesce(F.sum(_units(column)), F.lit(0))
+    return (total / F.lit(MONEY_UNIT)).alias(column)
 
 
 def exact_mean(column: str) -> Column:
-    total = F.sum(F.col(column).cast(MONEY)).cast("double")
+    """Mean of values with up to 4 decimals, the same in any order."""
+    total = F.sum(_units(column)) / F.lit(MONEY_UNIT)
     return F.try_divide(total, F.count(column)).alias(column)
 
 

@@ -8,10 +8,11 @@ stored table (``session.materialize``) rather than a long plan. Results never de
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window as W, functions as F
 
 RANGE_BITS = 8
 BLOCK_ROWS = 100_000
+SORTED_ROWS = 1_000_000
 
 
 def _key(cols: list[str]) -> Column:
@@ -62,13 +63,15 @@ def _range_offsets(ranged: DataFrame) -> DataFrame:
     )
 
 
-def key_at(
-    df: DataFrame, rank: Column, coarse: str, fine: list[str], total: str = "total"
-) -> DataFrame:
-    """One row: the key struct at 0-based position ``rank`` of the (coarse, fine) order.
+def keys_at(
+    df: DataFrame, ranks: dict[str, Column], coarse: str, fine: list[str], total: str = "total"
+) -> dict[str, Row]:
+    """The keys at given 0-based positions of the (coarse, fine) order, as rows by name.
 
-    ``rank`` is an expression over the row count, named ``total``. Counts per coarse value (a
-    calendar day) find the value that holds the position; only its keys are then put in order.
+    A rank is an expression over the row count, named ``total``; one past the end is left out.
+    Counts per coarse value, a calendar day, find the values that hold the positions: they are
+    placed inside Spark and one row per rank is fetched. Only the keys of those values are then
+    put in order, by a plain sort if their counted size allows and by ranges if not.
     """
     counts = df.groupBy(coarse).agg(F.count(F.lit(1)).alias("__n"))
     running = W.orderBy(coarse).rowsBetween(W.unboundedPreceding, -1)
@@ -77,19 +80,39 @@ def key_at(
         "__n",
         F.coalesce(F.sum("__n").over(running), F.lit(0)).alias("__start"),
         F.sum("__n").over(W.partitionBy()).alias(total),
-    ).withColumn("__rank", rank.cast("bigint"))
-    inside = (F.col("__rank") >= F.col("__start")) & (
-        F.col("__rank") < F.col("__start") + F.col("__n")
     )
-    hit = placed.filter(inside).select(
-        coarse, (F.col("__rank") - F.col("__start")).alias("__wanted")
+    wanted = F.array(
+        *[
+            F.struct(F.lit(name).alias("name"), rank.cast("bigint").alias("rank"))
+            for name, rank in ranks.items()
+        ]
     )
-    # a single row by construction
-    candidates = df.select(coarse, *fine).join(F.broadcast(hit), coarse)
-    placed_keys = with_position(candidates, [coarse, *fine], "__position")
-    return placed_keys.filter(F.col("__position") == F.col("__wanted")).select(
-        _key([coarse, *fine]).alias("key")
+    rank = F.col("__w.rank")
+    hits = (
+        placed.withColumn("__w", F.explode(wanted))
+        .filter((rank >= F.col("__start")) & (rank < F.col("__start") + F.col("__n")))
+        .select("__w.name", F.col(coarse), "__n", (rank - F.col("__start")).alias("__at"))
     )
+    found = {}
+    for hit in hits.collect():  # one row per rank
+        inside = df.filter(F.col(coarse) == F.lit(hit[coarse])).select(coarse, *fine)
+        if hit["__n"] <= SORTED_ROWS:
+            key = inside.orderBy(*fine).offset(hit["__at"]).limit(1)
+        else:
+            key = with_position(inside, fine, "__position").filter(
+                F.col("__position") == hit["__at"]
+            )
+        found[hit["name"]] = key.select(coarse, *fine).first()
+    return found
+
+
+def before(key: Row, columns: list[str]) -> Column:
+    """Whether a row sorts before ``key``, as plain comparisons that reach the scan."""
+    name, *rest = columns
+    value = F.lit(key[name])
+    if not rest:
+        return F.col(name) < value
+    return (F.col(name) < value) | ((F.col(name) == value) & before(key, rest))
 
 
 def with_blocks(

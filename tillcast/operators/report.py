@@ -139,15 +139,20 @@ def qq_table(residuals: DataFrame, keys: list[str], value: str = "residual", gro
 
 
 def error_histogram(residuals: DataFrame, bins: int = 50, group: str = "model") -> DataFrame:
-    """Density of the absolute error in equal bins between its extremes, per model."""
+    """Density of the absolute error in equal bins between its extremes, per model.
+
+    The last bin includes its upper edge. A single value gets a range of 1 around it.
+    """
     errors = residuals.select(group, F.abs("residual").alias("error"))
+    flat = F.when(F.min("error") == F.max("error"), 0.5).otherwise(0.0)
     span = errors.groupBy(group).agg(
-        F.min("error").alias("lo"), F.max("error").alias("hi"), F.count(F.lit(1)).alias("n")
+        (F.min("error") - flat).alias("lo"),
+        (F.max("error") + flat).alias("hi"),
+        F.count(F.lit(1)).alias("n"),
     )
     width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
-    index = F.coalesce(
-        F.least(F.floor(F.try_divide(F.col("error") - F.col("lo"), F.col("width"))), F.lit(bins - 1)),
-        F.lit(0),
+    index = F.least(
+        F.floor((F.col("error") - F.col("lo")) / F.col("width")), F.lit(bins - 1)
     ).cast("int")
     counted = (
         errors.join(F.broadcast(span.withColumn("width", width)), group)  # one row per model
@@ -158,7 +163,7 @@ def error_histogram(residuals: DataFrame, bins: int = 50, group: str = "model")
         group, "bin",
         (F.col("lo") + F.col("bin") * F.col("width")).alias("bin_start"),
         "count",
-        F.try_divide(F.col("count").cast("double"), F.col("n") * F.col("width")).alias("density"),
+        (F.col("count").cast("double") / (F.col("n") * F.col("width"))).alias("density"),
     )
 
 

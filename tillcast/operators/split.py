@@ -20,15 +20,22 @@ def split_chrono(
 
     Only two keys matter: the first of val and the first of test. They are found from row
     counts per day and the keys of the day that holds the cut, and every row is then labelled
-    by comparison, without moving it. The keys are read several times: pass a stored table.
+    by comparison with them, without moving it. The keys are read a few times: pass a stored
+    table. ``date_col`` and ``tie_cols`` together are unique and not null.
     """
-    keys = df.select(date_col, *tie_cols)
+    columns = [date_col, *tie_cols]
     n_train = (F.col("total") * F.lit(float(train_size))).cast("bigint")
     n_val = (F.col("total") * F.lit(float(val_size))).cast("bigint")
-    val_from = ordering.key_at(keys, n_train, date_col, list(tie_cols)).scalar()
-    test_from = ordering.key_at(keys, n_train + n_val, date_col, list(tie_cols)).scalar()
-    key = F.struct(date_col, *tie_cols)
-    return df.withColumn(
-        name,
-        F.when(key < val_from, "train").when(key < test_from, "val").otherwise("test"),
+    cuts = ordering.keys_at(
+        df.select(*columns), {"val": n_train, "test": n_train + n_val}, date_col, list(tie_cols)
     )
+    label = F.lit("test")
+    if "test" in cuts:
+        label = F.when(ordering.before(cuts["test"], columns), "val").otherwise(label)
+    else:
+        label = F.lit("val")
+    if "val" in cuts:
+        label = F.when(ordering.before(cuts["val"], columns), "train").otherwise(label)
+    else:
+        label = F.lit("train")
+    return df.withColumn(name, label)

@@ -24,21 +24,25 @@ def all_features(
     """Date, lag, rolling, cyclical and interaction features, filled, without null targets.
 
     Lags, rolling statistics and the per-group fill share one shuffle and one sort by group and
-    date; everything else is a projection of a single row.
+    date. Everything that depends on a single row is added after it, so the shuffle carries the
+    daily columns only.
     """
-    dated = daily.withColumns(calendar.date_parts(date_col))
-    if "is_holiday" in config.DATE_FEATURES:
-        dated = lookups.lookup_holiday(dated, holidays, date_col)
     sequenced = windows.sequence_features(
-        dated, target, [date_col], list(group_cols), lags, windows_
+        daily, target, [date_col], list(group_cols), lags, windows_
     )
-    columns = fill.sequence_columns(sequenced)
+    columns = [c for c in sequenced.columns if c not in daily.columns]
     if fill_scope == "global":  # reads its input several times
         sequenced = materialize(sequenced, "sequences")
-    filled = fill.fill_sequences(sequenced, columns, group_cols, date_col, fill_scope)
-    cycled = filled.withColumns(calendar.cyclical(date_col))
-    if categorical_cols:
-        cycled = cycled.withColumns(calendar.interactions(categorical_cols))
-    if "has_promotion" in cycled.columns:
-        cycled = fill.fill_flag(cycled)
-    return fill.drop_null_target(cycled, target)
+    made = fill.fill_sequences(sequenced, columns, group_cols, date_col, fill_scope)
+    parts, waves = calendar.date_parts(date_col), calendar.cyclical(date_col)
+    made = made.withColumns({**parts, **waves})
+    if "is_holiday" in config.DATE_FEATURES:
+        made = lookups.lookup_holiday(made, holidays, date_col)
+    pairs = calendar.interactions(categorical_cols or [])
+    made = made.withColumns(pairs) if pairs else made
+    if "has_promotion" in made.columns:
+        made = fill.fill_flag(made)
+    kept = [c for c in daily.columns if c != "is_holiday"]
+    ordered = [*kept, *parts, "is_holiday", *columns, *waves, *pairs]
+    made = made.select(*[c for c in ordered if c in made.columns])
+    return fill.drop_null_target(made, target)
