@@ -6,6 +6,7 @@ from checks.views import Tables, sql
 from tillcast.functions import calendar, demand
 from tillcast.operators import evaluate, facts, fill, lookups, prep
 from tillcast.plans.daily import daily_store_sales
+from tillcast.session import materialize
 
 
 def proj_rename(t: Tables):
@@ -69,7 +70,9 @@ def spine_cross(t: Tables):
     rolled = facts.product_day(t.sales).groupBy("date", "store_id", "category").agg(
         F.sum("quantity_sold").alias("quantity_sold")
     )
-    return lookups.densify(rolled, ["store_id", "category"], ["quantity_sold"])
+    return lookups.densify(
+        materialize(rolled, "rolled"), ["store_id", "category"], ["quantity_sold"]
+    )
 
 
 def promo_ratio(t: Tables):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from checks.views import Tables, band, sql
+from checks.views import SEQUENCE_COLUMNS, Tables, band, sql
 from tillcast.functions import calendar
 from tillcast.operators import diagnose, evaluate, registry, report, windows
 from tillcast.operators.split import split_chrono
@@ -361,6 +361,31 @@ def batch_predict(t: Tables):
     )
 
 
+VECTOR_COLUMNS = [
+    "store_id", "has_promotion", "year", "month", "day", "dayofweek", "quarter", "weekofyear",
+    "is_weekend", "is_holiday", *SEQUENCE_COLUMNS,
+    *[f"{n}_{f}" for n in ["day", "month", "dayofweek"] for f in ["sin", "cos"]],
+]
+_NUMERIC = ", ".join(f"cast({c} as double) as {c}" for c in VECTOR_COLUMNS)
+_FIT = ", ".join(
+    f"avg({c}) as {c}_m, case when stddev_pop({c}) = 0 then 1 else stddev_pop({c}) end as {c}_s"
+    for c in VECTOR_COLUMNS
+)
+_SUM = " + ".join(f"coalesce(({c} - {c}_m) / {c}_s, 0)" for c in VECTOR_COLUMNS)
+ASSEMBLE_SQL = f"""with_split as (select date, store_id as store, split, sales as label, {_NUMERIC}
+      from {{features}} join (select date, store_id, split from {{daily_split}}) using (date, store_id)),
+    fitted as (select {_FIT} from with_split where split = 'train')
+    select date, store as store_id, split, label, {len(VECTOR_COLUMNS)}::int as n_features,
+      round({_SUM}, 6) as feature_sum from with_split, fitted"""
+
+
+def _assemble_sql() -> str:
+    # the views come first in the same WITH clause
+    text = sql(ASSEMBLE_SQL)
+    views, rest = text.split("\nwith_split as", 1)
+    return f"{views},\nwith_split as{rest}"
+
+
 QUERIES = {
     "metrics_regression": (metrics_regression, sql(METRICS_SQL)),
     "ensemble_weights": (ensemble_weights, sql(
@@ -465,7 +490,7 @@ QUERIES = {
         sql("""select * from (select *, cast(row_number() over (
         partition by model order by importance desc, feature) as int) as rank from {importances})
         where rank <= 5""")),
-    "assemble_xy": (assemble_xy, None),
+    "assemble_xy": (assemble_xy, _assemble_sql()),
     "train_gbt": (train_gbt, None),
     "train_second": (train_second, None),
     "tune_search": (tune_search, None),

@@ -109,7 +109,7 @@ def dq_value_range(t: Tables):
 
 
 def except_keys(t: Tables):
-    daily = t.daily.select("date", "store_id")
+    daily = t.daily_stage.select("date", "store_id")
     return lookups.except_keys(lookups.spine(daily, ["store_id"]), daily, ["date", "store_id"])
 
 

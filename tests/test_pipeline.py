@@ -177,10 +177,10 @@ def test_search_draws_inside_the_ranges_and_repeats():
 
 def test_batch_forecast(spark, tables, trained):
     daily, model = trained
+    one, two = [r[0] for r in daily.select("store_id").distinct().orderBy("store_id").take(2)]
     requests = spark.createDataFrame(
-        [("store_003", "2001-12-01", {"has_promotion": "1"}), ("store_003", "2001-12-01", None),
-         ("store_003", "2001-12-01", None), ("store_004", "1996-05-05", None),
-         ("store_004", "not a date", None)],
+        [(one, "2001-12-01", {"has_promotion": "1"}), (one, "2001-12-01", None),
+         (one, "2001-12-01", None), (two, "1996-05-05", None), (two, "not a date", None)],
         schemas.REQUESTS,
     )
     accepted, rejected = calendar.split_requests(requests)
@@ -194,7 +194,7 @@ def test_batch_forecast(spark, tables, trained):
         assert r["lower_95"] <= r["lower_80"] <= r["prediction"] <= r["upper_80"] <= r["upper_95"]
     shaped = batch.responses(made)
     assert shaped.count() == 3
-    answer = shaped.filter("store_id = 'store_004'").first()
+    answer = shaped.filter(F.col("store_id") == two).first()
     assert set(answer["predictions"]) == {"boosted", "forest", "ensemble"}
     assert set(answer["intervals"]["ensemble"]) == {"confidence_0.8", "confidence_0.95"}
 

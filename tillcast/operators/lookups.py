@@ -68,7 +68,8 @@ def spine(
     """Every date of the span for every key combination that occurs in ``facts``.
 
     Each key carries its own date sequence, so the spine is generated by the tasks that hold
-    the keys and needs no cross join. The span defaults to that of the facts.
+    the keys and needs no cross join. The span defaults to that of the facts. Span and keys are
+    separate passes: pass a stored table.
     """
     span = facts.agg(
         F.struct(F.min("date").alias("lo"), F.max("date").alias("hi")).alias("span")

@@ -22,6 +22,22 @@ SETTINGS = {
     "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
 }
 
+PARTITION_BYTES = 128 * 1024 * 1024
+
+
+def sized_for(shuffled_bytes: int) -> dict[str, str]:
+    """Settings for a job that shuffles about this much: start wide and let AQE merge.
+
+    Shuffle partitions of about 128 MB fit an executor core with room for sorting.
+    """
+    wide = max(200, -(-shuffled_bytes // PARTITION_BYTES))
+    return {
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(wide),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(PARTITION_BYTES),
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    }
+
+
 _LOCAL_DIRS: dict[str, str] = {}
 
 
