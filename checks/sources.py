@@ -92,15 +92,29 @@ def dq_empty_files(t: Tables):
     return quality.empty_files(catalog, filled)
 
 
-CHECKED = ("quantity_sold", "revenue", "profit")
+CHECKED = ("quantity_sold", "revenue", "balance")
+
+
+def checked_lines(t: Tables):
+    """Sales with the supplier's balance, the one column here that can be negative."""
+    return t.store_lines.select(
+        "date", F.col("l_quantity").alias("quantity_sold"),
+        F.col("l_extendedprice").alias("revenue"), F.col("s_acctbal").alias("balance"),
+    )
 
 
 def dq_negative(t: Tables):
-    return quality.negative_values(t.sales, "date", CHECKED)
+    return quality.negative_values(checked_lines(t), "date", CHECKED)
 
 
 def dq_summary(t: Tables):
-    return quality.quality_summary(t.sales, "date", CHECKED)
+    return quality.quality_summary(checked_lines(t), "date", CHECKED)
+
+
+LINES_SQL = """select cast(l_shipdate as date) as date, min(l_quantity) as quantity_sold,
+    min(l_extendedprice) as revenue, min(s_acctbal) as balance, count(*) as n
+    from lineitem join supplier on l_suppkey = s_suppkey join part on l_partkey = p_partkey
+    group by 1"""
 
 
 def dq_value_range(t: Tables):
@@ -141,16 +155,14 @@ QUERIES = {
         (select round(avg(sales), 3) as mean, round(stddev_pop(sales), 3) as scale
          from {product_day})""")),
     "dq_empty_files": (dq_empty_files, None),
-    "dq_negative": (dq_negative, sql("""select date as unit, "column", min_value from (
-        unpivot (select date, min(quantity_sold) as quantity_sold, min(revenue) as revenue,
-                 min(profit) as profit from {sales} group by date)
-        on quantity_sold, revenue, profit into name "column" value min_value)
-        where min_value < 0""")),
-    "dq_summary": (dq_summary, sql("""select count(*) as total_files_checked,
-        cast(sum(n) as bigint) as total_rows,
-        cast(sum((q < 0)::int + (r < 0)::int + (p < 0)::int) as bigint) as total_issues
-        from (select date, count(*) as n, min(quantity_sold) as q, min(revenue) as r,
-              min(profit) as p from {sales} group by date)""")),
+    "dq_negative": (dq_negative, f"""select date as unit, "column", min_value from (
+        unpivot (select date, quantity_sold, revenue, balance from ({LINES_SQL}))
+        on quantity_sold, revenue, balance into name "column" value min_value)
+        where min_value < 0"""),
+    "dq_summary": (dq_summary, f"""select count(*) as total_files_checked,
+        cast(sum(n) as bigint) as total_rows, cast(sum((quantity_sold < 0)::int
+          + (revenue < 0)::int + (balance < 0)::int) as bigint) as total_issues
+        from ({LINES_SQL})"""),
     "dq_value_range": (dq_value_range, sql("""select 'sales' as "column", 0.0::double as min_allowed,
         1e6::double as max_allowed, count(*) filter (not (sales between 0 and 1e6)) as outside,
         count(*) filter (sales is null) as nulls from {daily}

@@ -22,7 +22,7 @@ def tables(spark, sf_dir):
 
 @pytest.fixture(scope="module")
 def dataset(tables, tmp_path_factory):
-    """The reference layout on disk: dated folders of Parquet files per data type."""
+    """Dated folders of Parquet files per data type."""
     root = str(tmp_path_factory.mktemp("data"))
     june = F.col("date").between(dt.date(1998, 6, 1), dt.date(1998, 7, 15))
     sales = tables.sales.filter(june).select(
@@ -85,6 +85,22 @@ def test_empty_files_are_found(spark, dataset, tmp_path):
     assert catalog.count() == 2 and empty.count() == 1
 
 
+def test_negative_values_per_file(spark, dataset):
+    from tillcast.operators.quality import negative_values, quality_summary
+
+    root, sales = dataset
+    sinks.write_by_day(sales.withColumn("profit", -F.col("profit")), f"{root}/broken")
+    broken = files.scan_facts(spark, f"{root}/broken", schemas.SALES)
+    path = F.col("_metadata.file_path")
+    issues = negative_values(broken, path, ("revenue", "profit"))
+    days = sales.select("date").distinct().count()
+    assert issues.count() == days > 0 and issues.first()["unit"].endswith(".parquet")
+    scan = files.scan_facts(spark, f"{root}/sales", schemas.SALES)
+    summary = quality_summary(scan, path, ("quantity_sold", "revenue")).first()
+    assert summary["total_files_checked"] == sales.select("date").distinct().count()
+    assert summary["total_issues"] == 0 and summary["total_rows"] == sales.count()
+
+
 def test_weekly_snapshot_uses_iso_year(spark, tmp_path):
     df = spark.createDataFrame([(dt.date(2024, 12, 30), 1), (dt.date(2025, 1, 5), 2)], "date date, x int")
     sinks.write_by_week(df, f"{tmp_path}/inventory")

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from tillcast.operators import ordering
 from tillcast.session import materialize
@@ -25,18 +23,26 @@ def text_columns(df: DataFrame, columns: list[str]) -> list[str]:
 def encode_fit(train: DataFrame, columns: list[str]) -> DataFrame:
     """Codes by sorted label, as (column, label, code). Any number of labels.
 
-    The distinct labels are written once, since numbering reads them several times.
+    One pass finds the distinct labels of all columns. They are written once, since numbering
+    reads them several times.
     """
-    tables = []
-    for name in columns:
-        labels = train.select(F.col(name).cast("string").alias("label")).distinct().dropna()
-        labels = materialize(labels, "labels")
-        tables.append(
-            ordering.with_position(labels, ["label"], "code").select(
-                F.lit(name).alias("column"), "label", F.col("code").cast("int").alias("code")
-            )
-        )
-    return reduce(DataFrame.unionByName, tables)
+    pairs = F.array(
+        *[
+            F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("label"))
+            for c in columns
+        ]
+    )
+    labels = train.select(F.inline(pairs)).filter(F.col("label").isNotNull()).distinct()
+    labels = materialize(labels, "labels")
+    before = W.orderBy("column").rowsBetween(W.unboundedPreceding, -1)  # one row per column
+    starts = (
+        labels.groupBy("column").agg(F.count(F.lit(1)).alias("__n"))
+        .withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    )
+    placed = ordering.with_position(labels, ["column", "label"], "__position")
+    return placed.join(F.broadcast(starts), "column").select(
+        "column", "label", (F.col("__position") - F.col("__start")).cast("int").alias("code")
+    )
 
 
 def encode_apply(
