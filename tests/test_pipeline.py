@@ -58,6 +58,31 @@ def test_scan_prunes_folders(spark, dataset):
     assert "year" in partition_filters and "month" in partition_filters
 
 
+@pytest.mark.parametrize("unit, date_as", [("us", "timestamp"), ("ns", "nanos")])
+def test_scan_of_timestamp_dates(spark, tmp_path, unit, date_as):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    days = [dt.datetime(1969, 12, 31), dt.datetime(2025, 1, 1), dt.datetime(2025, 1, 2, 13)]
+    table = pa.table({
+        "date": pa.array(days, pa.timestamp(unit)), "store_id": ["s"] * 3, "impact": [1.0, 2.0, 3.0],
+    })
+    path = f"{tmp_path}/store_events/year=2025/month=01/day=01"
+    import os
+
+    os.makedirs(path)
+    pq.write_table(table, f"{path}/events.parquet", version="2.6")
+    root = f"{tmp_path}/store_events"
+    scan = files.scan_facts(spark, root, schemas.STORE_EVENTS, date_as=date_as)
+    assert [r["date"] for r in scan.orderBy("date").collect()] == [d.date() for d in days]
+    last = files.scan_facts(
+        spark, root, schemas.STORE_EVENTS, "2025-01-02", "2025-01-02", date_as=date_as
+    )
+    assert [r["impact"] for r in last.collect()] == [3.0]
+    plan = last._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(date" in plan.split("PushedFilters")[1]
+
+
 def test_catalog(spark, dataset):
     root, sales = dataset
     catalog = files.file_catalog(spark, root, endpoint="http://store:9000", bucket="data")
@@ -215,6 +240,19 @@ def test_batch_forecast(spark, tables, trained):
     assert set(answer["intervals"]["ensemble"]) == {"confidence_0.8", "confidence_0.95"}
 
 
+def test_saved_models_answer_the_same(spark, tables, trained, tmp_path):
+    daily, model = trained
+    training.save_serving(model, f"{tmp_path}/v1")
+    loaded = training.load_serving(spark, f"{tmp_path}/v1")
+    assert loaded.prepared.features == model.prepared.features
+    points = daily.groupBy("store_id").agg(F.max("date").alias("request_date"))
+    answers = [
+        batch.batch_predict(points, daily, tables.holidays, m.prepared, m.models, m.weights)
+        for m in (model, loaded)
+    ]
+    assert answers[0].exceptAll(answers[1]).count() == 0 < answers[0].count()
+
+
 def test_request_features_equal_training_features(spark, tables):
     """A request for a day that has sales gets the features of that day's row."""
     daily = tables.daily_stage

@@ -15,8 +15,9 @@ MONEY_UNIT = 10_000.0  # 4 decimals
 
 
 def _units(column: str) -> Column:
-    """Money as a whole number of 1/10000 units; ANSI arithmetic stops on overflow."""
-    return F.rint(F.col(column) * F.lit(MONEY_UNIT)).cast("bigint")
+    """Money as a whole number of 1/10000 units; NaN is missing, overflow an ANSI error."""
+    value = F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))
+    return F.rint(value * F.lit(MONEY_UNIT)).cast("bigint")
 
 
 def exact_sum(column: str) -> Column:
@@ -28,7 +29,7 @@ def exact_sum(column: str) -> Column:
 def exact_mean(column: str) -> Column:
     """Mean of values with up to 4 decimals, the same in any order."""
     total = F.sum(_units(column)) / F.lit(MONEY_UNIT)
-    return F.try_divide(total, F.count(column)).alias(column)
+    return F.try_divide(total, F.count(_units(column))).alias(column)
 
 
 def has_keys(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,12 +6,16 @@ import random
 from dataclasses import dataclass, field
 from multiprocessing.pool import ThreadPool
 
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import (
+    GBTRegressionModel, GBTRegressor, RandomForestRegressionModel, RandomForestRegressor,
+)
 from pyspark.sql import DataFrame, functions as F
 
 from tillcast import config
 from tillcast.operators import diagnose, evaluate, prep, split
+from tillcast.operators.quality import require_columns
 from tillcast.session import materialize
+from tillcast.sources.sinks import write_table
 
 # Default and search settings of the two learners.
 BOOSTED_DEFAULTS = {"maxIter": 100, "maxDepth": 6, "stepSize": 0.1, "seed": config.SEED}
@@ -30,13 +34,22 @@ FOREST_SEARCH = {
 class Prepared:
     """Rows of (keys, split, label, features) and the parameters that made them."""
 
-    rows: DataFrame
+    rows: DataFrame | None
     features: list[str]
     codes: DataFrame | None
     scaling: DataFrame
     categorical: list[str]
 
 
+@dataclass
+class Serving:
+    """What a forecast needs: models, ensemble weights and preprocessing parameters."""
+
+    models: dict
+    weights: DataFrame
+    prepared: Prepared
+
+
 @dataclass
 class Trained:
     models: dict
@@ -59,6 +72,7 @@ def preprocess(
     The features are written once, because the split, both parameter fits and the assembly
     read them again; so are the vectors, which every training pass reads.
     """
+    require_columns(features, [target, *keys])
     kept = features.withColumns({f"__key_{k}": F.col(k) for k in keys})
     stage = split.split_chrono(materialize(kept, "features"), keys[0], keys[1:])
     columns = prep.feature_columns(
@@ -248,3 +262,41 @@ def _unpack(rows: DataFrame, target: str, features: list[str]) -> DataFrame:
     return values.select(
         "split", target, *[F.col("__v")[i].alias(name) for i, name in enumerate(features)]
     )
+
+
+_MODEL_KINDS = {"boosted": GBTRegressionModel, "forest": RandomForestRegressionModel}
+
+
+def save_serving(trained: Trained | Serving, path: str) -> None:
+    """Save models, weights, label codes, scaling and the ordered feature list below ``path``."""
+    spark = trained.weights.sparkSession
+    for name, model in trained.models.items():
+        model.write().overwrite().save(f"{path}/models/{name}")
+    prepared = trained.prepared
+    write_table(trained.weights, f"{path}/weights")
+    write_table(prepared.scaling, f"{path}/scaling")
+    if prepared.codes is not None:
+        write_table(prepared.codes, f"{path}/codes")
+    layout = [
+        (i, name, name in prepared.categorical) for i, name in enumerate(prepared.features)
+    ]
+    write_table(
+        spark.createDataFrame(layout, "position int, feature string, categorical boolean"),
+        f"{path}/features",
+    )
+
+
+def load_serving(spark, path: str, names: tuple[str, ...] = ("boosted", "forest")) -> Serving:
+    layout = spark.read.parquet(f"{path}/features").orderBy("position").collect()
+    categorical = [r["feature"] for r in layout if r["categorical"]]
+    return Serving(
+        models={n: _MODEL_KINDS[n].load(f"{path}/models/{n}") for n in names},
+        weights=spark.read.parquet(f"{path}/weights"),
+        prepared=Prepared(
+            rows=None,
+            features=[r["feature"] for r in layout],
+            codes=spark.read.parquet(f"{path}/codes") if categorical else None,
+            scaling=spark.read.parquet(f"{path}/scaling"),
+            categorical=categorical,
+        ),
+    )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tillcast import config
@@ -16,39 +19,59 @@ def scan_facts(
     start: str | None = None,
     end: str | None = None,
     partitioned: bool = False,
+    date_as: str = "date",
 ) -> DataFrame:
     """Read every Parquet file below ``path`` as one table with the declared columns.
 
     With ``partitioned`` the year/month/day folders are discovered, so the date bounds also
     prune folders; the folder columns are dropped again because the date features reuse their
-    names. Without it folders are only walked.
+    names. Without it folders are only walked. ``date_as`` tells how the files store the date
+    column: as a date, a timestamp or a nanosecond timestamp. The bounds are compared in that
+    form, so they reach the row groups either way, and the result always holds a date.
     """
-    reader = spark.read
-    if not partitioned:
-        facts = reader.schema(schema).option("recursiveFileLookup", "true").parquet(path)
-        return _between(facts, start, end)
-    facts = reader.schema(f"{schema}, {FOLDERS}").parquet(path)
-    # Folder bounds are written on year*100+month so that the pruning filter holds only
-    # partition columns; the exact date filter is pushed to the row groups.
-    month = F.col("year") * 100 + F.col("month")
+    stored, bound, to_date = _DATE_FORMS[date_as]
+    if date_as == "nanos":
+        spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
+    file_schema = re.sub(r"\bdate date\b", f"date {stored}", schema)
+    if partitioned:
+        facts = spark.read.schema(f"{file_schema}, {FOLDERS}").parquet(path)
+        # on year*100+month, so that the pruning filter holds folder columns only
+        month = F.col("year") * 100 + F.col("month")
+        if start:
+            facts = facts.filter(month >= int(start[:4]) * 100 + int(start[5:7]))
+        if end:
+            facts = facts.filter(month <= int(end[:4]) * 100 + int(end[5:7]))
+        facts = facts.drop("year", "month", "day")
+    else:
+        facts = (
+            spark.read.schema(file_schema).option("recursiveFileLookup", "true").parquet(path)
+        )
     if start:
-        facts = facts.filter(month >= int(start[:4]) * 100 + int(start[5:7]))
+        facts = facts.filter(F.col("date") >= bound(dt.date.fromisoformat(start)))
     if end:
-        facts = facts.filter(month <= int(end[:4]) * 100 + int(end[5:7]))
-    return _between(facts, start, end).drop("year", "month", "day")
+        after = dt.date.fromisoformat(end) + dt.timedelta(days=1)
+        facts = facts.filter(F.col("date") < bound(after))
+    return facts if date_as == "date" else facts.withColumn("date", to_date("date"))
 
 
-def _between(df: DataFrame, start: str | None, end: str | None) -> DataFrame:
-    if start:
-        df = df.filter(F.col("date") >= F.lit(start).cast("date"))
-    if end:
-        df = df.filter(F.col("date") <= F.lit(end).cast("date"))
-    return df
+def _nanos(day: dt.date):
+    return F.lit((day - dt.date(1970, 1, 1)).days * 86_400_000_000_000)
 
 
 def nanos_to_date(column: str):
-    """Date from a nanosecond timestamp read as a long (``nanosAsLong``)."""
-    return F.timestamp_micros(F.expr(f"{column} div 1000")).cast("date")
+    """Date from a nanosecond timestamp read as a long."""
+    return F.date_add(
+        F.lit("1970-01-01").cast("date"),
+        F.floor(F.col(column) / F.lit(86_400_000_000_000)).cast("int"),
+    )
+
+
+# date form: column type in the file, literal of a bound, conversion to a date
+_DATE_FORMS = {
+    "date": ("date", F.lit, None),
+    "timestamp": ("timestamp_ntz", lambda day: F.lit(str(day)).cast("timestamp_ntz"), F.to_date),
+    "nanos": ("bigint", _nanos, nanos_to_date),
+}
 
 
 def file_catalog(
