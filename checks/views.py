@@ -192,11 +192,10 @@ class Tables:
 
     @cached_property
     def store_metrics(self) -> DataFrame:
-        """(store_id, model, metric, value) to 4 digits."""
+        """(store_id, model, metric, value) to 4 digits, as a stored table."""
         metrics = evaluate.regression_metrics(self.predictions, ["store_id", "model"])
-        return evaluate.metrics_long(metrics, ["store_id", "model"]).withColumn(
-            "value", F.round("value", 4)
-        )
+        rows = evaluate.metrics_long(metrics, ["store_id", "model"])
+        return materialize(rows.withColumn("value", F.round("value", 4)), "metrics")
 
     @cached_property
     def runs(self) -> DataFrame:

@@ -93,36 +93,33 @@ def join_traffic(daily: DataFrame, traffic: DataFrame) -> DataFrame:
     return daily.join(traffic_day(traffic), ["date", "store_id"], "left")
 
 
-def store_day(sales: DataFrame, promotions: DataFrame | None = None) -> DataFrame:
+def store_day(
+    sales: DataFrame, promotions: DataFrame | None = None, promo_ratio: bool = False
+) -> DataFrame:
     """Sales per date and store.
 
     ``has_promotion`` is the mean of a flag that is 1 or null, so it is 1 when any product was
     on promotion and null otherwise: a maximum over the raw rows gives the same, and the
-    product-day roll-up and its shuffle are not needed.
+    product-day roll-up and its shuffle are not needed. ``promo_ratio`` adds the share of the
+    day's products on promotion, which does need that roll-up.
     """
     keys = ["date", "store_id"]
     rows = has_keys(sales, [*keys, "product_id", "category"])
+    if promo_ratio:
+        rows = product_day(rows).withColumnRenamed("sales", "revenue")
     if promotions is not None:
         rows = join_promotions(rows, promotions)
     else:
         rows = rows.withColumn("has_promotion", F.lit(None).cast("int"))
-    return rows.groupBy(*keys).agg(
+    measures = [
         F.coalesce(F.sum("quantity_sold"), F.lit(0)).alias("quantity_sold"),
         exact_sum("revenue"),
         exact_sum("profit"),
         F.max("has_promotion").cast("double").alias("has_promotion"),
-    ).withColumnRenamed("revenue", "sales")
-
-
-def promotion_ratio(sales: DataFrame, promotions: DataFrame) -> DataFrame:
-    """Share of a store's products of the day that were on promotion."""
-    keys = ["date", "store_id"]
-    products = has_keys(sales, [*keys, "product_id", "category"]).select(
-        *keys, "product_id", "category"
-    ).distinct()
-    return join_promotions(products, promotions).groupBy(*keys).agg(
-        (F.count("has_promotion") / F.count(F.lit(1))).alias("promo_ratio")
-    )
+    ]
+    if promo_ratio:
+        measures.append((F.count("has_promotion") / F.count(F.lit(1))).alias("promo_ratio"))
+    return rows.groupBy(*keys).agg(*measures).withColumnRenamed("revenue", "sales")
 
 
 def drop_leakage(daily: DataFrame) -> DataFrame:

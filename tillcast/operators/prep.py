@@ -24,7 +24,7 @@ def encode_fit(train: DataFrame, columns: list[str]) -> DataFrame:
     """Codes by sorted label, as (column, label, code). Any number of labels.
 
     One pass finds the distinct labels of all columns. They are written once, since numbering
-    reads them several times.
+    reads them several times, and so are the codes, which every use joins.
     """
     pairs = F.array(
         *[
@@ -40,9 +40,10 @@ def encode_fit(train: DataFrame, columns: list[str]) -> DataFrame:
         .withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0)))
     )
     placed = ordering.with_position(labels, ["column", "label"], "__position")
-    return placed.join(F.broadcast(starts), "column").select(
+    codes = placed.join(F.broadcast(starts), "column").select(
         "column", "label", (F.col("__position") - F.col("__start")).cast("int").alias("code")
     )
+    return materialize(codes, "codes")
 
 
 def encode_apply(

@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from tillcast.functions.intervals import interval
 from tillcast.operators import ordering
 from tillcast.operators.quantiles import exact_quantiles, pivot_quantiles
-from tillcast.operators.registry import best_per_metric
 from tillcast.operators.windows import top_k
 
 
@@ -17,11 +16,14 @@ def metrics_table(metrics: DataFrame, wanted: list[str] | None = None) -> DataFr
     ``metrics`` is (model, metric, value).
     """
     wanted = wanted or ["rmse", "mae", "mape", "r2"]
-    table = metrics.groupBy("model").pivot("metric", wanted).agg(F.first("value")).fillna(0.0, wanted)
-    best = best_per_metric(metrics.filter(F.col("metric").isin(*wanted))).groupBy("model").agg(
-        *[F.max(F.col("metric") == m).alias(f"best_{m}") for m in wanted]
-    )
-    return table.join(best, "model", "left").fillna(False, [f"best_{m}" for m in wanted])
+    table = metrics.groupBy("model").pivot("metric", wanted).agg(F.first("value"))
+
+    def is_best(name: str) -> Column:
+        cost = -F.col(name) if name == "r2" else F.col(name)
+        place = F.row_number().over(W.orderBy(cost.asc_nulls_last(), "model"))  # a few models
+        return (place == 1) & F.col(name).isNotNull()
+
+    return table.withColumns({f"best_{m}": is_best(m) for m in wanted}).fillna(0.0, wanted)
 
 
 def prefixed_metrics(runs: DataFrame, models: list[str], name: str = "metric") -> DataFrame:

@@ -20,7 +20,7 @@ def daily_store_sales(
     and the join reuses the partitioning of the aggregate on far fewer rows. Without promotions
     or traffic their columns are null. ``keep_all`` keeps the columns that leak the target.
     """
-    daily = facts.store_day(sales, promotions)
+    daily = facts.store_day(sales, promotions, promo_ratio)
     if traffic is not None:
         daily = facts.join_traffic(daily, traffic)
     else:
@@ -30,6 +30,4 @@ def daily_store_sales(
                 "is_holiday": F.lit(None).cast("boolean"),
             }
         )
-    if promo_ratio and promotions is not None:
-        daily = daily.join(facts.promotion_ratio(sales, promotions), ["date", "store_id"], "left")
     return daily if keep_all else facts.drop_leakage(daily)

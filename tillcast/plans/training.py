@@ -82,7 +82,7 @@ def preprocess(
     categorical = prep.text_columns(stage, columns)
     codes = None
     if categorical:
-        codes = materialize(prep.encode_fit(train, categorical), "codes")
+        codes = prep.encode_fit(train, categorical)
         stage = prep.encode_apply(stage, codes, categorical)
         train = stage.filter(F.col("split") == "train")
     scaling = materialize(prep.scale_fit(train, columns), "scaling")
