@@ -151,6 +151,25 @@ def test_first_event_and_default(spark):
     assert got == {D1: 1.0, D2: 1.0}
 
 
+def test_yearly_events_come_before_flash_sales(spark):
+    rows = spark.createDataFrame([(D1, 1), (D2, 1)], "date date, product_id int")
+    promotions = spark.createDataFrame(
+        [(D1, 1, "Flash Sale", 0.1), (D1, 1, "New Year Sale", 0.2), (D2, 1, "Flash Sale", 0.3),
+         (D2, 1, "Clearance", 0.4)],
+        "date date, product_id int, promotion_type string, discount_percent double",
+    )
+    got = {r["date"]: (r["discount_percent"], r["promotion_factor"])
+           for r in lookups.lookup_promo_price(rows, promotions).collect()}
+    assert got[D1] == (0.2, pytest.approx(1.6)) and got[D2] == (0.4, pytest.approx(2.2))
+
+
+def test_missing_numbers_do_not_spoil_sums(spark):
+    rows = sales_rows(spark).withColumn(
+        "revenue", F.when(F.col("product_id") == 11, F.lit(float("nan"))).otherwise(F.col("revenue"))
+    )
+    assert daily_store_sales(rows).filter(F.col("date") == F.lit(D1)).first()["sales"] == 14.0
+
+
 def test_encoder_sorts_labels_and_refuses_unseen(spark):
     train = spark.createDataFrame([("b",), ("a",), ("c",), ("b",)], "x string")
     codes = prep.encode_fit(train, ["x"])

@@ -160,6 +160,17 @@ def test_flagship_shuffles_by_key_only(tables):
     assert "BroadcastNestedLoopJoin" not in plan
 
 
+def test_no_query_multiplies_rows(spark, sf_dir):
+    """Cheap guard over registered joins: no cross or nested-loop join in any lazy plan."""
+    import __spark_entry__ as registered
+
+    for name in ["daily_store_sales", "expected_demand", "spine_cross", "except_keys",
+                 "request_history", "report_qq", "outliers_iqr", "promote_decision"]:
+        df = registered.queries()[name](spark, sf_dir)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "NestedLoop" not in plan, name
+
+
 def test_latest_rows_are_cut_before_the_shuffle(tables):
     plan = exchanges(windows.latest_per_group(tables.daily_stage, 30, ["store_id"]))
     assert "WindowGroupLimit" in plan
@@ -208,6 +219,12 @@ def test_training(trained):
     }
 
 
+def test_split_filters_skip_folders(trained):
+    _, model = trained
+    plan = model.prepared.rows.filter("split = 'val'")._jdf.queryExecution().executedPlan()
+    assert "(split" in plan.toString().split("PartitionFilters: [")[1].split("PushedFilters")[0]
+
+
 def test_search_draws_inside_the_ranges_and_repeats():
     first = training.draw_trials(training.BOOSTED_SEARCH, 30)
     assert first == training.draw_trials(training.BOOSTED_SEARCH, 30)

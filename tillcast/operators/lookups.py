@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tillcast import config
+
 
 def lookup_holiday(df: DataFrame, holidays: DataFrame, date_col: str = "date") -> DataFrame:
     """Add ``is_holiday``: whether the date is in the calendar.
@@ -40,12 +42,29 @@ def lookup_store_event(
 
 
 def lookup_promo_price(
-    df: DataFrame, promotions: DataFrame, multiplier: float = 3.0
+    df: DataFrame,
+    promotions: DataFrame,
+    multiplier: float = config.PROMOTION_MULTIPLIER,
+    priority: list[str] | None = None,
 ) -> DataFrame:
-    """Add the discount of the first promotion of the date and product, and its demand factor."""
+    """Add the discount of the first promotion of the date and product, and its demand factor.
+
+    First means earliest in ``priority``, by default the yearly events in their order; types
+    outside it follow by name and discount.
+    """
+    priority = priority or [name for name, *_ in config.PROMOTION_EVENTS]
+    place = F.array_position(F.array(*[F.lit(p) for p in priority]), F.col("promotion_type"))
     first = (
         promotions.groupBy("date", "product_id")
-        .agg(F.min(F.struct("promotion_type", "discount_percent")).alias("__promo"))
+        .agg(
+            F.min(
+                F.struct(
+                    F.when(place == 0, len(priority) + 1).otherwise(place).alias("place"),
+                    "promotion_type",
+                    "discount_percent",
+                )
+            ).alias("__promo")
+        )
     )
     discount = F.coalesce(F.col("__promo.discount_percent"), F.lit(0.0))
     return (

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Row, Window as W, functions as F
 
-RANGE_BITS = 8
+RANGE_BITS = 10
 BLOCK_ROWS = 100_000
 SORTED_ROWS = 1_000_000
 

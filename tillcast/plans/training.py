@@ -90,7 +90,7 @@ def preprocess(
     rows = prep.assemble(scaled, columns, target, ["split", *[f"__key_{k}" for k in keys]])
     for k in keys:
         rows = rows.withColumnRenamed(f"__key_{k}", k)
-    return Prepared(materialize(rows, "vectors"), columns, codes, scaling, categorical)
+    return Prepared(materialize(rows, "vectors", ("split",)), columns, codes, scaling, categorical)
 
 
 def boosted(**params) -> GBTRegressor:
@@ -233,6 +233,7 @@ def train_pipeline(
             [*keys, "split", F.col("label").alias("actual")],
         ),
         "predictions",
+        ("split",),
     )
     validation = evaluate.regression_metrics(scored.filter(F.col("split") == "val"))
     weights = materialize(evaluate.ensemble_weights(validation), "weights")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -71,12 +72,14 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder, unique per call."""
     run = spark.sparkContext.applicationId
-    token = spark.sparkContext._jvm.java.util.UUID.randomUUID().toString()
-    return f"{shared_dir(spark)}/{run}/{name}-{token}"
+    return f"{shared_dir(spark)}/{run}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df, name: str = "stage"):
-    """Cut lineage through a Parquet table in the shared folder."""
+def materialize(df, name: str = "stage", partition_by: tuple[str, ...] = ()):
+    """Cut lineage through a Parquet table in the shared folder.
+
+    ``partition_by`` names columns of a few values, whose filters then skip folders.
+    """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)

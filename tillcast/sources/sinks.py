@@ -68,7 +68,14 @@ def dataset_metadata(sales: DataFrame, catalog: DataFrame | None = None) -> Data
         .alias("file_counts")
     )
     total = counts.agg(F.coalesce(F.sum("files"), F.lit(0)))
-    return facts.withColumns({"file_counts": files.scalar(), "total_files": total.scalar()})
+    written = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
+    return facts.withColumns(
+        {
+            "generation_date": written,
+            "file_counts": files.scalar(),
+            "total_files": total.scalar(),
+        }
+    )
 
 
 def save_params(path: str, **tables: DataFrame) -> None:
