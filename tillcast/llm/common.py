@@ -29,7 +29,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def salted(x: np.ndarray, salt: int) -> np.ndarray:
-    return mix(x + _ODD * np.uint64(salt + 1))
+    return mix(x + np.uint64(int(_ODD) * (salt + 1) & (1 << 64) - 1))
 
 
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -86,10 +86,10 @@ def shingles(hashes: np.ndarray, bounds: np.ndarray, width: int, short: bool = F
     if short and (few := (counts > 0) & (counts < width)).any():
         extra = []
         for t in np.flatnonzero(few):
-            h = np.uint64(counts[t])
+            h = np.array([counts[t]], np.uint64)
             for w in hashes[bounds[t] : bounds[t + 1]]:
-                h = mix(np.array([h * _ODD + w], np.uint64))[0]
-            extra.append(h)
+                h = mix(h * _ODD + w)
+            extra.append(h[0])
         owner = np.concatenate([owner, np.flatnonzero(few)])
         order = np.argsort(owner, kind="stable")
         out, n = np.concatenate([out, np.array(extra, np.uint64)])[order], n + few

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillcast.llm import tokens
+from tillcast.llm import ann, chat, decontam, langid, neardup, packing, tokens, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,62 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(_table(spark, sf_dir, "documents"), _vocabulary(), limit=2048)
 
 
-QUERIES = {"op1_token_counts": op1_token_counts}
+def text_model(spark: SparkSession, sf_dir: str) -> langid.TextModel:
+    return langid.fit(_table(spark, sf_dir, "documents"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and pages; a document's source is its host, a page has an address and markup."""
+    documents, pages = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "pages")
+    none = F.lit(None).cast("string")
+    host, domain, suffix = langid.host_of(F.col("url"))
+    rows = documents.select(
+        "doc_id", F.lit(None).cast("long").alias("page_id"), "text", F.col("lang").alias("declared"),
+        none.alias("marker"), F.col("source").alias("host"), none.alias("domain"), none.alias("suffix"),
+    ).unionByName(pages.select(
+        F.lit(None).cast("long").alias("doc_id"), "page_id", langid.visible(F.col("html")).alias("text"),
+        langid.declared_of(F.col("html")).alias("declared"), langid.marker_of(F.col("url")).alias("marker"),
+        host.alias("host"), domain.alias("domain"), suffix.alias("suffix"),
+    ))
+    found = langid.identify(rows, text_model(spark, sf_dir), langid.Evidence("text", "declared", "marker", "host", "domain", "suffix"))
+    return found.select("doc_id", "page_id", "language", "posterior", "accepted")
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.archive_index(_table(spark, sf_dir, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(_table(spark, sf_dir, "documents"), _vocabulary(), capacity=2048)
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(chat.format_windows(rows.unionByName(chat.control_conversation(rows))))
+
+
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {
+    "op1_token_counts": op1_token_counts,
+    "op3_language_id": op3_language_id,
+    "op4_decontamination": op4_decontamination,
+    "op5_warc": op5_warc,
+    "op6_packing": op6_packing,
+    "op7_chat": op7_chat,
+    "op8_near_duplicates": op8_near_duplicates,
+    "op9_neighbours": op9_neighbours,
+}
 
 ORACLES: dict[str, str] = {}

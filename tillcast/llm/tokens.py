@@ -68,32 +68,57 @@ def merged(symbols: list[str], ranks: Ranks) -> int:
     return left
 
 
-class Counter:
-    """Counts tokens of texts with the rules of one vocabulary file."""
+class Words:
+    """Splits texts as one vocabulary file says: into words, and those into pieces to merge."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
-        library = Tokenizer.from_file(path)
+            self.spec = spec = json.load(file)
+        self.library = library = Tokenizer.from_file(path)
         self._normalize = library.normalizer.normalize_str if library.normalizer else str
         self._split = library.pre_tokenizer.pre_tokenize_str
-        self._end = spec["model"].get("end_of_word_suffix") or ""
-        merges = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
-        self._ranks: Ranks = {(a, b): i for i, (a, b) in enumerate(merges)}
-        special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
-        self._special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
-        self._marks = {t[:2] for t in special}
+        special = sorted(((t["content"], t["id"]) for t in spec["added_tokens"]), key=lambda t: -len(t[0]))
+        self._special = dict(special)
+        self._find = re.compile("(" + "|".join(re.escape(t) for t, _ in special) + ")") if special else None
+        self._marks = {t[:2] for t, _ in special}
         # on printable ASCII the library's folding is lower() and its byte symbols are the text
         kinds = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
         steps = spec["pre_tokenizer"].get("pretokenizers", [])
         known = kinds == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in steps] == ["Split", "ByteLevel"]
         self._ascii = regex.compile(steps[0]["pattern"]["Regex"]).findall if known else None
+
+    def _plain(self, text: str) -> list[str]:
+        if self._ascii and text.isascii() and text.isprintable():
+            return self._ascii(text.lower())
+        return [p for p, _ in self._split(self._normalize(text)) if p]
+
+    def pieces(self, word: str) -> list[str | int]:
+        """Pieces of a text without blanks and line ends; special strings become their ids."""
+        if self._find and any(m in word for m in self._marks):
+            parts = self._find.split(word)  # every second part is a special string
+            out: list[str | int] = []
+            for i, part in enumerate(parts):
+                out += [self._special[part]] if i % 2 else self._plain(part) if part else []
+            return out
+        return self._plain(word)
+
+
+class Counter(Words):
+    """Counts tokens of texts."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self._end = self.spec["model"].get("end_of_word_suffix") or ""
+        merges = (m.split(" ") if isinstance(m, str) else m for m in self.spec["model"]["merges"])
+        self._ranks: Ranks = {(a, b): i for i, (a, b) in enumerate(merges)}
         self._words: dict[str, int] = {}
         self._pieces: dict[str, int] = {}
 
-    def _piece(self, piece: str) -> int:
+    def _piece(self, piece: str | int) -> int:
+        if isinstance(piece, int):
+            return 1
         n = self._pieces.get(piece)
         if n is None:
             symbols = list(piece)
@@ -105,17 +130,8 @@ class Counter:
                 self._pieces[piece] = n
         return n
 
-    def _plain(self, text: str) -> int:
-        if self._ascii and text.isascii() and text.isprintable():
-            return sum(map(self._piece, self._ascii(text.lower())))
-        return sum(self._piece(p) for p, _ in self._split(self._normalize(text)) if p)
-
     def _word(self, word: str) -> int:
-        if self._special and any(m in word for m in self._marks):
-            parts = self._special.split(word)  # every second part is a special string
-            n = len(parts) // 2 + sum(self._plain(p) for p in parts[::2] if p)
-        else:
-            n = self._plain(word)
+        n = sum(map(self._piece, self.pieces(word)))
         if len(word) <= KEPT_LENGTH:
             if len(self._words) >= KEPT_WORDS:
                 self._words.clear()
