@@ -2,7 +2,7 @@ r"""Benchmark decontamination by templates, with DataFrame functions only.
 
 Documents and benchmark items become templates: words in lower case without punctuation, where
 numbers, names (capitalised words inside a sentence) and units (after a number) are typed
-placeholders. Runs of ``width`` template words are joined by hash. A run with fewer than half
+placeholders. Runs of ``width`` template words are joined by hash. A run with fewer than two
 plain words would match anything, so it is joined by its original words instead.
 
 Along each alignment of a document and an item (the same distance between their places) the
@@ -24,6 +24,8 @@ and ``clean`` gives them back as they were.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tillcast.session import materialize
@@ -61,26 +63,27 @@ def template(text: Column) -> Column:
     out = F.coalesce(text.cast("string"), F.lit(""))
     out = F.regexp_replace(out, rf"(?i)(?<=\p{{N}} )(?:{UNITS})(?![\p{{L}}\p{{N}}])", UNIT)
     # the capital is looked for first: it is rare, and what stands before it is then checked
-    out = F.regexp_replace(out, r"\p{Lu}(?<=[^\s.!?:] .)[\p{L}\p{M}'’-]*", NAME)
+    out = F.regexp_replace(out, r"\p{Lu}(?<=[^\s.!?:] .)\p{Ll}[\p{L}\p{M}'’-]*", NAME)
     out = F.regexp_replace(out, r"(?<!\S)[-+$€£(\[\"']{0,3}\p{N}\S*", NUMBER)
     out = F.regexp_replace(out, rf"(?i)\b(?<![\p{{L}}\p{{N}}])(?:{NUMBER_WORDS})(?![\p{{L}}\p{{N}}])", NUMBER)
     return _words(out)
 
 
 def _runs(rows: DataFrame, width: int) -> DataFrame:
-    """One row for each run of ``width`` words: its place and key; the word arrays come along.
+    """One row for each run of ``width`` words: its place, its key and its own few words.
 
-    Nothing is copied for a row that a following broadcast join drops, since the arrays stay
-    in the input row of the generated loop.
+    The document's arrays are left behind here, so a row stays small however long the text is; in
+    front of a broadcast join the generated loop takes the words of matching runs only.
     """
     placed = rows.where(F.size("t") >= width).select(
         "*", F.explode(F.sequence(F.lit(0), F.size("t") - width)).alias("at")
     )
     at = lambda name: [F.col(name)[F.col("at") + k] for k in range(width)]
     slots = sum((w.isin(NUMBER, NAME, UNIT).cast("int") for w in at("t")), F.lit(0))
-    return placed.withColumn(
-        "key", F.when(slots * 2 <= width, F.xxhash64(F.lit(width), *at("t"))).otherwise(F.xxhash64(F.lit(-width), *at("w")))
-    )
+    key = F.when(slots <= width - 2, F.xxhash64(F.lit(width), *at("t"))).otherwise(F.xxhash64(F.lit(-width), *at("w")))
+    cut = lambda name: F.slice(name, F.col("at") + 1, width)
+    kept = [c for c in rows.columns if c not in ("w", "t")]
+    return placed.select(*kept, F.size("t").alias("words"), "at", key.alias("key"), cut("w").alias("run"), cut("t").alias("run_template"))
 
 
 def _benchmark(benchmark: DataFrame, id_col: str, text_col: str, width: int) -> tuple[DataFrame, list[int]]:
@@ -93,8 +96,8 @@ def _benchmark(benchmark: DataFrame, id_col: str, text_col: str, width: int) ->
     runs = None
     for n in widths:
         own = _runs(items.where(F.col("width") == n), n)
-        own = own.select("item_id", "item", "width", (F.size("t") - F.col("width") + 1).alias("runs"), F.col("at").alias("place"), "key",
-                         F.slice("w", F.col("at") + 1, n).alias("item_words"), F.slice("t", F.col("at") + 1, n).alias("item_template"))
+        own = own.select("item_id", "item", "width", (F.col("words") - n + 1).alias("runs"), F.col("at").alias("place"), "key",
+                         F.col("run").alias("item_words"), F.col("run_template").alias("item_template"))
         runs = own if runs is None else runs.unionByName(own)
     if runs is None:
         return benchmark.sparkSession.createDataFrame(
@@ -103,13 +106,6 @@ def _benchmark(benchmark: DataFrame, id_col: str, text_col: str, width: int) ->
     return materialize(runs, "item_runs"), widths
 
 
-def _all_runs(docs: DataFrame, widths: list[int]) -> DataFrame:
-    out = _runs(docs, widths[0])
-    for n in widths[1:]:
-        out = out.unionByName(_runs(docs, n))
-    return out
-
-
 def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, coverage: float = COVERAGE, id_col: str = "doc_id",
             text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", broadcast_runs: int = BROADCAST_RUNS) -> DataFrame:
     """(uid, doc_id, item_id, coverage, verbatim): ``uid`` is the hash of a document's id and text."""
@@ -121,16 +117,19 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, coverage:
     if bench.count() <= broadcast_runs:
         bench = F.broadcast(bench)
     else:
-        shared = _all_runs(rows, widths).select("uid", "key").join(bench.select("key").distinct(), "key", "left_semi").select("uid").distinct()
+        keys = reduce(DataFrame.unionByName, [_runs(rows, n).select("uid", "key") for n in widths])
+        shared = keys.join(bench.select("key").distinct(), "key", "left_semi").select("uid").distinct()
         rows = rows.join(materialize(shared, "suspects"), "uid", "left_semi")
     slot = lambda k: F.col("item_template")[k].isin(NUMBER, NAME, UNIT)
     pairs = F.transform(
         F.filter(F.sequence(F.lit(0), F.col("width") - 1), slot),
-        lambda k: F.struct(F.col("item_words")[k].alias("item"), F.col("w")[F.col("at") + k].alias("doc")),
-    )
-    found = _all_runs(rows, widths).join(bench, "key").select(
-        "uid", "doc_id", "item_id", "item", "runs", (F.col("at") - F.col("place")).alias("shift"), "place", pairs.alias("pairs")
+        lambda k: F.struct(F.col("item_words")[k].alias("item"), F.col("run")[k].alias("doc")),
     )
+    found = reduce(DataFrame.unionByName, [
+        _runs(rows, n).join(bench.where(F.col("width") == n), "key").select(
+            "uid", "doc_id", "item_id", "item", "runs", (F.col("at") - F.col("place")).alias("shift"), "place", pairs.alias("pairs")
+        ) for n in widths
+    ])
     aligned = found.groupBy("uid", "doc_id", "item_id", "item", "runs", "shift").agg(
         F.collect_set("place").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
     ).where(F.size(F.array_distinct("pairs.item")) == F.size("pairs"))

@@ -4,21 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillcast.llm import ann, chat, decontam, langid, neardup, packing, tokens, warc
+from tillcast.llm import ann, chat, decontam, langid, lmscore, neardup, packing, passages, tokens, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _vocabulary() -> str:
+def vocabulary() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.token_counts(_table(spark, sf_dir, "documents"), _vocabulary(), limit=2048)
+    return tokens.token_counts(_table(spark, sf_dir, "documents"), vocabulary(), limit=2048)
+
+
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.scores(_table(spark, sf_dir, "documents"), vocabulary())
 
 
 def text_model(spark: SparkSession, sf_dir: str) -> langid.TextModel:
@@ -52,7 +56,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed_documents(_table(spark, sf_dir, "documents"), _vocabulary(), capacity=2048)
+    return packing.packed_documents(_table(spark, sf_dir, "documents"), vocabulary(), capacity=2048)
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,8 +72,13 @@ def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(_table(spark, sf_dir, "embeddings"))
 
 
+def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_lm_scores": op2_lm_scores,
     "op3_language_id": op3_language_id,
     "op4_decontamination": op4_decontamination,
     "op5_warc": op5_warc,
@@ -77,6 +86,7 @@ QUERIES = {
     "op7_chat": op7_chat,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_neighbours": op9_neighbours,
+    "op10_repeated_passages": op10_repeated_passages,
 }
 
 ORACLES: dict[str, str] = {}
