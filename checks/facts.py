@@ -36,12 +36,31 @@ def clamp(t: Tables):
     return weather(t).withColumn("weather_impact", demand.clamp("weather_impact"))
 
 
+def product_day(t: Tables):
+    """The roll-up; its plain means are compared to 9 digits."""
+    return facts.product_day(t.sales).withColumns(
+        {c: F.round(c, 9) for c in ("discount_percent", "unit_price")}
+    )
+
+
+def product_day_fine(t: Tables):
+    """The roll-up of amounts and discounts with more than 4 decimals."""
+    fine = t.sales.withColumns({
+        "discount_percent": F.col("discount_percent") / F.lit(7.0),
+        "revenue": F.round(F.col("revenue") / F.lit(3.0), 7),
+    })
+    return facts.product_day(fine).select(
+        "date", "store_id", "product_id", "category", F.round("sales", 7).alias("sales"),
+        F.round("discount_percent", 9).alias("discount_percent"),
+    )
+
+
 def join_promotions(t: Tables):
-    return facts.join_promotions(facts.product_day(t.sales), t.promotions)
+    return facts.join_promotions(product_day(t), t.promotions)
 
 
 def join_traffic(t: Tables):
-    return facts.join_traffic(facts.product_day(t.sales), t.customer_traffic)
+    return facts.join_traffic(product_day(t), t.customer_traffic)
 
 
 def join_actual_pred(t: Tables):
@@ -152,7 +171,11 @@ QUERIES = {
         left join (select date, store_id as s, category as c, sum(quantity_sold) as q
                    from {product_day} group by all) f
         on f.date = cast(d as date) and f.s = k.store_id and f.c = k.category""")),
-    "agg_product_day": (lambda t: facts.product_day(t.sales), sql("select * from {product_day}")),
+    "agg_product_day": (product_day, sql("select * from {product_day}")),
+    "agg_product_day_fine": (product_day_fine, sql("""select date, store_id, product_id, category,
+        round(sum(round(revenue / 3.0::double, 7)), 7) as sales,
+        round(avg(discount_percent / 7.0::double), 9) as discount_percent
+        from {sales} group by all""")),
     "agg_promo_summary": (
         lambda t: facts.promotion_summary(t.promotions), sql("select * from {promo_summary}")),
     "agg_traffic_day": (

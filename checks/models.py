@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from checks.views import SEQUENCE_COLUMNS, Tables, band, sql
 from tillcast.functions import calendar
@@ -107,8 +107,7 @@ def transition_stage(t: Tables):
 
 
 def holdout_validate(t: Tables):
-    rows = t.predictions.filter(F.col("model") == "model_b")
-    made = evaluate.holdout_validate(rows, ["date", "store_id"])
+    made = evaluate.holdout_validate(t.predictions)
     return rounded(made, ["validation_rmse", "validation_mae", "validation_r2"])
 
 
@@ -158,7 +157,7 @@ def zero_target(t: Tables):
 def diagnosis_report(t: Tables):
     data = split_chrono(t.store_day_stage)
     made = diagnose.diagnosis_report(data, t.prediction_stage, "sales", LEAKY)
-    return rounded(made, ["value"], 5)
+    return rounded(made, ["value"], 3)
 
 
 def variance_topk(t: Tables):
@@ -263,17 +262,22 @@ CORR_SQL = """select feature, case when not isnan(corr) then corr end as corr fr
 
 
 def _report_part(check, subject, value, flagged, message, source):
-    return f"""select '{check}' as "check", {subject} as subject, round(({value})::double, 5) as value,
+    return f"""select '{check}' as "check", {subject} as subject, round(({value})::double, 3) as value,
         {flagged} as flagged, case when {flagged} then '{message}' end as message from ({source})"""
 
 
 _SIZES = "select split, count(*) as n, count(*) filter (sales = 0) as zeros from {daily_split} group by split"
 DIAGNOSIS_SQL = " union all ".join([
     _report_part("outliers", "split", "share", "false", "", OUTLIERS_SQL),
+    _report_part("outlier_lower_bound", "split", "lower_bound", "false", "", OUTLIERS_SQL),
+    _report_part("outlier_upper_bound", "split", "upper_bound", "false", "", OUTLIERS_SQL),
     _report_part("distribution_shift", "split", "mean_shift", "mean_shift > 0.2",
                  "significant distribution shift against train", SHIFT_SQL),
-    _report_part("extreme_low", "model", "extreme_low", "false", "", EXTREMES_SQL),
-    _report_part("extreme_high", "model", "extreme_high", "false", "", EXTREMES_SQL),
+    *[
+        _report_part(figure, "model", figure, "false", "", EXTREMES_SQL)
+        for figure in ["pred_mean", "pred_std", "residual_mean", "residual_std", "mape",
+                       "extreme_low", "extreme_high"]
+    ],
     _report_part("leakage", "feature", "corr", "coalesce(abs(corr) > 0.95, false)",
                  "potential data leakage", "select f.feature, c.corr from (values ('quantity_sold'), "
                  "('profit'), ('has_promotion'), ('customer_traffic')) f(feature) left join "
@@ -286,19 +290,14 @@ DIAGNOSIS_SQL = " union all ".join([
 ])
 
 
-# --- learners: no SQL counterpart ---
-
-SMALL_BOOSTED = {"maxIter": 10, "maxDepth": 4}
-SMALL_FOREST = {"numTrees": 10, "maxDepth": 5}
-_PREPARED: dict = {}
+# --- learners: what does not depend on the learner's numbers ---
 
 
 def prepared(t: Tables):
-    """Preprocessed vectors, written once per session and folder."""
-    key = (t.spark.sparkContext.applicationId, t.dir)
-    if key not in _PREPARED:
-        _PREPARED[key] = training.preprocess(t.features)
-    return _PREPARED[key]
+    """Preprocessed vectors, made by each query for itself."""
+    if not hasattr(t, "_prepared"):
+        t._prepared = training.preprocess(t.features)
+    return t._prepared
 
 
 def assemble_xy(t: Tables):
@@ -310,55 +309,77 @@ def assemble_xy(t: Tables):
     )
 
 
+def finite(column: str):
+    return F.col(column).isNotNull() & ~F.isnan(column) & (F.abs(column) < float("inf"))
+
+
 def _scored(model, t: Tables):
     test = prepared(t).rows.filter(F.col("split") == "test")
-    return model.transform(test).select("date", "store_id", F.col("label").alias("actual"), "prediction")
+    return model.transform(test).select(
+        "date", "store_id", F.col("label").alias("actual"), finite("prediction").alias("finite"),
+        F.lit(model.getNumTrees).alias("trees"),
+    )
 
 
 def train_gbt(t: Tables):
-    return _scored(training.train_gbt(prepared(t).rows, **SMALL_BOOSTED), t)
+    return _scored(training.train_gbt(prepared(t).rows), t)
 
 
 def train_second(t: Tables):
-    return _scored(training.train_second(prepared(t).rows, **SMALL_FOREST), t)
+    return _scored(training.train_second(prepared(t).rows), t)
+
+
+def _scored_sql(trees: int) -> str:
+    return sql(f"""select date, store_id, sales as actual, true as finite, {trees} as trees
+        from {{daily_split}} where split = 'test'""")
 
 
 def tune_search(t: Tables):
-    space = {"numTrees": (5, 15), "maxDepth": (3, 5)}
-    made = training.tune_search(prepared(t).rows, training.train_second, space, trials=3)
-    return made.select("trial", F.to_json("params").alias("params"), "rmse")
+    """All trials of the second learner over its full ranges; every draw lies inside them."""
+    made = training.tune_search(
+        prepared(t).rows, training.train_second, training.FOREST_SEARCH, parallelism=4
+    )
+    inside = F.lit(True)
+    for name, (low, high) in training.FOREST_SEARCH.items():
+        inside = inside & F.col("params")[name].between(low, high)
+    return made.select("trial", inside.alias("inside"), (finite("rmse") & (F.col("rmse") > 0)).alias("scored"))
 
 
 def feature_importance(t: Tables):
     p = prepared(t)
-    model = training.train_second(p.rows, **SMALL_FOREST)
-    made = training.feature_importance({"forest": model}, p.features, t.spark)
-    return report.importance_table(made)
-
-
-_TRAINED: dict = {}
+    models = {"boosted": training.train_gbt(p.rows), "forest": training.train_second(p.rows)}
+    made = training.feature_importance(models, p.features, t.spark)
+    total = F.sum("importance").over(Window.partitionBy("model"))
+    return made.select(
+        "model", "feature", F.col("importance").between(0, 1).alias("share"), F.round(total, 6).alias("total")
+    )
 
 
 def trained(t: Tables):
-    key = (t.spark.sparkContext.applicationId, t.dir)
-    if key not in _TRAINED:
-        _TRAINED[key] = training.train_pipeline(
-            t.features, boosted_params=SMALL_BOOSTED, forest_params=SMALL_FOREST
-        )
-    return _TRAINED[key]
+    """Both learners at their own settings; the search has a query of its own."""
+    return training.train_pipeline(t.features, trials=0)
 
 
 def train_pipeline(t: Tables):
-    return evaluate.metrics_long(trained(t).metrics)
+    made = trained(t).metrics
+    good = F.lit(True)
+    for name in MEASURES:
+        good = good & finite(name)
+    return made.select("model", "n", good.alias("finite"), (F.col("rmse") >= F.col("mae")).alias("ordered"))
 
 
 def batch_predict(t: Tables):
     accepted, _ = calendar.split_requests(t.requests)
     model = trained(t)
-    return batch.batch_predict(
+    made = batch.batch_predict(
         accepted.select("store_id", "request_date"), t.daily, t.holidays,
         model.prepared, model.models, model.weights,
     )
+    def near(bound, z):
+        return F.abs(F.col(bound) - (F.col("prediction") + z * 0.1 * F.col("prediction"))) <= 0.0101
+
+    bands = near("lower_80", -1.28) & near("upper_80", 1.28) & near("lower_95", -1.96) & near("upper_95", 1.96)
+    return made.select("store_id", "date", "model", "model_version", bands.alias("bands"))
 
 
 VECTOR_COLUMNS = [
@@ -412,9 +433,7 @@ QUERIES = {
         round(sqrt(avg((actual - prediction) ** 2)), 3) as validation_rmse,
         round(avg(abs(actual - prediction)), 3) as validation_mae,
         round(1 - avg((actual - prediction) ** 2) / var_pop(actual), 3) as validation_r2,
-        count(*) as validation_samples from (select * from {predictions} where model = 'model_b'
-        order by md5(strftime(date, '%Y-%m-%d') || '|' || store_id || '|42'), date, store_id
-        limit 1000) group by model""")),
+        count(*) as validation_samples from {predictions} group by model""")),
     "outliers_iqr": (outliers_iqr, sql(OUTLIERS_SQL)),
     "dist_shift": (dist_shift, sql(f"""select split, round(mean, 3) as mean, round(std, 3) as std, n,
         round(mean_shift, 6) as mean_shift, mean_shift > 0.2 as flagged from ({SHIFT_SQL})""")),
@@ -491,10 +510,17 @@ QUERIES = {
         partition by model order by importance desc, feature) as int) as rank from {importances})
         where rank <= 5""")),
     "assemble_xy": (assemble_xy, _assemble_sql()),
-    "train_gbt": (train_gbt, None),
-    "train_second": (train_second, None),
-    "tune_search": (tune_search, None),
-    "feature_importance": (feature_importance, None),
-    "train_pipeline": (train_pipeline, None),
-    "batch_predict": (batch_predict, None),
+    "train_gbt": (train_gbt, _scored_sql(100)),
+    "train_second": (train_second, _scored_sql(100)),
+    "tune_search": (tune_search, """select cast(i as int) as trial, true as inside, true as scored
+        from range(30) r(i)"""),
+    "feature_importance": (feature_importance, f"""select model, feature, true as share, 1.0::double as total
+        from (values ('boosted'), ('forest')) m(model),
+        (values {", ".join(f"('{c}')" for c in VECTOR_COLUMNS)}) f(feature)"""),
+    "train_pipeline": (train_pipeline, sql("""select model, n, true as finite, true as ordered
+        from (select count(*) as n from {daily_split} where split = 'test'),
+        (values ('boosted'), ('forest'), ('ensemble')) m(model)""")),
+    "batch_predict": (batch_predict, sql("""select store_id, date, model, 'v1' as model_version,
+        true as bands from {requests}, (values ('boosted'), ('forest'), ('ensemble')) m(model)
+        where regexp_matches(date, '^[0-9]+-[0-9]+-[0-9]+$')""")),
 }

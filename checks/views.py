@@ -331,9 +331,7 @@ VIEWS = {
         cast(sum(cast(revenue as decimal(18,4))) as double) as sales,
         cast(sum(cast(cost as decimal(18,4))) as double) as cost,
         cast(sum(cast(profit as decimal(18,4))) as double) as profit,
-        cast(sum(cast(discount_percent as decimal(18,4))) as double) / count(discount_percent)
-          as discount_percent,
-        cast(sum(cast(unit_price as decimal(18,4))) as double) / count(unit_price) as unit_price
+        round(avg(discount_percent), 9) as discount_percent, round(avg(unit_price), 9) as unit_price
         from {sales} group by all""",
     "promo_summary": """select date, product_id, max(discount_percent) as max_discount,
         1 as has_promotion from {promotions} group by date, product_id""",

@@ -29,15 +29,15 @@ def skewed():
 
 def test_position_and_range(spark, skewed):
     df = spark.createDataFrame(skewed).repartition(5)
-    got = ordering.with_position(df, ["date", "store_id"], bits=4).toPandas()
+    got = ordering.with_position(df, ["date", "store_id"], range_rows=200).toPandas()
     got = got.sort_values("position", ignore_index=True)
     assert list(got["position"]) == list(range(len(skewed)))
     assert (got["store_id"] == skewed["store_id"]).all()
 
 
-@pytest.mark.parametrize("sorted_rows", [1_000_000, 10])
-def test_split_matches_positions(spark, skewed, sorted_rows, monkeypatch):
-    monkeypatch.setattr(ordering, "SORTED_ROWS", sorted_rows)
+@pytest.mark.parametrize("range_rows", [1_000_000, 10])
+def test_split_matches_positions(spark, skewed, range_rows, monkeypatch):
+    monkeypatch.setattr(ordering.keys_at, "__defaults__", ("total", range_rows))
     df = spark.createDataFrame(skewed).repartition(5)
     got = split_chrono(df).toPandas().sort_values(["date", "store_id"], ignore_index=True)
     n = len(skewed)
@@ -46,6 +46,17 @@ def test_split_matches_positions(spark, skewed, sorted_rows, monkeypatch):
     assert list(got["split"]) == expected
 
 
+def test_ranges_grow_with_the_rows(spark, skewed):
+    df = spark.createDataFrame(skewed)
+    for rows in (100, 1000):
+        made = ordering.with_range(df, ["date", "store_id"], "r", range_rows=rows)
+        sizes = [r["count"] for r in made.groupBy("r").count().collect()]
+        assert sum(sizes) == len(skewed) and len(sizes) >= len(skewed) // rows - 1
+    import inspect
+
+    assert "offset(" not in inspect.getsource(ordering)
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 7])
 def test_split_of_few_rows(spark, n):
     days = pd.date_range("2024-01-01", periods=n).date
@@ -55,8 +66,8 @@ def test_split_of_few_rows(spark, n):
     assert list(got["split"]) == ["train"] * train + ["val"] * val + ["test"] * (n - train - val)
 
 
-@pytest.mark.parametrize("accuracy", [100, 10_000])
-def test_quantiles_of_hot_group_and_hot_value(spark, accuracy):
+@pytest.mark.parametrize("accuracy, range_rows", [(100, 50), (10_000, 1_000_000)])
+def test_quantiles_of_hot_group_and_hot_value(spark, accuracy, range_rows):
     rng = np.random.default_rng(3)
     frame = pd.DataFrame(
         {
@@ -68,7 +79,7 @@ def test_quantiles_of_hot_group_and_hot_value(spark, accuracy):
     frame.loc[10, "v"] = None
     df = spark.createDataFrame(frame).withColumn("v", F.when(~F.isnan("v"), F.col("v")))
     probabilities = [0.0, 0.25, 0.5, 0.9, 1.0]
-    got = quantiles.exact_quantiles(df, "v", probabilities, ["g"], accuracy).toPandas()
+    got = quantiles.exact_quantiles(df, "v", probabilities, ["g"], accuracy, range_rows).toPandas()
     for row in got.itertuples():
         expected = frame[frame["g"] == row.g]["v"].quantile(row.probability)
         assert row.quantile == pytest.approx(expected, abs=1e-12)
@@ -115,21 +126,49 @@ def test_halo_deeper_than_block_is_refused(spark, skewed):
 @pytest.mark.parametrize("scope", ["group", "global"])
 def test_fill_matches_pandas(spark, skewed, scope):
     frame = skewed.copy()
-    frame["x_lag"] = frame["sales"].where(frame["sales"] % 7 == 0)
-    df = spark.createDataFrame(frame).withColumn("x_lag", F.when(~F.isnan("x_lag"), F.col("x_lag")))
-    got = fill.fill_sequences(df, ["x_lag"], scope=scope).toPandas()
+    frame["x_lag_1"] = frame["sales"].where(frame["sales"] % 7 == 0)
+    df = spark.createDataFrame(frame).withColumn("x_lag_1", F.when(~F.isnan("x_lag_1"), F.col("x_lag_1")))
+    got = fill.fill_sequences(df, ["x_lag_1"], scope=scope).toPandas()
     got = got.sort_values(["store_id", "date"], ignore_index=True)
     want = frame.sort_values(["store_id", "date"], ignore_index=True)
     if scope == "global":
-        expected = want["x_lag"].ffill().bfill()
+        expected = want["x_lag_1"].ffill().bfill()
     else:
-        expected = want.groupby("store_id")["x_lag"].transform(lambda x: x.ffill().bfill())
-    pd.testing.assert_series_equal(got["x_lag"], expected, check_names=False)
+        expected = want.groupby("store_id")["x_lag_1"].transform(lambda x: x.ffill().bfill())
+    pd.testing.assert_series_equal(got["x_lag_1"], expected, check_names=False)
 
 
 def test_fill_of_a_column_without_values(spark):
     df = spark.createDataFrame(
-        [(1, "2024-01-01", None), (1, "2024-01-02", None)], "store_id int, date string, a_lag double"
+        [(1, "2024-01-01", None), (1, "2024-01-02", None)], "store_id int, date string, a_lag_1 double"
     )
     for scope in ["group", "global"]:
-        assert fill.fill_sequences(df, scope=scope).filter("a_lag is not null").count() == 0
+        assert fill.fill_sequences(df, scope=scope).filter("a_lag_1 is not null").count() == 0
+
+
+def test_only_sequence_features_are_filled(spark):
+    df = spark.createDataFrame(
+        [(1, "2024-01-01", 1, 2.0), (1, "2024-01-02", None, None)],
+        "store_id int, date string, promo_flag int, y_rolling_3_mean double",
+    )
+    assert fill.sequence_columns(df) == ["y_rolling_3_mean"]
+    assert fill.fill_sequences(df).filter("promo_flag is null").count() == 1
+
+
+def test_quantiles_outside_a_bracket_are_found(spark, monkeypatch):
+    """A first attempt with no margin at all misses; the wider ones do not."""
+    df = spark.range(1000).select((F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("v"))
+    plain = quantiles._bracketed
+    seen = []
+
+    def narrow(data, probabilities, group_cols, accuracy, margin, range_rows):
+        seen.append(margin)
+        made = plain(data, probabilities, group_cols, accuracy, margin, range_rows)
+        miss = (F.col("probability") == 0.5) & F.lit(len(seen) == 1)
+        return made.withColumn("quantile", F.when(~miss, F.col("quantile")))
+
+    monkeypatch.setattr(quantiles, "_bracketed", narrow)
+    got = {(r["g"], r["probability"]): r["quantile"] for r in
+           quantiles.exact_quantiles(df, "v", [0.25, 0.5], ["g"]).collect()}
+    want = {(g, p): float(np.quantile(np.arange(g, 1000, 3), p)) for g in range(3) for p in (0.25, 0.5)}
+    assert got == want and len(seen) == 2

@@ -55,7 +55,7 @@ def test_scan_prunes_folders(spark, dataset):
     assert "month" not in scan.columns
     plan = scan._jdf.queryExecution().executedPlan().toString()
     partition_filters = plan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
-    assert "year" in partition_filters and "month" in partition_filters
+    assert "year" in partition_filters and "month" in partition_filters and "day" in partition_filters
 
 
 @pytest.mark.parametrize("unit, date_as", [("us", "timestamp"), ("ns", "nanos")])
@@ -164,7 +164,7 @@ def test_no_query_multiplies_rows(spark, sf_dir):
     """Cheap guard over registered joins: no cross or nested-loop join in any lazy plan."""
     import __spark_entry__ as registered
 
-    for name in ["daily_store_sales", "expected_demand", "spine_cross", "except_keys",
+    for name in ["daily_store_sales", "spine_cross", "except_keys",
                  "request_history", "report_qq", "outliers_iqr", "promote_decision"]:
         df = registered.queries()[name](spark, sf_dir)
         plan = df._jdf.queryExecution().executedPlan().toString()
@@ -196,7 +196,7 @@ def trained(spark, tables):
     features = all_features(daily, tables.holidays)
     model = training.train_pipeline(
         features, boosted_params={"maxIter": 5, "maxDepth": 3},
-        forest_params={"numTrees": 5, "maxDepth": 4},
+        forest_params={"numTrees": 5, "maxDepth": 4}, trials=0,
     )
     return daily, model
 
@@ -214,8 +214,9 @@ def test_training(trained):
     assert [r["s"] for r in per_model] == pytest.approx([1.0, 1.0])
     checks = {r["check"] for r in model.diagnosis.select("check").distinct().collect()}
     assert checks == {
-        "outliers", "distribution_shift", "extreme_low", "extreme_high", "leakage", "zero_target",
-        "sample_size", "feature_count",
+        "outliers", "outlier_lower_bound", "outlier_upper_bound", "distribution_shift", "leakage",
+        "zero_target", "sample_size", "feature_count", "extreme_low", "extreme_high", "pred_mean",
+        "pred_std", "residual_mean", "residual_std", "mape",
     }
 
 
@@ -330,3 +331,94 @@ def test_registered_names():
     names = registered.queries()
     assert set(registered.oracle_sql()) <= set(names)
     assert len(names) >= 100
+
+
+def test_boosting_uses_all_rounds_and_patience_settles_on_the_best(spark):
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = spark.range(1200).select(
+        (F.col("id") % 97).cast("double").alias("a"), (F.col("id") % 13).cast("double").alias("b"),
+        F.when(F.col("id") % 4 == 0, "val").otherwise("train").alias("split"),
+    ).withColumn("label", F.sin(F.col("a") / 9) * 10 + F.col("b") + F.when(F.col("split") == "train", F.rand(1) * 20).otherwise(10.0))
+    rows = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(rows)
+    full = training.train_gbt(rows, maxIter=25, maxDepth=3, stepSize=0.4)
+    assert full.getNumTrees == 25
+    losses = full.evaluateEachIteration(rows.filter("split = 'val'"), "squared")
+    kept = training.train_gbt(rows, patience=4, maxIter=25, maxDepth=3, stepSize=0.4)
+    assert kept.getNumTrees == training.best_round(losses, 4) > 1
+    assert training.best_round([5, 4, 3, 3.5, 3.4, 3.3, 1], 3) == 3
+    assert training.best_round([5, 4, 3, 3.5, 3.4, 3.3, 1], 9) == 7 and training.best_round([1.0], 1) == 1
+
+
+@pytest.fixture(scope="module")
+def custom(spark, tables):
+    """A model with its own lags and windows and a feature that only requests can bring."""
+    daily = tables.daily_stage.withColumn("store_id", F.format_string("store_%03d", "store_id")).withColumn(
+        "footfall", F.dayofmonth("date").cast("double")
+    )
+    spec = training.FeatureSpec(lags=[1, 60], windows=[5], functions=["mean"])
+    model = training.train_pipeline(
+        spec.build(daily, tables.holidays), boosted_params={"maxIter": 3, "maxDepth": 3},
+        forest_params={"numTrees": 3, "maxDepth": 3}, trials=0, spec=spec,
+    )
+    return daily, model
+
+
+def test_serving_makes_the_features_of_training(spark, tables, custom, tmp_path):
+    daily, model = custom
+    assert {"sales_lag_60", "footfall", "sales_rolling_5_mean"} <= set(model.prepared.features)
+    assert batch.given_features(model.prepared) == ["has_promotion", "footfall"]
+    store = daily.first()["store_id"]
+    requests = spark.createDataFrame(
+        [(store, "2001-12-01", {"footfall": "30", "weather": "wet"}), (store, "2001-12-01", {"footfall": "1"}),
+         (store, "2001-12-02", {"footfall": "many"}), ("store_999", "2001-12-01", None)], schemas.REQUESTS,
+    )
+    accepted, _ = calendar.split_requests(requests)
+    training.save_serving(model, f"{tmp_path}/v2")
+    loaded = training.load_serving(spark, f"{tmp_path}/v2")
+    assert loaded.prepared.spec == model.prepared.spec
+    rows = batch.batch_predict(accepted, daily, tables.holidays, loaded.prepared, loaded.models, loaded.weights).collect()
+    assert len(rows) == 3 * 3 and {r["store_id"] for r in rows} == {store}
+    assert {r["footfall"] for r in rows} == {30.0, 1.0, None}
+    _, rejected = batch.split_known(batch.with_given(accepted, model.prepared), model.prepared)
+    assert [r["reason"] for r in rejected.collect()] == ["unseen label in store_id: store_999"]
+    unused = {(r["feature"], r["reason"]) for r in batch.unusable_features(accepted, model.prepared).collect()}
+    assert unused == {("weather", "not a trained feature"), ("footfall", "not a number")}
+
+
+def test_measures_do_not_travel_to_the_promotion_keys(spark, tables):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = tables.daily._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    lines = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "product_id" in x]
+    assert lines
+    import re
+
+    # below an exchange by product, rows hold keys only
+    for match in re.finditer(r"Exchange hashpartitioning\(date[^\n]*product_id[^\n]*\n[^\n]*(?:Project|HashAggregate)([^\n]*)", plan):
+        assert "revenue" not in match[1] and "quantity" not in match[1]
+
+
+def test_amounts_and_means_keep_their_decimals(spark):
+    from tillcast.operators.facts import product_day
+
+    rows = [(dt.date(2024, 1, 1), 1, 1, "c", 1.0, 0.00004, 0.0, 0.0, d, 1.0) for d in (0.123456789, 0.234567891, 0.1790123)]
+    made = product_day(spark.createDataFrame(
+        rows, "date date, store_id int, product_id int, category string, quantity_sold double, revenue double, cost double, profit double, discount_percent double, unit_price double"
+    )).first()
+    assert made["sales"] == 0.00012 and made["discount_percent"] == pytest.approx(sum(r[8] for r in rows) / 3, abs=1e-15)
+
+
+def test_stages_are_deleted(spark, tmp_path):
+    from tillcast import session
+
+    path = session.scratch_path(spark, "x")
+    spark.range(3).write.parquet(path)
+    folder = path.rsplit("/", 1)[0]
+    import os
+
+    assert os.path.isdir(folder.removeprefix("file://").removeprefix("file:"))
+    assert session._is_temporary(spark, "/tmp/x") and not session._is_temporary(spark, "/data/x")

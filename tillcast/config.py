@@ -22,8 +22,7 @@ VAL_SIZE = 0.15
 TUNING_TRIALS = 30
 EARLY_STOP = 50
 SEED = 42
-HOLDOUT_SAMPLE = 1000
-HISTORY_ROWS = 30
+SAMPLE_ROWS = 1000
 
 # Demand model.
 WEEKDAY_FACTORS = [0.9, 0.85, 0.85, 0.9, 1.1, 1.3, 1.2]  # Monday first

@@ -2,31 +2,37 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tillcast import config
 from tillcast.operators.quantiles import exact_quantiles, pivot_quantiles
+from tillcast.session import materialize, small
 
 
-def outliers_iqr(df: DataFrame, value: str, group_cols: list[str]) -> DataFrame:
-    """Rows outside 1.5 interquartile ranges per group (a split), with bounds and extremes."""
+def iqr_bounds(df: DataFrame, value: str, group_cols: list[str]) -> DataFrame:
+    """Bounds at 1.5 interquartile ranges per group, stored."""
     quartiles = pivot_quantiles(
-        exact_quantiles(df, value, [0.25, 0.75], group_cols, few_groups=True),
+        exact_quantiles(df, value, [0.25, 0.75], group_cols),
         group_cols,
         {0.25: "q1", 0.75: "q3"},
     )
     spread = F.col("q3") - F.col("q1")
-    bounds = quartiles.select(
-        *group_cols,
-        (F.col("q1") - 1.5 * spread).alias("lower_bound"),
-        (F.col("q3") + 1.5 * spread).alias("upper_bound"),
+    return materialize(
+        quartiles.select(
+            *group_cols,
+            (F.col("q1") - 1.5 * spread).alias("lower_bound"),
+            (F.col("q3") + 1.5 * spread).alias("upper_bound"),
+        ),
+        "bounds",
     )
+
+
+def outliers_iqr(df: DataFrame, value: str, group_cols: list[str]) -> DataFrame:
+    """Rows outside 1.5 interquartile ranges per group (a split), with bounds and extremes."""
     x = F.col(value).cast("double")
     outside = (x < F.col("lower_bound")) | (x > F.col("upper_bound"))
     return (
-        df.join(F.broadcast(bounds), group_cols)  # one row per split
+        df.join(small(iqr_bounds(df, value, group_cols)), group_cols)
         .groupBy(*group_cols, "lower_bound", "upper_bound")
         .agg(
             F.count(F.when(outside, 1)).alias("outliers"),
@@ -150,40 +156,75 @@ def diagnosis_report(
     feature_cols: list[str],
     split_col: str = "split",
 ) -> DataFrame:
-    """All checks as (check, subject, value, flagged, message).
+    """All checks and the analysis of predictions as (check, subject, value, flagged, message).
 
-    Every check reads its input again, so pass stored tables.
+    The data are read three times: a sketch, the values around the quartiles, and one grouped
+    pass for everything else; the predictions twice. Pass stored tables.
     """
+    return _data_checks(data, target, feature_cols, split_col).unionByName(
+        _prediction_checks(predictions)
+    )
 
-    def rows(df, check, subject, value, flagged, message):
-        return df.select(
-            F.lit(check).alias("check"),
-            subject.alias("subject"),
-            value.cast("double").alias("value"),
-            flagged.alias("flagged"),
-            F.when(flagged, F.lit(message)).alias("message"),
-        )
 
-    train = data.filter(F.col(split_col) == "train")
-    flag = F.col("flagged")
-    extremes = pred_extremes(predictions)
-    parts = [
-        rows(outliers_iqr(data, target, [split_col]), "outliers", F.col(split_col),
-             F.col("share"), F.lit(False), ""),
-        rows(dist_shift(data, target, split_col), "distribution_shift", F.col(split_col),
-             F.col("mean_shift"), flag, "significant distribution shift against train"),
-        rows(extremes, "extreme_low", F.col("model"), F.col("extreme_low"), F.lit(False), ""),
-        rows(extremes, "extreme_high", F.col("model"), F.col("extreme_high"), F.lit(False), ""),
-        rows(leakage_corr(train, feature_cols, target), "leakage", F.col("feature"),
-             F.col("corr"), flag, "potential data leakage"),
-        rows(zero_target(train, target, split_col), "zero_target", F.col(split_col),
-             F.col("zeros") / F.col("n"), flag, "many zero values in training"),
-        rows(sample_size(data, split_col), "sample_size", F.col(split_col), F.col("n"), flag,
-             "small training set"),
-    ]
-    n_features = F.lit(len(feature_cols))
-    parts.append(
-        rows(sample_size(train, split_col), "feature_count", F.col(split_col), n_features,
-             n_features > config.MAX_FEATURES, "high number of features")
+def _row(check: str, subject: Column, value: Column, flagged: Column | None = None, message: str = "") -> Column:
+    flagged = F.lit(False) if flagged is None else flagged
+    return F.struct(
+        F.lit(check).alias("check"), subject.cast("string").alias("subject"),
+        value.cast("double").alias("value"), flagged.alias("flagged"),
+        F.when(flagged, F.lit(message)).alias("message"),
     )
-    return reduce(DataFrame.unionByName, parts)
+
+
+def _data_checks(data: DataFrame, target: str, feature_cols: list[str], split_col: str) -> DataFrame:
+    y = F.col(target).cast("double")
+    outside = (y < F.col("lower_bound")) | (y > F.col("upper_bound"))
+    used = [c for c in feature_cols if c != target]
+    stats = data.join(small(iqr_bounds(data, target, [split_col])), split_col).groupBy(
+        F.col(split_col).alias("split"), "lower_bound", "upper_bound"
+    ).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count(F.when(outside, 1)).alias("outliers"),
+        F.count(F.when(F.col(target) == 0, 1)).alias("zeros"),
+        F.avg(y).alias("mean"),
+        F.stddev_samp(y).alias("std"),
+        F.array(*[correlation(F.col(c).cast("double"), y) for c in used]).alias("corr"),
+    )
+    # one row per split; a row of them all lets each see the training split
+    all_splits = stats.agg(F.collect_list(F.struct("*")).alias("s"))
+    train = F.get(F.filter("s", lambda x: x["split"] == "train"), F.lit(0))
+    each = all_splits.select(train.alias("t"), F.explode("s").alias("x")).select("t", "x.*")
+    split, is_train = F.col("split"), F.col("split") == "train"
+    scale = F.greatest(F.abs(F.col("t.mean")), F.col("t.std"), F.lit(1e-8))
+    shift = F.abs(F.col("mean") - F.col("t.mean")) / scale
+    n_features = F.lit(len(feature_cols))
+    every = [
+        _row("outliers", split, F.col("outliers") / F.col("n")),
+        _row("outlier_lower_bound", split, F.col("lower_bound")),
+        _row("outlier_upper_bound", split, F.col("upper_bound")),
+        _row("distribution_shift", split, shift, shift > config.SHIFT_LIMIT,
+             "significant distribution shift against train"),
+        _row("sample_size", split, F.col("n"),
+             is_train & (F.col("n") <= config.MIN_TRAINING_ROWS), "small training set"),
+    ]
+    trained = [
+        _row("zero_target", split, F.col("zeros") / F.col("n"),
+             F.col("zeros") > F.col("n") * config.ZERO_SHARE_LIMIT, "many zero values in training"),
+        _row("feature_count", split, n_features, n_features > config.MAX_FEATURES,
+             "high number of features"),
+        *[
+            _row("leakage", F.lit(c), F.col("corr")[i],
+                 F.coalesce(F.abs(F.col("corr")[i]) > config.LEAKAGE_LIMIT, F.lit(False)),
+                 "potential data leakage")
+            for i, c in enumerate(used)
+        ],
+    ]
+    rows = F.when(is_train, F.array(*every, *trained)).otherwise(F.array(*every))
+    return each.select(F.inline(rows))
+
+
+def _prediction_checks(predictions: DataFrame) -> DataFrame:
+    figures = [
+        "pred_mean", "pred_std", "residual_mean", "residual_std", "mape", "extreme_low", "extreme_high",
+    ]
+    model = F.col("model")
+    return pred_extremes(predictions).select(F.inline(F.array(*[_row(f, model, F.col(f)) for f in figures])))

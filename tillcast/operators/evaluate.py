@@ -98,7 +98,7 @@ def ensemble_predict(
 
 
 def sample_seeded(
-    df: DataFrame, keys: list[str], n: int = config.HOLDOUT_SAMPLE, seed: int = config.SEED
+    df: DataFrame, keys: list[str], n: int = config.SAMPLE_ROWS, seed: int = config.SEED
 ) -> DataFrame:
     """The ``n`` rows with the smallest seeded hash: a uniform sample that can be repeated."""
     text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed)))
@@ -106,12 +106,15 @@ def sample_seeded(
 
 
 def holdout_validate(
-    predictions: DataFrame, keys: list[str], n: int = config.HOLDOUT_SAMPLE,
+    predictions: DataFrame, keys: list[str] | None = None, n: int | None = None,
     seed: int = config.SEED,
 ) -> DataFrame:
-    """Error metrics on a seeded sample, with the sample size, over one model's predictions."""
-    sample = sample_seeded(predictions, keys, n, seed)
-    return regression_metrics(sample).select(
+    """Error metrics per model over all rows, with their number.
+
+    A caller who wants a seeded sample of ``n`` rows instead names the ``keys`` to draw by.
+    """
+    judged = predictions if n is None else sample_seeded(predictions, keys, n, seed)
+    return regression_metrics(judged).select(
         "model",
         F.col("rmse").alias("validation_rmse"),
         F.col("mae").alias("validation_mae"),

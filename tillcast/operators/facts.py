@@ -1,7 +1,7 @@
 """Roll-ups of daily facts and the joins between them.
 
-A group key that is null drops the row, and money is summed in whole units of 1/10000, so that
-a result does not depend on task order.
+A group key that is null drops the row. Money is summed in whole units of ``MONEY_SCALE``
+decimals, so that a sum does not depend on task order; means are plain means of the input.
 """
 
 from __future__ import annotations
@@ -11,25 +11,27 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 MONEY = "decimal(18,4)"
-MONEY_UNIT = 10_000.0  # 4 decimals
+#: Decimals that a sum keeps of every amount; a group's sum may then reach 9.2e10.
+MONEY_SCALE = 8
 
 
-def _units(column: str) -> Column:
-    """Money as a whole number of 1/10000 units; NaN is missing, overflow an ANSI error."""
-    value = F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))
-    return F.rint(value * F.lit(MONEY_UNIT)).cast("bigint")
+def _known(column: str) -> Column:
+    """The number as a double; NaN is missing."""
+    return F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))
 
 
-def exact_sum(column: str) -> Column:
-    """Sum to 4 decimals, the same in any order; a sum of nothing is 0."""
-    total = F.coalesce(F.sum(_units(column)), F.lit(0))
-    return (total / F.lit(MONEY_UNIT)).alias(column)
+def exact_sum(column: str, scale: int = MONEY_SCALE) -> Column:
+    """Sum to ``scale`` decimals, the same in any order; a sum of nothing is 0.
+
+    Overflow is an ANSI error: larger groups take a smaller scale.
+    """
+    unit = F.lit(10.0**scale)
+    total = F.coalesce(F.sum(F.rint(_known(column) * unit).cast("bigint")), F.lit(0))
+    return (total / unit).alias(column)
 
 
-def exact_mean(column: str) -> Column:
-    """Mean of values with up to 4 decimals, the same in any order."""
-    total = F.sum(_units(column)) / F.lit(MONEY_UNIT)
-    return F.try_divide(total, F.count(_units(column))).alias(column)
+def mean(column: str) -> Column:
+    return F.avg(_known(column)).alias(column)
 
 
 def has_keys(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -47,8 +49,8 @@ def product_day(sales: DataFrame) -> DataFrame:
             exact_sum("revenue"),
             exact_sum("cost"),
             exact_sum("profit"),
-            exact_mean("discount_percent"),
-            exact_mean("unit_price"),
+            mean("discount_percent"),
+            mean("unit_price"),
         )
         .withColumnRenamed("revenue", "sales")
     )
@@ -96,30 +98,37 @@ def join_traffic(daily: DataFrame, traffic: DataFrame) -> DataFrame:
 def store_day(
     sales: DataFrame, promotions: DataFrame | None = None, promo_ratio: bool = False
 ) -> DataFrame:
-    """Sales per date and store.
+    """Sales per date and store, in two branches.
 
-    ``has_promotion`` is the mean of a flag that is 1 or null, so it is 1 when any product was
-    on promotion and null otherwise: a maximum over the raw rows gives the same, and the
-    product-day roll-up and its shuffle are not needed. ``promo_ratio`` adds the share of the
-    day's products on promotion, which does need that roll-up.
+    The measures need no promotion: raw rows are combined before their one shuffle. The flag needs
+    keys only: sold products that were promoted that day, one row per date and store, so no
+    measure travels to the promotions' keys. ``has_promotion`` is 1 when any product was on
+    promotion and null otherwise. ``promo_ratio`` adds the share of the day's products, by
+    category, on promotion.
     """
     keys = ["date", "store_id"]
     rows = has_keys(sales, [*keys, "product_id", "category"])
-    if promo_ratio:
-        rows = product_day(rows).withColumnRenamed("sales", "revenue")
-    if promotions is not None:
-        rows = join_promotions(rows, promotions)
-    else:
-        rows = rows.withColumn("has_promotion", F.lit(None).cast("int"))
-    measures = [
+    daily = rows.groupBy(*keys).agg(
         F.coalesce(F.sum("quantity_sold"), F.lit(0)).alias("quantity_sold"),
         exact_sum("revenue"),
         exact_sum("profit"),
-        F.max("has_promotion").cast("double").alias("has_promotion"),
-    ]
+    ).withColumnRenamed("revenue", "sales")
+    if promotions is None:
+        daily = daily.withColumn("has_promotion", F.lit(None).cast("double"))
+        return daily.withColumn("promo_ratio", F.lit(0.0)) if promo_ratio else daily
+    product = ["date", "product_id"]
+    promoted = has_keys(promotions, product).select(*product).distinct()
     if promo_ratio:
-        measures.append((F.count("has_promotion") / F.count(F.lit(1))).alias("promo_ratio"))
-    return rows.groupBy(*keys).agg(*measures).withColumnRenamed("revenue", "sales")
+        sold = rows.select(*keys, "product_id", "category").distinct()
+        flagged = sold.join(promoted.withColumn("__flag", F.lit(1.0)), product, "left")
+        flags = flagged.groupBy(*keys).agg(
+            F.max("__flag").alias("has_promotion"),
+            (F.count("__flag") / F.count(F.lit(1))).alias("promo_ratio"),
+        )
+    else:
+        sold = rows.select(*keys, "product_id").join(promoted, product, "left_semi")
+        flags = sold.select(*keys).distinct().withColumn("has_promotion", F.lit(1.0))
+    return daily.join(flags, keys, "left")
 
 
 def drop_leakage(daily: DataFrame) -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tillcast.operators import ordering
 
 
 def sequence_columns(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if "lag" in c or "rolling" in c]
+    """Columns named like the lag and rolling features, with their number."""
+    return [c for c in df.columns if re.search(r"_lag_\d+$|_rolling_\d+_", c)]
 
 
 def fill_sequences(

@@ -1,77 +1,74 @@
 """Order-dependent work on whole tables without a single-task sort.
 
-A table is cut into ranges of its sort key. The cut points are a fixed number of keys, so what
-is broadcast (cut points, one summary row per range) has a size that does not depend on the
-data. The cut points and the row counts are read from the keys before the rows are, so pass a
-stored table (``session.materialize``) rather than a long plan. Results never depend on which keys were drawn, only the balance of the ranges does.
+A table is stored in ranges of its sort key, each sorted; the number of ranges follows from the
+number of rows. What is carried between ranges is one summary row per range. Results never depend
+on where the ranges were cut.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Row, Window as W, functions as F
 
-RANGE_BITS = 10
+from tillcast.session import materialize, small
+
+#: Rows of a range, and of a block with its own windows.
+RANGE_ROWS = 1_000_000
 BLOCK_ROWS = 100_000
-SORTED_ROWS = 1_000_000
 
 
 def _key(cols: list[str]) -> Column:
     return F.struct(*[F.col(c) for c in cols])
 
 
-def with_range(df: DataFrame, order_cols: list[str], name: str, bits: int = RANGE_BITS) -> DataFrame:
-    """Add an order-preserving range number in [0, 2 ** ``bits``).
+def with_range(
+    df: DataFrame, order_cols: list[str], name: str, rows: int | None = None, range_rows: int = RANGE_ROWS
+) -> DataFrame:
+    """The table stored in sorted ranges, with their ascending number.
 
-    The cut points are the keys with the smallest hashes: a uniform draw that is the same on
-    every evaluation, so a lost executor cannot move a row to another range. A row finds its
-    range by halving, one comparison per bit, inside generated code.
+    Spark samples the cut points; the stored range of a row cannot change any more, so a lost
+    executor does no harm. ``rows`` spares the count where it is known. Only a key that is not
+    unique can make a range larger than the others.
     """
-    drawn = (
-        df.select(*order_cols)
-        .orderBy(F.xxhash64(*order_cols), *order_cols).limit(2**bits - 1)
-    )
-    cuts = drawn.agg(F.array_sort(F.collect_list(_key(order_cols)))).scalar()
-    ranged = df.withColumn("__cuts", cuts).withColumn(name, F.lit(0))
-    for bit in reversed(range(bits)):
-        step = 2**bit
-        # a missing cut point compares as null and leaves the number as it is
-        above = F.get("__cuts", F.col(name) + F.lit(step - 1)) <= _key(order_cols)
-        ranged = ranged.withColumn(name, F.col(name) + F.when(above, step).otherwise(0))
-    return ranged.drop("__cuts")
+    rows = df.count() if rows is None else rows
+    ranges = max(1, -(-rows // range_rows))
+    dealt = df.repartitionByRange(ranges, *order_cols).sortWithinPartitions(*order_cols)
+    return materialize(dealt.withColumn(name, F.spark_partition_id()), "ranges")
 
 
 def with_position(
-    df: DataFrame, order_cols: list[str], name: str = "position", bits: int = RANGE_BITS
+    df: DataFrame, order_cols: list[str], name: str = "position", rows: int | None = None,
+    range_rows: int = RANGE_ROWS,
 ) -> DataFrame:
     """Add the 0-based position of every row in the order of ``order_cols`` (a unique key)."""
-    ranged = with_range(df, order_cols, "__range", bits)
+    ranged = with_range(df, order_cols, "__range", rows, range_rows)
     offsets = _range_offsets(ranged)
     in_range = F.row_number().over(W.partitionBy("__range").orderBy(*order_cols)) - 1
     return (
-        # at most 2 ** bits rows
-        ranged.join(F.broadcast(offsets), "__range")
+        ranged.join(offsets, "__range")
         .withColumn(name, (F.col("__offset") + in_range).cast("bigint"))
         .drop("__range", "__offset")
     )
 
 
 def _range_offsets(ranged: DataFrame) -> DataFrame:
+    """(range, rows before it): one row for each range, broadcast if they are few."""
     counts = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
     before = W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
-    return counts.select(
+    return small(materialize(counts.select(
         "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset")
-    )
+    ), "offsets"))
 
 
 def keys_at(
-    df: DataFrame, ranks: dict[str, Column], coarse: str, fine: list[str], total: str = "total"
+    df: DataFrame, ranks: dict[str, Column], coarse: str, fine: list[str], total: str = "total",
+    range_rows: int = RANGE_ROWS,
 ) -> dict[str, Row]:
     """The keys at given 0-based positions of the (coarse, fine) order, as rows by name.
 
     A rank is an expression over the row count, named ``total``; one past the end is left out.
     Counts per coarse value, a calendar day, find the values that hold the positions: they are
     placed inside Spark and one row per rank is fetched. Only the keys of those values are then
-    put in order, by a plain sort if their counted size allows and by ranges if not.
+    put in order, by ranges.
     """
     counts = df.groupBy(coarse).agg(F.count(F.lit(1)).alias("__n"))
     running = W.orderBy(coarse).rowsBetween(W.unboundedPreceding, -1)
@@ -96,12 +93,8 @@ def keys_at(
     found = {}
     for hit in hits.collect():  # one row per rank
         inside = df.filter(F.col(coarse) == F.lit(hit[coarse])).select(coarse, *fine)
-        if hit["__n"] <= SORTED_ROWS:
-            key = inside.orderBy(*fine).offset(hit["__at"]).limit(1)
-        else:
-            key = with_position(inside, fine, "__position").filter(
-                F.col("__position") == hit["__at"]
-            )
+        placed_keys = with_position(inside, fine, "__position", hit["__n"], range_rows)
+        key = placed_keys.filter(F.col("__position") == hit["__at"])
         found[hit["name"]] = key.select(coarse, *fine).first()
     return found
 
@@ -141,14 +134,14 @@ def drop_halo(df: DataFrame) -> DataFrame:
 
 
 def carry_fill(
-    df: DataFrame, order_cols: list[str], columns: list[str], bits: int = RANGE_BITS
+    df: DataFrame, order_cols: list[str], columns: list[str], range_rows: int = RANGE_ROWS
 ) -> DataFrame:
     """Fill nulls forward, then backward, over the whole table in the order of ``order_cols``.
 
     Each range is filled alone; the last and first non-null value of every range are carried
-    across ranges in a table of at most 2 ** ``bits`` rows.
+    across ranges, one row for each of them.
     """
-    ranged = with_range(df, order_cols, "__range", bits)
+    ranged = with_range(df, order_cols, "__range", range_rows=range_rows)
     position = _key(order_cols)
     edges = ranged.groupBy("__range").agg(
         *[
@@ -162,15 +155,15 @@ def carry_fill(
     )
     before = W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
     after = W.orderBy(F.col("__range").desc()).rowsBetween(W.unboundedPreceding, -1)
-    carried = edges.select(
+    carried = materialize(edges.select(
         "__range",
         *[F.last(f"__last_{c}", True).over(before).alias(f"__before_{c}") for c in columns],
         *[F.last(f"__first_{c}", True).over(after).alias(f"__after_{c}") for c in columns],
-    )
+    ), "carried")
     inside = W.partitionBy("__range").orderBy(*order_cols)
     upto = inside.rowsBetween(W.unboundedPreceding, 0)
     whole = inside.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    filled = ranged.join(F.broadcast(carried), "__range").withColumns(
+    filled = ranged.join(small(carried), "__range").withColumns(
         {
             c: F.coalesce(
                 F.last(c, True).over(upto),

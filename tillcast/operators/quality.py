@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tillcast import config
+from tillcast.session import materialize
 
 
 def empty_files(catalog: DataFrame, filled: DataFrame) -> DataFrame:
@@ -52,6 +53,32 @@ def quality_summary(
     return summary.withColumn("total_issues", F.col("total_issues") + more)
 
 
+def quality_report(
+    df: DataFrame, unit: str | Column = "date", columns: tuple[str, ...] = ("quantity_sold", "revenue")
+) -> DataFrame:
+    """The issues as (unit, column, min_value), each with the totals of the check.
+
+    One row without an issue stands for a check that found none.
+    """
+    unit = F.col(unit) if isinstance(unit, str) else unit
+    per_unit = df.groupBy(unit.cast("string").alias("unit")).agg(
+        F.count(F.lit(1)).alias("n"), *[F.min(c).cast("double").alias(c) for c in columns]
+    )
+    per_unit = materialize(per_unit, "units")
+    issues = per_unit.unpivot("unit", list(columns), "column", "min_value").filter(F.col("min_value") < 0)
+    broken = sum((F.when(F.col(c) < 0, 1).otherwise(0) for c in columns), F.lit(0))
+    totals = per_unit.agg(F.struct(
+        F.count(F.lit(1)).alias("total_units"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_rows"),
+        F.coalesce(F.sum(broken), F.lit(0)).alias("total_issues"),
+    ).alias("t"))
+    none = totals.filter(F.col("t.total_issues") == 0).select(
+        F.lit(None).cast("string").alias("unit"), F.lit(None).cast("string").alias("column"),
+        F.lit(None).cast("double").alias("min_value"),
+    )
+    return issues.unionByName(none).withColumn("__t", totals.scalar()).select("unit", "column", "min_value", "__t.*")
+
+
 def value_ranges(df: DataFrame, ranges: dict[str, tuple[float, float]] | None = None) -> DataFrame:
     """Values outside the allowed range and nulls, per column, in one pass."""
     ranges = ranges or config.VALUE_RANGES

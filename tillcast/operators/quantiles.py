@@ -2,13 +2,17 @@
 
 ``percentile`` keeps every distinct value of a group in one task. Here a mergeable sketch first
 brackets each quantile; a second pass keeps single values only inside the bracket and collapses
-everything else to two rows, so one task sees a small share of a group however large it is.
+everything else to two rows. What is kept is counted up over sorted ranges of bounded size, so no
+task holds a bracket either, however many values lie in it.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from tillcast.operators import ordering
+from tillcast.session import materialize, small
+
 ACCURACY = 10_000
 
 
@@ -18,17 +22,39 @@ def exact_quantiles(
     probabilities: list[float],
     group_cols: list[str],
     accuracy: int = ACCURACY,
-    few_groups: bool = False,
+    range_rows: int = ordering.RANGE_ROWS,
 ) -> DataFrame:
     """Rows of (group, probability, quantile) with linear interpolation; nulls are skipped.
 
-    Set ``few_groups`` where the number of groups is fixed by meaning (three splits, a handful
-    of models): the brackets are then broadcast and the rows are not shuffled by group.
+    The brackets are broadcast if the groups are few. A quantile that the sketch has put outside
+    its bracket is looked for again in a wider one, at last among all values.
     """
     data = df.select(*group_cols, F.col(value).cast("double").alias("__v")).filter(
         F.col("__v").isNotNull()
     )
-    margin = 4.0 / accuracy  # four times the rank error the sketch promises
+    margin, done = 4.0 / accuracy, None  # four times the rank error the sketch promises
+    while True:
+        found = materialize(
+            _bracketed(data, probabilities, group_cols, accuracy, margin, range_rows), "quantiles"
+        )
+        sure = found.filter("quantile is not null")
+        done = sure if done is None else done.unionByName(sure)
+        missed = found.filter("quantile is null").select(*group_cols, "probability")
+        if margin >= 1.0 or missed.limit(1).count() == 0:
+            return done
+        margin = min(1.0, margin * 16)
+        probabilities = [r[0] for r in missed.select("probability").distinct().collect()]  # of those asked for
+        if group_cols:
+            data = data.join(missed.select(*group_cols).distinct(), group_cols, "left_semi")
+            # a group comes again with all missed probabilities; those it has already stay as they are
+            done = done.join(missed, [*group_cols, "probability"], "left_anti")
+
+
+def _bracketed(
+    data: DataFrame, probabilities: list[float], group_cols: list[str], accuracy: int,
+    margin: float, range_rows: int,
+) -> DataFrame:
+    """One attempt; the quantile is null where the bracket does not hold it."""
     points = [
         bound
         for p in probabilities
@@ -38,32 +64,25 @@ def exact_quantiles(
         F.percentile_approx("__v", points, accuracy).alias("__bounds"),
         F.count(F.lit(1)).alias("__total"),
     )
-    brackets = sketch.select(
+    # brackets of a group travel as one array, so the join does not multiply rows
+    per_group = sketch.select(
         *group_cols,
-        "__total",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(float(p)).alias("probability"),
-                        F.element_at("__bounds", 2 * i + 1).alias("lo"),
-                        F.element_at("__bounds", 2 * i + 2).alias("hi"),
-                    )
-                    for i, p in enumerate(probabilities)
-                ]
-            )
-        ).alias("__b"),
-    ).select(*group_cols, "__total", "__b.*")
-
-    # Brackets of a group travel as one array, so the join does not multiply rows.
-    per_group = brackets.groupBy(*group_cols).agg(
-        F.collect_list(F.struct("probability", "lo", "hi", "__total")).alias("__brackets")
+        F.array(
+            *[
+                F.struct(
+                    F.lit(float(p)).alias("probability"),
+                    F.element_at("__bounds", 2 * i + 1).alias("lo"),
+                    F.element_at("__bounds", 2 * i + 2).alias("hi"),
+                    "__total",
+                )
+                for i, p in enumerate(probabilities)
+            ]
+        ).alias("__brackets"),
     )
     if not group_cols:
-        joined = data.withColumn("__brackets", per_group.scalar())
+        joined = data.withColumn("__brackets", per_group.select("__brackets").scalar())
     else:
-        side = F.broadcast(per_group) if few_groups else per_group
-        joined = data.join(side, group_cols)
+        joined = data.join(small(materialize(per_group, "brackets")), group_cols)
     zone = (
         F.when(F.col("__v") < F.col("__b.lo"), 0)
         .when(F.col("__v") > F.col("__b.hi"), 2)
@@ -86,14 +105,27 @@ def exact_quantiles(
             F.max("__v").alias("__max"),
         )
     )
-    order = W.partitionBy(*keys).orderBy("__zone", "__single")
-    ranked = counted.withColumn(
-        "__end", F.sum("__n").over(order.rowsBetween(W.unboundedPreceding, 0)) - 1
-    ).withColumn("__start", F.col("__end") - F.col("__n") + 1)
+    order = [*keys, "__zone", "__single"]
+    ranged = ordering.with_range(
+        materialize(counted, "counted"), order, "__range", range_rows=range_rows
+    )
+    before = W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)  # one row per range
+    offsets = ranged.groupBy("__range").agg(F.sum("__n").alias("__sum")).select(
+        "__range", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__offset")
+    )
+    inside = W.partitionBy("__range").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    placed = ranged.join(small(materialize(offsets, "offsets")), "__range").withColumn(
+        "__cum", F.col("__offset") + F.sum("__n").over(inside)
+    )
     place = F.col("probability") * (F.col("__total") - 1)
+    # the rows of a key lie together in this order, so its first row tells where it starts
+    starts = placed.groupBy(*keys).agg(F.min(F.col("__cum") - F.col("__n")).alias("__from"))
+    ranked = placed.join(small(materialize(starts, "starts")), keys).withColumns(
+        {"__start": F.col("__cum") - F.col("__n") - F.col("__from"), "__end": F.col("__cum") - 1 - F.col("__from")}
+    )
 
     def value_at(rank):
-        covered = F.col("__start").__le__(rank) & (rank <= F.col("__end"))
+        covered = (F.col("__start") <= rank) & (rank <= F.col("__end"))
         known = (
             F.when(F.col("__zone") == 1, F.col("__single"))
             .when((F.col("__zone") == 0) & (rank == F.col("__end")), F.col("__max"))
@@ -101,17 +133,11 @@ def exact_quantiles(
         )
         return F.max(F.when(covered, known))
 
-    found = ranked.groupBy(*keys, "__total").agg(
+    ends = ranked.groupBy(*keys, "__total").agg(
         value_at(F.floor(place)).alias("__low"), value_at(F.ceil(place)).alias("__high")
     )
-    # A sketch outside its promise must stop the job, not bend the result.
-    checked = F.when(
-        F.col("__low").isNull() | F.col("__high").isNull(),
-        F.raise_error(F.lit("quantile outside its bracket")).cast("double"),
-    ).otherwise(
-        F.col("__low") + (F.col("__high") - F.col("__low")) * (place - F.floor(place))
-    )
-    return found.select(*keys, checked.alias("quantile"))
+    quantile = F.col("__low") + (F.col("__high") - F.col("__low")) * (place - F.floor(place))
+    return ends.select(*keys, quantile.alias("quantile"))
 
 
 def pivot_quantiles(quantiles: DataFrame, group_cols: list[str], names: dict[float, str]) -> DataFrame:

@@ -8,6 +8,7 @@ from tillcast.functions.intervals import interval
 from tillcast.operators import ordering
 from tillcast.operators.quantiles import exact_quantiles, pivot_quantiles
 from tillcast.operators.windows import top_k
+from tillcast.session import materialize, small
 
 
 def metrics_table(metrics: DataFrame, wanted: list[str] | None = None) -> DataFrame:
@@ -18,12 +19,18 @@ def metrics_table(metrics: DataFrame, wanted: list[str] | None = None) -> DataFr
     wanted = wanted or ["rmse", "mae", "mape", "r2"]
     table = metrics.groupBy("model").pivot("metric", wanted).agg(F.first("value"))
 
-    def is_best(name: str) -> Column:
-        cost = -F.col(name) if name == "r2" else F.col(name)
-        place = F.row_number().over(W.orderBy(cost.asc_nulls_last(), "model"))  # a few models
-        return (place == 1) & F.col(name).isNotNull()
+    def cost(name: str) -> Column:
+        return -F.col(name) if name == "r2" else F.col(name)
 
-    return table.withColumns({f"best_{m}": is_best(m) for m in wanted}).fillna(0.0, wanted)
+    # one row with the best model of each metric; ties go to the first name
+    table = materialize(table, "metrics")
+    best = table.agg(
+        F.struct(*[F.min(F.when(F.col(m).isNotNull(), F.struct(cost(m).alias("c"), "model"))).alias(m) for m in wanted]).alias("b")
+    ).scalar()
+    flagged = table.withColumn("__best", best).withColumns(
+        {f"best_{m}": F.coalesce(F.col(f"__best.{m}.model") == F.col("model"), F.lit(False)) for m in wanted}
+    )
+    return flagged.drop("__best").fillna(0.0, wanted)
 
 
 def prefixed_metrics(runs: DataFrame, models: list[str], name: str = "metric") -> DataFrame:
@@ -57,12 +64,12 @@ def boxplot_table(residuals: DataFrame, value: str = "residual", group: str = "m
     """Quartiles, whiskers within 1.5 interquartile ranges and outlier count per model."""
     names = {0.25: "q1", 0.5: "median", 0.75: "q3"}
     quartiles = pivot_quantiles(
-        exact_quantiles(residuals, value, list(names), [group], few_groups=True), [group], names
+        exact_quantiles(residuals, value, list(names), [group]), [group], names
     )
     spread = 1.5 * (F.col("q3") - F.col("q1"))
     inside = (F.col(value) >= F.col("q1") - spread) & (F.col(value) <= F.col("q3") + spread)
     return (
-        residuals.join(F.broadcast(quartiles), group)  # one row per model
+        residuals.join(small(materialize(quartiles, "quartiles")), group)
         .groupBy(group, "q1", "median", "q3")
         .agg(
             F.min(F.when(inside, F.col(value))).alias("whisker_low"),
@@ -134,7 +141,7 @@ def qq_table(residuals: DataFrame, keys: list[str], value: str = "residual", gro
         .when(i == 1, F.lit(1.0) - edge)
         .otherwise((i - F.lit(0.3175)) / (n + F.lit(0.365)))
     )
-    return placed.join(F.broadcast(groups), group).select(
+    return placed.join(small(materialize(groups, "groups")), group).select(
         group, *keys, i.alias("rank"), F.col(value).alias("sample_quantile"),
         normal_quantile(p).alias("theoretical_quantile"),
     )
@@ -157,7 +164,7 @@ def error_histogram(residuals: DataFrame, bins: int = 50, group: str = "model")
         F.floor((F.col("error") - F.col("lo")) / F.col("width")), F.lit(bins - 1)
     ).cast("int")
     counted = (
-        errors.join(F.broadcast(span.withColumn("width", width)), group)  # one row per model
+        errors.join(small(materialize(span.withColumn("width", width), "spans")), group)
         .groupBy(group, "lo", "width", "n", index.alias("bin"))
         .agg(F.count(F.lit(1)).alias("count"))
     )

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tillcast import config
 from tillcast.operators import facts
+from tillcast.operators.quality import require_columns
 
 
 def daily_store_sales(
@@ -20,6 +22,7 @@ def daily_store_sales(
     and the join reuses the partitioning of the aggregate on far fewer rows. Without promotions
     or traffic their columns are null. ``keep_all`` keeps the columns that leak the target.
     """
+    require_columns(sales, config.REQUIRED_COLUMNS)
     daily = facts.store_day(sales, promotions, promo_ratio)
     if traffic is not None:
         daily = facts.join_traffic(daily, traffic)

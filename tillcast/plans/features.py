@@ -19,6 +19,7 @@ def all_features(
     categorical_cols: list[str] | None = None,
     lags: list[int] | None = None,
     windows_: list[int] | None = None,
+    functions: list[str] | None = None,
     fill_scope: str = "group",
 ) -> DataFrame:
     """Date, lag, rolling, cyclical and interaction features, filled, without null targets.
@@ -28,7 +29,7 @@ def all_features(
     daily columns only.
     """
     sequenced = windows.sequence_features(
-        daily, target, [date_col], list(group_cols), lags, windows_
+        daily, target, [date_col], list(group_cols), lags, windows_, functions
     )
     columns = [c for c in sequenced.columns if c not in daily.columns]
     if fill_scope == "global":  # reads its input several times

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import random
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
+from functools import partial
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.regression import (
@@ -14,22 +15,47 @@ from pyspark.sql import DataFrame, functions as F
 from tillcast import config
 from tillcast.operators import diagnose, evaluate, prep, split
 from tillcast.operators.quality import require_columns
+from tillcast.plans.features import all_features
 from tillcast.session import materialize
 from tillcast.sources.sinks import write_table
 
-# Default and search settings of the two learners.
+# Default and search settings of the two learners. Column sampling and minimum gain
+# go by Spark's names; the boosting libraries' L1 and L2 terms have no counterpart in Spark, and a
+# number of leaves becomes a depth.
 BOOSTED_DEFAULTS = {"maxIter": 100, "maxDepth": 6, "stepSize": 0.1, "seed": config.SEED}
 FOREST_DEFAULTS = {"numTrees": 100, "maxDepth": 6, "seed": config.SEED}
 BOOSTED_SEARCH = {
     "maxIter": (50, 300), "maxDepth": (3, 10), "stepSize": (0.01, 0.3),
-    "subsamplingRate": (0.6, 1.0),
+    "subsamplingRate": (0.6, 1.0), "featureSubsetStrategy": (0.6, 1.0), "minInfoGain": (0.0, 0.5),
 }
 FOREST_SEARCH = {
     "numTrees": (50, 300), "maxDepth": (3, 10), "minInstancesPerNode": (10, 50),
-    "subsamplingRate": (0.6, 1.0),
+    "subsamplingRate": (0.6, 1.0), "featureSubsetStrategy": (0.6, 1.0),
 }
 
 
+@dataclass
+class FeatureSpec:
+    """How features are made: the same for training and for serving."""
+
+    lags: list[int] = field(default_factory=lambda: list(config.LAGS))
+    windows: list[int] = field(default_factory=lambda: list(config.ROLLING_WINDOWS))
+    functions: list[str] = field(default_factory=lambda: list(config.ROLLING_FUNCTIONS))
+    interactions: list[str] = field(default_factory=list)
+    target: str = config.TARGET
+
+    @property
+    def history(self) -> int:
+        """Days that the deepest lag or window reaches back."""
+        return max([0, *self.lags, *self.windows])
+
+    def build(self, daily: DataFrame, holidays: DataFrame, **options) -> DataFrame:
+        return all_features(
+            daily, holidays, self.target, categorical_cols=self.interactions, lags=self.lags,
+            windows_=self.windows, functions=self.functions, **options,
+        )
+
+
 @dataclass
 class Prepared:
     """Rows of (keys, split, label, features) and the parameters that made them."""
@@ -39,6 +65,7 @@ class Prepared:
     codes: DataFrame | None
     scaling: DataFrame
     categorical: list[str]
+    spec: FeatureSpec = field(default_factory=FeatureSpec)
 
 
 @dataclass
@@ -66,6 +93,7 @@ def preprocess(
     target: str = config.TARGET,
     keys: tuple[str, ...] = ("date", "store_id"),
     exclude: tuple[str, ...] = ("date",),
+    spec: FeatureSpec | None = None,
 ) -> Prepared:
     """Split by time, encode text and scale, with parameters fitted on the training rows.
 
@@ -90,29 +118,56 @@ def preprocess(
     rows = prep.assemble(scaled, columns, target, ["split", *[f"__key_{k}" for k in keys]])
     for k in keys:
         rows = rows.withColumnRenamed(f"__key_{k}", k)
-    return Prepared(materialize(rows, "vectors", ("split",)), columns, codes, scaling, categorical)
+    return Prepared(
+        materialize(rows, "vectors", ("split",)), columns, codes, scaling, categorical,
+        spec or FeatureSpec(target=target),
+    )
+
+
+def _settings(params: dict) -> dict:
+    """Settings as Spark wants them: a share of columns is text there."""
+    return {k: str(v) if k == "featureSubsetStrategy" else v for k, v in params.items()}
 
 
 def boosted(**params) -> GBTRegressor:
-    """Boosted trees that stop early on the validation rows."""
     return GBTRegressor(
         featuresCol="features", labelCol="label", predictionCol="prediction",
-        validationIndicatorCol="is_val", **{**BOOSTED_DEFAULTS, **params},
+        **_settings({**BOOSTED_DEFAULTS, **params}),
     )
 
 
 def forest(**params) -> RandomForestRegressor:
     return RandomForestRegressor(
         featuresCol="features", labelCol="label", predictionCol="prediction",
-        **{**FOREST_DEFAULTS, **params},
+        **_settings({**FOREST_DEFAULTS, **params}),
     )
 
 
-def train_gbt(rows: DataFrame, **params):
-    fit_rows = rows.filter(F.col("split").isin("train", "val")).withColumn(
-        "is_val", F.col("split") == "val"
-    )
-    return boosted(**params).fit(fit_rows)
+def best_round(losses: list[float], patience: int) -> int:
+    """The round, from 1, that a stop after ``patience`` rounds without gain settles on."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
+
+
+def train_gbt(rows: DataFrame, patience: int | None = None, **params):
+    """Boosted trees on the training rows, over all rounds.
+
+    With ``patience`` the model ends at the best round of the validation rows. The same seed gives
+    the same first trees, so that model is fitted again with so many rounds.
+    """
+    train = rows.filter(F.col("split") == "train")
+    model = boosted(**params).fit(train)
+    validation = rows.filter(F.col("split") == "val")
+    if patience is None or validation.limit(1).count() == 0:
+        return model
+    losses = model.evaluateEachIteration(validation, "squared")
+    rounds = best_round(losses, patience)
+    return model if rounds == len(losses) else boosted(**{**params, "maxIter": rounds}).fit(train)
 
 
 def train_second(rows: DataFrame, **params):
@@ -133,7 +188,7 @@ def draw_trials(space: dict, trials: int, seed: int = config.SEED) -> list[dict]
 
 def tune_search(
     rows: DataFrame,
-    train_fn=train_gbt,
+    train_fn=partial(train_gbt, patience=config.EARLY_STOP),
     space: dict | None = None,
     trials: int = config.TUNING_TRIALS,
     parallelism: int = 2,
@@ -182,42 +237,57 @@ def feature_importance(models: dict, features: list[str], spark) -> DataFrame:
     return spark.createDataFrame(rows, "model string, feature string, importance double")
 
 
-def predict_long(models: dict, rows: DataFrame, keep: list[str]) -> DataFrame:
-    """One row per key and model, with a single pass over the vectors."""
+def predict_wide(models: dict, rows: DataFrame, keep: list[str]) -> DataFrame:
+    """One row per key with a prediction column per model, in a single pass over the vectors."""
     wide = rows
     for name, model in models.items():
         wide = model.copy({model.predictionCol: f"pred_{name}"}).transform(wide)
+    return wide.select(*keep, *[f"pred_{n}" for n in models])
+
+
+def predict_long(
+    wide: DataFrame, models: list[str], keep: list[str], weights: dict[str, float] | None = None
+) -> DataFrame:
+    """One row per key and model; with ``weights`` the ensemble too, from the row itself."""
+    columns = {n: F.col(f"pred_{n}") for n in models}
+    if weights is not None:
+        total = sum(weights[n] for n in models)
+        if not total > 0:
+            raise ValueError("no model with a positive weight")
+        columns["ensemble"] = sum((F.lit(weights[n]) * columns[n] for n in models), F.lit(0.0)) / total
     return wide.select(
         *keep,
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(n).alias("model"), F.col(f"pred_{n}").alias("prediction"))
-                    for n in models
-                ]
-            )
-        ),
+        F.inline(F.array(*[
+            F.struct(F.lit(n).alias("model"), c.alias("prediction")) for n, c in columns.items()
+        ])),
     )
 
 
+def weight_map(weights: DataFrame) -> dict[str, float]:
+    """Ensemble weights by model: a handful of rows."""
+    return {r["model"]: r["weight"] for r in weights.select("model", "weight").collect()}
+
+
 def train_pipeline(
     features: DataFrame,
     target: str = config.TARGET,
     keys: tuple[str, ...] = ("date", "store_id"),
     boosted_params: dict | None = None,
     forest_params: dict | None = None,
-    trials: int = 0,
+    trials: int = config.TUNING_TRIALS,
+    spec: FeatureSpec | None = None,
 ) -> Trained:
     """Train both learners, weight the ensemble by validation R2 and judge all on test.
 
-    With ``trials`` the parameters come from a search of that many draws per learner.
+    The parameters come from a search of ``trials`` draws per learner; 0 takes them as given.
+    ``spec`` tells how the features were made, for serving.
     """
-    prepared = preprocess(features, target, keys)
+    prepared = preprocess(features, target, keys, spec=spec)
     rows = prepared.rows
     boosted_params, forest_params = dict(boosted_params or {}), dict(forest_params or {})
     if trials:
         boosted_params |= best_params(
-            tune_search(rows, train_gbt, BOOSTED_SEARCH, trials), BOOSTED_SEARCH
+            tune_search(rows, space=BOOSTED_SEARCH, trials=trials), BOOSTED_SEARCH
         )
         forest_params |= best_params(
             tune_search(rows, train_second, FOREST_SEARCH, trials), FOREST_SEARCH
@@ -226,22 +296,22 @@ def train_pipeline(
         "boosted": train_gbt(rows, **boosted_params),
         "forest": train_second(rows, **forest_params),
     }
-    scored = materialize(
-        predict_long(
+    names, kept = list(models), [*keys, "actual"]
+    wide = materialize(
+        predict_wide(
             models,
-            rows.filter(F.col("split") != "train"),
-            [*keys, "split", F.col("label").alias("actual")],
+            rows.filter(F.col("split") != "train").withColumn("actual", F.col("label")),
+            [*kept, "split"],
         ),
         "predictions",
         ("split",),
     )
-    validation = evaluate.regression_metrics(scored.filter(F.col("split") == "val"))
-    weights = materialize(evaluate.ensemble_weights(validation), "weights")
-    test = scored.filter(F.col("split") == "test").drop("split")
-    combined = evaluate.ensemble_predict(test, weights, (*keys, "actual")).withColumn(
-        "model", F.lit("ensemble")
+    validation = predict_long(wide.filter(F.col("split") == "val"), names, kept)
+    weights = materialize(
+        evaluate.ensemble_weights(evaluate.regression_metrics(validation)), "weights"
     )
-    predictions = test.unionByName(combined)
+    test = wide.filter(F.col("split") == "test")
+    predictions = predict_long(test, names, kept, weight_map(weights))
     data = rows.select("split", F.col("label").alias(target), "features")
     return Trained(
         models=models,
@@ -265,6 +335,9 @@ def _unpack(rows: DataFrame, target: str, features: list[str]) -> DataFrame:
     )
 
 
+SPEC_SCHEMA = (
+    "lags array<int>, windows array<int>, functions array<string>, interactions array<string>, target string"
+)
 _MODEL_KINDS = {"boosted": GBTRegressionModel, "forest": RandomForestRegressionModel}
 
 
@@ -285,6 +358,7 @@ def save_serving(trained: Trained | Serving, path: str) -> None:
         spark.createDataFrame(layout, "position int, feature string, categorical boolean"),
         f"{path}/features",
     )
+    write_table(spark.createDataFrame([asdict(prepared.spec)], SPEC_SCHEMA), f"{path}/spec")
 
 
 def load_serving(spark, path: str, names: tuple[str, ...] = ("boosted", "forest")) -> Serving:
@@ -299,5 +373,6 @@ def load_serving(spark, path: str, names: tuple[str, ...] = ("boosted", "forest"
             codes=spark.read.parquet(f"{path}/codes") if categorical else None,
             scaling=spark.read.parquet(f"{path}/scaling"),
             categorical=categorical,
+            spec=FeatureSpec(**spark.read.parquet(f"{path}/spec").first().asDict()),
         ),
     )

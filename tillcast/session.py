@@ -19,26 +19,12 @@ SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # nanosecond timestamps, which Spark cannot hold, are read as numbers
+    "spark.sql.legacy.parquet.nanosAsLong": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
 }
 
-PARTITION_BYTES = 128 * 1024 * 1024
-
-
-def sized_for(shuffled_bytes: int) -> dict[str, str]:
-    """Settings for a job that shuffles about this much: start wide and let AQE merge.
-
-    Shuffle partitions of about 128 MB fit an executor core with room for sorting.
-    """
-    wide = max(200, -(-shuffled_bytes // PARTITION_BYTES))
-    return {
-        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(wide),
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(PARTITION_BYTES),
-        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
-    }
-
-
 _LOCAL_DIRS: dict[str, str] = {}
 
 
@@ -55,13 +41,17 @@ def build_session(app_name: str = "tillcast", master: str | None = None, **conf)
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, taken from ``spark.checkpoint.dir``.
 
-    A local session without that setting gets a fresh folder; a cluster without it is an
-    error, since a machine-local folder would not survive a lost executor.
+    A local session without that setting gets a fresh folder; a cluster without it, or with a
+    machine's folder for temporary files, is an error, since such a folder would not survive a
+    lost executor.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    local = spark.sparkContext.master.startswith("local")
     if configured:
+        if not local and _is_temporary(spark, configured):
+            raise ValueError(f"{configured} is a temporary folder of one machine")
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not local:
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_DIRS:
@@ -69,10 +59,56 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_DIRS[app]
 
 
+def _is_temporary(spark: SparkSession, folder: str) -> bool:
+    """Whether a path is a local file path below a usual place for temporary files."""
+    path, system = _hadoop(spark, folder)
+    if system.getUri().getScheme() != "file":
+        return False
+    plain = path.toUri().getPath().rstrip("/") + "/"
+    return plain.startswith(("/tmp/", "/var/tmp/", tempfile.gettempdir().rstrip("/") + "/"))
+
+
+_RUN_DIRS: set[str] = set()
+
+
+def _run_dir(spark: SparkSession) -> str:
+    """The folder of this application's stages. It goes when the driver's JVM ends."""
+    folder = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    if folder not in _RUN_DIRS:
+        path, system = _hadoop(spark, folder)
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+        _RUN_DIRS.add(folder)
+    return folder
+
+
+def _hadoop(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder, unique per call."""
-    run = spark.sparkContext.applicationId
-    return f"{shared_dir(spark)}/{run}/{name}-{uuid.uuid4().hex}"
+    return f"{_run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Delete all stages of this application; tables that read them cannot be used any more."""
+    folder = _run_dir(spark)
+    path, system = _hadoop(spark, folder)
+    system.delete(path, True)
+    _RUN_DIRS.discard(folder)
+
+
+#: Rows up to which a stored table is sent to every task.
+BROADCAST_ROWS = 100_000
+
+
+def small(df, limit: int = BROADCAST_ROWS):
+    """A stored table with a broadcast hint if its counted rows allow."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.count() <= limit else df
 
 
 def materialize(df, name: str = "stage", partition_by: tuple[str, ...] = ()):

@@ -31,16 +31,17 @@ def scan_facts(
     """
     stored, bound, to_date = _DATE_FORMS[date_as]
     if date_as == "nanos":
-        spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
+        if spark.conf.get("spark.sql.legacy.parquet.nanosAsLong", "false") != "true":
+            raise ValueError("nanosecond dates need spark.sql.legacy.parquet.nanosAsLong")
     file_schema = re.sub(r"\bdate date\b", f"date {stored}", schema)
     if partitioned:
         facts = spark.read.schema(f"{file_schema}, {FOLDERS}").parquet(path)
-        # on year*100+month, so that the pruning filter holds folder columns only
-        month = F.col("year") * 100 + F.col("month")
+        # one number from the folder columns alone, so that the filter prunes to the day
+        day = F.col("year") * 10_000 + F.col("month") * 100 + F.col("day")
         if start:
-            facts = facts.filter(month >= int(start[:4]) * 100 + int(start[5:7]))
+            facts = facts.filter(day >= int(start.replace("-", "")))
         if end:
-            facts = facts.filter(month <= int(end[:4]) * 100 + int(end[5:7]))
+            facts = facts.filter(day <= int(end.replace("-", "")))
         facts = facts.drop("year", "month", "day")
     else:
         facts = (
@@ -112,18 +113,30 @@ def file_catalog(
 
 
 def catalog_counts(catalog: DataFrame) -> DataFrame:
-    """Files per data type, and their total in the row of type ``total``."""
+    """Files per data type, and their total in the row of type ``total``.
+
+    A catalogue with ``rows`` (``with_rows``) has them added up too.
+    """
+    counted = [F.sum("rows").alias("rows")] if "rows" in catalog.columns else []
     return (
         catalog.rollup("data_type")
-        .agg(F.count(F.lit(1)).alias("files"), F.grouping("data_type").alias("is_total"))
+        .agg(F.count(F.lit(1)).alias("files"), *counted, F.grouping("data_type").alias("is_total"))
         .select(
             F.when(F.col("is_total") == 1, "total").otherwise(F.col("data_type"))
             .alias("data_type"),
             "files",
+            *(["rows"] if counted else []),
         )
     )
 
 
+def with_rows(catalog: DataFrame, filled: DataFrame) -> DataFrame:
+    """The catalogue with the rows of every file, 0 for an empty one."""
+    return catalog.join(filled.select("path", "rows"), "path", "left").withColumn(
+        "rows", F.coalesce("rows", F.lit(0))
+    )
+
+
 def type_coverage(found: DataFrame, expected: list[str], column: str = "data_type") -> DataFrame:
     """Each expected type with whether ``found`` holds it."""
     spark = found.sparkSession
