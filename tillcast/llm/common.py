@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tillcast.session import materialize
 
@@ -117,6 +117,13 @@ def as_long(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def wrapped(rows: DataFrame, **columns: Column) -> DataFrame:
+    """(row, ...): all columns of ``rows`` in one struct, so that no name of theirs can clash."""
+    return rows.select(
+        F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row"), *(c.alias(n) for n, c in columns.items())
+    )
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): the smallest node that links reach, for every node with a link.
 

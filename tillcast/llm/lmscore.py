@@ -181,7 +181,7 @@ def scores(documents: DataFrame, path: str, backoff: float = BACKOFF, block_toke
             value[at] = np.where(seen > 0, logs, np.where(mine[at] > 0, np.log(backoff), 0.0) + single[at])
             who.append(left.column("doc_ids")[row].values)
             n_tokens.append(size)
-            sums.append(np.bincount(owner, weights=value, minlength=len(size)))
+            sums.append(np.bincount(owner, weights=value, minlength=len(size)).astype(float))
         if not who:
             return pa.table({"doc_id": pa.array([], left.schema.field("doc_ids").type.value_type), "n_tokens": pa.array([], pa.int64()), "log_score": pa.array([], pa.float64())})
         return pa.table({
