@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tillcast.session import materialize
 
@@ -16,7 +17,7 @@ CHUNK_BYTES = 2 << 20
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _BLANKS = bytes.maketrans(b"\t\n\r\x0b\x0c", b"     ")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_POWERS = np.cumprod(np.full(4096, 0x100000001B3, dtype=np.uint64))
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,6 +33,29 @@ def salted(x: np.ndarray, salt: int) -> np.ndarray:
     return mix(x + np.uint64(int(_ODD) * (salt + 1) & (1 << 64) - 1))
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to n of an odd number and of its inverse, modulo 2 ** 64."""
+    if n not in _POWERS:
+        size = 1 << n.bit_length()
+        out = []
+        for base in (int(_ODD), pow(int(_ODD), -1, 1 << 64)):
+            x = np.full(size + 1, base, np.uint64)
+            x[0] = 1
+            out.append(np.cumprod(x))
+        _POWERS.clear()
+        _POWERS[n] = tuple(out)
+    return _POWERS[n]
+
+
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of ``values[start:end]``, by differences of one running sum."""
+    power, back = powers(1 << max(len(values), 1 << 16).bit_length())
+    total = np.empty(len(values) + 1, np.uint64)
+    total[0] = 0
+    np.cumsum(values * power[: len(values)], out=total[1:])
+    return mix((total[ends] - total[starts]) * back[starts])
+
+
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of some texts, and the bounds of each text's words.
 
@@ -50,15 +74,14 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     bounds = np.concatenate([[0], np.searchsorted(starts, ends_of_text)])
     if not len(starts):
         return np.zeros(0, np.uint64), bounds
-    lengths = ends - starts
-    where = np.flatnonzero(inside)
-    at = np.arange(len(where)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    terms = (raw[where].astype(np.uint64) + np.uint64(1)) * _POWERS[at % len(_POWERS)]
-    if at.max() >= len(_POWERS):  # a word of over 4,096 bytes goes on with scrambled powers
-        far = at >= len(_POWERS)
-        terms[far] *= mix((at[far] // len(_POWERS)).astype(np.uint64)) | np.uint64(1)
-    sums = np.add.reduceat(terms, np.cumsum(lengths) - lengths)
-    return mix(sums + lengths.astype(np.uint64) * _ODD), bounds
+    out, word = np.empty(len(starts), np.uint64), 0
+    while word < len(starts):  # blocks of words, so that the sums stay small beside a very long text
+        after = max(word + 1, int(np.searchsorted(ends, starts[word] + 2 * CHUNK_BYTES, side="right")))
+        a, b = starts[word], ends[after - 1]
+        values = raw[a:b].astype(np.uint64) + np.uint64(1)
+        out[word:after] = span_hashes(values, starts[word:after] - a, ends[word:after] - a)
+        word = after
+    return mix(out + (ends - starts).astype(np.uint64) * _ODD), bounds
 
 
 def word_spans(text: str) -> list[tuple[int, int]]:
@@ -117,6 +140,16 @@ def as_long(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the shuffle files of finished stages go before the next large stage.
+
+    Spark deletes them when the driver's garbage collector finds their plans unused, which may
+    otherwise be long after; what is still read stays.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def wrapped(rows: DataFrame, **columns: Column) -> DataFrame:
     """(row, ...): all columns of ``rows`` in one struct, so that no name of theirs can clash."""
     return rows.select(
