@@ -9,10 +9,11 @@ regions whose darts follow from a hash, and the regions are opened in order of r
 coordinate has a dart, so the work is proportional to the elements plus K log K.
 
 Equal texts are one node. Nodes that agree in a whole band of coordinates share a bucket.
-Instead of all pairs of a bucket, every member is compared with the bucket's first node; whoever
-is then still in another component than the bucket's largest one is compared with all
-members of other components. So no link is lost that two bucket mates have, while a large group
-of copies costs its size and not its square. Pairs are screened by the agreement of their
+Instead of all pairs of a bucket, every member is compared with the bucket's middle, the node with the
+most bucket mates; whoever is then still in another component than the bucket's largest one is
+compared with the members of other components. A pair is left out only if it cannot be a link: two
+texts have no more runs in common than either of them shares with any text. So no link is lost
+that two bucket mates have, while a large group of copies costs its size and not its square. Pairs are screened by the agreement of their
 signatures, then verified by the exact similarity of their runs (32-bit hashes of them).
 
 Defined results: null, empty and blank texts are classes of their own; other equal texts are one
@@ -29,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tillcast.llm.common import as_long, chunks, components, lists, mix, salted, shingles, word_hashes
+from tillcast.llm.common import as_long, chunks, components, lists, mix, salted, shingles, word_hashes, wrapped
 from tillcast.session import materialize
 
 WIDTH = 5
@@ -173,11 +174,8 @@ def _agreeing(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFram
     return both.select("a", "b", "sa", "sb").mapInArrow(agree, "a long, b long")
 
 
-def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs whose runs have the similarity, stored."""
-    pairs = materialize(_agreeing(pairs, nodes, similarity), "pairs")
-    named = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = materialize(nodes.join(named, "node").select("node", "key"), "named")
+def _runs_of_nodes(wanted: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(node, runs) of the wanted nodes (node, key): 32-bit hashes of their runs, stored."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,9 +187,25 @@ def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, sim
                     ["node", "runs"],
                 )
 
-    once = texts.join(_small(wanted), "key").select("node", "text").mapInArrow(gather, "node long, runs array<int>")
+    once = texts.join(_small(materialize(wanted, "wanted")), "key").select("node", "text").mapInArrow(gather, "node long, runs array<int>")
     # copies of a text give the same runs; one of them is kept, combined before the shuffle
-    runs = materialize(once.groupBy("node").agg(F.first("runs").alias("runs")), "runs")
+    return materialize(once.groupBy("node").agg(F.first("runs").alias("runs")), "runs")
+
+
+def _shared_runs(wanted: DataFrame, nodes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(node, n, shared): the runs of a node, and how many of them another wanted node has too."""
+    runs = _runs_of_nodes(nodes.join(wanted, "node").select("node", "key"), texts, width)
+    each = runs.select("node", F.explode("runs").alias("run"))
+    twice = each.groupBy("run").agg(F.count("*").alias("n")).where("n > 1").select("run")
+    shared = each.join(twice, "run").groupBy("node").agg(F.count("*").alias("shared"))
+    return runs.select("node", F.size("runs").alias("n")).join(shared, "node", "left").fillna(0, ["shared"])
+
+
+def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs whose runs have the similarity, stored."""
+    pairs = materialize(_agreeing(pairs, nodes, similarity), "pairs")
+    named = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    runs = _runs_of_nodes(nodes.join(named, "node").select("node", "key"), texts, width)
     side = lambda x: runs.select(F.col("node").alias(x), F.col("runs").alias(f"r{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
 
@@ -211,27 +225,42 @@ def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, sim
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY,
             bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, key, class_id) of every row; ``key`` is null for blank texts."""
+    """(doc_id, key, component, class_id) of every row; ``key`` and ``component`` are null for blank texts."""
     keyed = _keyed(docs, id_col, text_col)
     signed = signatures(keyed, width, bands, rows)
     nodes = materialize(
         signed.groupBy("key").agg(*(F.first(c).alias(c) for c in ("n", "sketch", "buckets"))).withColumn("node", F.monotonically_increasing_id()),
         "nodes",
     )
-    held = nodes.select("node", "n", F.explode("buckets").alias("bucket"))
-    shared = held.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("size")).where("size > 1").drop("size")
-    members = materialize(held.join(shared, "bucket").select("bucket", "node", "first"), "buckets")
+    held = nodes.select("node", F.explode("buckets").alias("bucket"))
+    shared = held.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    met = materialize(held.join(shared, "bucket"), "met")
+    # the node with the most bucket mates lies in the middle of its group
+    middle = met.join(met.groupBy("node").agg(F.sum("size").alias("mates")), "node")
+    firsts = middle.groupBy("bucket").agg(F.max_by("node", "mates").alias("first"))
+    members = materialize(met.join(firsts, "bucket").select("bucket", "node", "first"), "buckets")
     stars = members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     links = _links(stars, nodes, keyed, width, similarity)
     labels = components(links, "a", "b")
-    # whoever is outside its bucket's largest component meets the others there
+    # whoever is outside its bucket's largest component meets the others there, unless the runs
+    # that it shares with anyone at all are too few for any link
     placed = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
     parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("size"))
     largest = parts.groupBy("bucket").agg(F.max(F.struct("size", "component"))["component"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
     mixed = materialize(placed.join(largest.drop("parts"), "bucket"), "mixed")
-    lone = mixed.where("component <> main").select("bucket", F.col("node").alias("x"), F.col("component").alias("cx"))
-    met = lone.join(mixed.select("bucket", F.col("node").alias("y"), F.col("component").alias("cy")), "bucket").where("cx <> cy")
-    met = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    sized = mixed.join(_shared_runs(mixed.select("node").distinct(), nodes, keyed, width), "node")
+    sized = materialize(sized.join(nodes.select("node", "buckets"), "node"), "sized")
+    side = lambda x: sized.select(
+        "bucket", (F.col("component") != F.col("main")).alias(f"lone{x}"),
+        *(F.col(c).alias(f"{c}{x}") for c in ("node", "component", "n", "shared", "buckets")),
+    )
+    common = F.least("sharedx", "sharedy")  # no two of them can have more runs in common
+    met = side("x").where("lonex").join(side("y"), "bucket").where(
+        (F.col("componentx") != F.col("componenty")) & (~F.col("loney") | (F.col("nodex") < F.col("nodey")))
+        & (common + 1e-9 >= similarity * (F.col("nx") + F.col("ny") - common))
+        # the first of the buckets that two nodes share is the one where they meet
+        & (F.array_min(F.array_intersect("bucketsx", "bucketsy")) == F.col("bucket"))
+    ).select(F.col("nodex").alias("x"), F.col("nodey").alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     more = _links(met.join(stars, ["a", "b"], "left_anti"), nodes, keyed, width, similarity)
     if more.limit(1).count():
         labels = components(links.unionByName(more), "a", "b")
@@ -242,7 +271,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     member = member.select("doc_id", F.when(~_blank(F.col("text")), F.unhex(F.md5("text"))).alias("key"))
     member = member.join(named, "key", "left")
     least = member.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    return member.join(least, "component", "left").select("doc_id", "key", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+    return member.join(least, "component", "left").select("doc_id", "key", "component", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
@@ -253,15 +282,18 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row of each class, that with the smallest id; columns as they were."""
     all_rows = materialize(classes(docs, id_col, text_col, **options), "classes")
-    rows = all_rows.where("key is not null").groupBy("doc_id", "key").agg(F.first("class_id").alias("class_id"), F.count("*").alias("copies"))
-    # of texts that share the class's own id, the first one stays
-    first = F.row_number().over(Window.partitionBy("class_id").orderBy("key"))
+    rows = all_rows.where("key is not null").groupBy("doc_id", "key").agg(
+        F.first("component").alias("component"), F.first("class_id").alias("class_id"), F.count("*").alias("copies")
+    )
+    # of texts in one class that share its smallest id, the first one stays
+    first = F.row_number().over(Window.partitionBy("component").orderBy("key"))
     kept = rows.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).withColumn("nth", first)
-    repeated = materialize(kept.where("nth = 1 and copies > 1").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")), "repeated")
+    repeated = materialize(kept.where("nth = 1 and copies > 1").select("doc_id", "key"), "repeated")
     gone = rows.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id", "key").unionByName(kept.where("nth > 1").select("doc_id", "key"))
-    gone = materialize(gone.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).unionByName(repeated), "gone")
+    gone = materialize(gone.unionByName(repeated), "gone")
     text = F.col(f"`{text_col}`").cast("string")
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.when(~_blank(text), F.unhex(F.md5(text))) == F.col("__key"))
-    rest = docs.join(_small(gone), same, "left_anti")
-    again = docs.join(_small(repeated), same).groupBy("__id", "__key").agg(F.first(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("__row"))
-    return rest.unionByName(again.select("__row.*"))
+    keyed = wrapped(docs, doc_id=F.col(f"`{id_col}`"), key=F.when(~_blank(text), F.unhex(F.md5(text)))).alias("a")
+    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.key") == F.col("b.key"))
+    rest = keyed.join(_small(gone).alias("b"), same, "left_anti").select("row.*")
+    again = keyed.join(_small(repeated).alias("b"), same).groupBy("a.doc_id", "a.key").agg(F.first("row").alias("row"))
+    return rest.unionByName(again.select("row.*"))
