@@ -199,6 +199,7 @@ def _epoch(states: DataFrame, capacity: int, children: int, epoch: int) -> DataF
     """One epoch of every island; ``elites`` holds its groupings and those that came to it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder.cache_clear()  # all texts are encoded: the words that this worker has kept can go
         for batch in batches:
             out = []
             for row in batch.to_pylist():
