@@ -89,4 +89,46 @@ QUERIES = {
     "op10_repeated_passages": op10_repeated_passages,
 }
 
-ORACLES: dict[str, str] = {}
+WARC_SQL = """
+with p as (select page_id, coalesce(html, '') as h from pages),
+f as (select h, min(page_id) as first from p where strlen(h) >= 100 group by h)
+select p.page_id, cast(strlen(p.h) as bigint) as payload_bytes, sha256(p.h) as payload_digest,
+  case when p.page_id <> f.first then 'revisit' else 'response' end as record_type,
+  case when p.page_id <> f.first then f.first end as refers_to
+from p left join f on p.h = f.h"""
+
+
+def _escaped(column: str) -> str:
+    """Characters of a text with its backslashes and control strings escaped."""
+    return (
+        f"(length({column}) + length({column}) - length(replace({column}, '\\', ''))"
+        f" + len(regexp_extract_all({column}, '<\\||</?s>|<</?SYS>>|\\[/?INST\\]')))"
+    )
+
+
+CHAT_SQL = f"""
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+t as (select *, len(regexp_extract_all(text, '[A-Za-z0-9]+|[^ \\t\\n\\rA-Za-z0-9]')) + 4 as tokens,
+  row_number() over (partition by conv_id order by turn, role, text) - 1 as n,
+  24 + {_escaped("role")} + length(role) - length(replace(role, chr(10), '')) + {_escaped("text")} as chars from c),
+s as (select conv_id, tokens as head, chars from t where n = 0 and role = 'system'),
+r as (select t.conv_id, t.tokens, t.chars, sum(t.tokens) over (partition by t.conv_id order by n) - t.tokens as before,
+  greatest(floor((1024 - 256 - coalesce(head, 0)) / 2), 256) as stride
+  from t left join s on t.conv_id = s.conv_id where not (n = 0 and role = 'system')),
+w as (select *, floor(before / stride) as win from r),
+b as (select conv_id, win, min(before) as start from w group by all),
+f as (select conv_id, chars from w
+  union all select w.conv_id, chars from w join b on w.conv_id = b.conv_id and b.win = w.win + 1
+    where start - before <= least(256, stride)
+  union all select conv_id, chars from s
+  union all select s.conv_id, chars from s join b on s.conv_id = b.conv_id where win > 0),
+g as (select conv_id, cast(sum(chars) as bigint) as formatted_chars from f group by conv_id),
+d as (select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by n)) as turns_sha256,
+  coalesce(string_agg(text, '' order by n) filter (role = 'assistant'), '') as learnt from t group by conv_id)
+select conv_id, n_turns, turns_sha256, cast(length(learnt) as bigint) as loss_chars,
+  sha256(learnt) as loss_sha256, formatted_chars from d join g using (conv_id)"""
+
+#: The others rest on a tokenizer, a fitted model, signatures or a search, which SQL does not have.
+ORACLES = {"op5_warc": WARC_SQL, "op7_chat": CHAT_SQL}
