@@ -33,6 +33,8 @@ BACKOFF = 0.4
 #: Tokens after which a block is closed, and pairs of a hash part that are aimed at.
 BLOCK_TOKENS = 3_000_000
 PART_PAIRS = 2_000_000
+#: Tokens of a block that are scored at once, whole documents each.
+SLICE_TOKENS = 250_000
 
 
 def blocks(documents: DataFrame, path: str, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -74,13 +76,24 @@ def blocks(documents: DataFrame, path: str, block_tokens: int = BLOCK_TOKENS) ->
 def _tokens(ids: bytes, ends: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Token ids, and the number of the document of each."""
     stops = np.frombuffer(ends, "<i8")
-    return np.frombuffer(ids, "<u2").astype(np.int64), np.repeat(np.arange(len(stops)), np.diff(stops, prepend=0))
+    owner = np.repeat(np.arange(len(stops), dtype=np.int32), np.diff(stops, prepend=0))
+    return np.frombuffer(ids, "<u2"), owner
 
 
 def _pairs(tokens: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs inside documents, and where the second token of each stands."""
     at = np.flatnonzero(owner[1:] == owner[:-1]) + 1
-    return (tokens[at - 1] << 16 | tokens[at]).astype(np.uint32), at
+    return tokens[at - 1].astype(np.uint32) << np.uint32(16) | tokens[at], at
+
+
+def _slices(ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Bounds of consecutive documents with about so many tokens together, one document at least."""
+    start = 0
+    while start < len(ends):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield start, stop
+        start = stop
 
 
 def _parted(pairs: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,6 +108,7 @@ def _singles(stored: DataFrame) -> np.ndarray:
     """Counts of all tokens; the result has one row for each vocabulary entry at most."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder.cache_clear()  # all texts are encoded: the words that this worker has kept can go
         total = np.zeros(1 << 16, np.int64)
         for batch in batches:
             for ids in batch.column("ids"):
@@ -112,6 +126,7 @@ def pair_totals(stored: DataFrame, parts: int) -> DataFrame:
     """(block, part, totals): for every block the corpus counts of its pairs, in their order."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder.cache_clear()
         for batch in batches:
             for i in range(batch.num_rows):
                 pairs, _ = _pairs(*_tokens(batch.column("ids")[i].as_py(), batch.column("ends")[i].as_py()))
@@ -149,7 +164,14 @@ def scores(documents: DataFrame, path: str, backoff: float = BACKOFF, block_toke
     parts = max(1, int(-(-singles.sum() // part_pairs)))
     shared = documents.sparkSession.sparkContext.broadcast(singles)
 
+    def own(values: np.ndarray, where: np.ndarray) -> np.ndarray:
+        """How often each value occurs in its own document."""
+        code = where.astype(np.uint64) << np.uint64(32) | values.astype(np.uint64)
+        _, back, counts = np.unique(code, return_inverse=True, return_counts=True)
+        return counts[back]
+
     def score(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        encoder.cache_clear()
         who, n_tokens, sums = [], [], []
         singles = shared.value
         total = singles.sum()
@@ -158,30 +180,28 @@ def scores(documents: DataFrame, path: str, backoff: float = BACKOFF, block_toke
             tokens, owner = _tokens(ids, ends)
             stops = np.frombuffer(ends, "<i8")
             size = np.diff(stops, prepend=0)
-            pairs, at = _pairs(tokens, owner)
-            unique, _, _ = _parted(pairs, parts)
+            unique = _parted(_pairs(tokens, owner)[0], parts)[0]
             got = sorted(zip(right.column("part").to_pylist(), right.column("totals").to_pylist(), right.column("wide").to_pylist(), strict=True))
             totals = np.concatenate([np.frombuffer(t, "<i8" if wide else "<u4").astype(np.int64) for _, t, wide in got])
             by = np.argsort(unique)
-            corpus = totals[by][np.searchsorted(unique[by], pairs)]
-
-            def own(values: np.ndarray, where: np.ndarray) -> np.ndarray:
-                """How often each value occurs in its own document."""
-                code = where.astype(np.uint64) << np.uint64(32) | values.astype(np.uint64)
-                _, back, counts = np.unique(code, return_inverse=True, return_counts=True)
-                return counts[back]
-
-            rest = np.maximum(total - size, 1)[owner]
-            mine = singles[tokens] - own(tokens, owner)  # in all other documents
-            single = np.log(np.where(mine > 0, mine, 1) / rest)
-            single = np.where(mine > 0, single, np.log(backoff) - np.log(rest))
-            value = single.copy()
-            seen = corpus - own(pairs, owner[at])
-            logs = np.log(np.maximum(seen, 1)) - np.log(np.maximum(mine[at - 1], 1))
-            value[at] = np.where(seen > 0, logs, np.where(mine[at] > 0, np.log(backoff), 0.0) + single[at])
+            unique, totals = unique[by], totals[by]
+            value_of = np.zeros(len(size))
+            for a, b in _slices(stops, SLICE_TOKENS):
+                begin, end = (stops[a - 1] if a else 0), stops[b - 1]
+                here, doc = tokens[begin:end], owner[begin:end] - a
+                pairs, at = _pairs(here, doc)
+                rest = np.maximum(total - size[a:b], 1)[doc]
+                mine = singles[here] - own(here, doc)  # in all other documents
+                single = np.log(np.where(mine > 0, mine, 1) / rest)
+                single = np.where(mine > 0, single, np.log(backoff) - np.log(rest))
+                value = single.copy()
+                seen = totals[np.searchsorted(unique, pairs)] - own(pairs, doc[at]) if len(pairs) else np.zeros(0)
+                logs = np.log(np.maximum(seen, 1)) - np.log(np.maximum(mine[at - 1], 1))
+                value[at] = np.where(seen > 0, logs, np.where(mine[at] > 0, np.log(backoff), 0.0) + single[at])
+                value_of[a:b] = np.bincount(doc, weights=value, minlength=b - a)
             who.append(left.column("doc_ids")[row].values)
             n_tokens.append(size)
-            sums.append(np.bincount(owner, weights=value, minlength=len(size)).astype(float))
+            sums.append(value_of)
         if not who:
             return pa.table({"doc_id": pa.array([], left.schema.field("doc_ids").type.value_type), "n_tokens": pa.array([], pa.int64()), "log_score": pa.array([], pa.float64())})
         return pa.table({
