@@ -1,6 +1,6 @@
 import pytest
 
-from tillcast.llm.decontam import NAME, NUMBER, UNIT, clean, contaminated, template, words
+from tillcast.llm.decontam import NAME, NUMBER, UNIT, clean, contaminated, with_template, with_words
 from pyspark.sql import functions as F
 
 ITEMS = [
@@ -43,7 +43,7 @@ def test_clean_keeps_the_others_with_their_columns(spark, tables):
 def test_templates_line_up_with_words(spark):
     texts = ["He paid $3.50 to Anna Lee, at 5 km or 10 %.", "Anna ran. Bob ran - 7 miles!", "one of 12th, (4)", "..."]
     for text, want in zip(texts, [["he", "paid", NUMBER, "to", NAME, NAME, "at", NUMBER, UNIT, "or", NUMBER], ["anna", "ran", "bob", "ran", NUMBER, UNIT], [NUMBER, "of", NUMBER, NUMBER], []], strict=True):
-        row = spark.range(1).select(words(F.lit(text)).alias("w"), template(F.lit(text)).alias("t")).first()
+        row = with_template(with_words(spark.range(1).select(F.lit(text).alias("x")), "x"), "x").first()
         assert list(row.t) == want and len(row.w) == len(row.t)
 
 

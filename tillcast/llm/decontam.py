@@ -11,8 +11,9 @@ only. Consistent alignments count, whether the values are equal (the item itself
 re-parameterised one). A document is contaminated by an item if they cover ``coverage`` of
 the item's runs or more.
 
-The benchmark's runs are broadcast only up to ``BROADCAST_RUNS`` of them. Beyond that, hashes of
-documents and benchmark are joined by a shuffle first, and only documents that share one go on.
+A first pass finds the documents that share any run with the benchmark, by hashes alone; only
+these are read again, with their words. The benchmark's runs are broadcast only up to
+``BROADCAST_RUNS`` of them; beyond that both passes join by a shuffle.
 Equal runs of a document and an item are combined before the shuffle, so neither a hot run nor a
 document that repeats a third of the table gathers in one task.
 
@@ -28,12 +29,15 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tillcast.llm.common import wrapped
 from tillcast.session import materialize
 
 WIDTH = 5
 COVERAGE = 0.8
 #: Runs of the benchmark up to which they are sent to every task: 40 bytes or so each.
 BROADCAST_RUNS = 200_000
+#: Documents up to which a list of hashes is sent to every task.
+BROADCAST_SUSPECTS = 2_000_000
 
 NUMBER, NAME, UNIT = "\ue000", "\ue001", "\ue002"
 UNITS = (
@@ -48,25 +52,50 @@ NUMBER_WORDS = (
 )
 
 
-def _words(text: Column) -> Column:
-    plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"\p{Punct}+", ""), r"\s+", " "))
-    return F.when(plain != "", F.split(plain, " ")).otherwise(F.array().cast("array<string>"))
+def _worded(rows: DataFrame, source: str, name: str) -> DataFrame:
+    """Replace text column ``source`` by its words; what is punctuation only is no word.
+
+    The steps are columns of their own: one that is used twice is then computed once.
+    """
+    plain = F.trim(F.regexp_replace(F.lower(source), r"\p{Punct}+", ""), F.lit(" \t\n\r\x0b\x0c"))
+    split = F.when(F.col(source) != "", F.split(source, r"\s+")).otherwise(F.array().cast("array<string>"))
+    return rows.withColumn(source, plain).withColumn(name, split).drop(source)
+
+
+def with_words(rows: DataFrame, text: str, name: str = "w") -> DataFrame:
+    """Add the words of a text column."""
+    return _worded(rows.withColumn("__w", F.coalesce(F.col(text).cast("string"), F.lit(""))), "__w", name)
+
+
+def with_template(rows: DataFrame, text: str, name: str = "t") -> DataFrame:
+    """Add the words with placeholders; place by place the same as ``with_words``.
+
+    Each pattern starts with what is rare in a text, so most places fail at their first character.
+    """
+    named = F.regexp_replace(
+        F.coalesce(F.col(text).cast("string"), F.lit("")), r"\p{Lu}(?<=[^\s.!?:] .)\p{Ll}[\p{L}\p{M}'’-]*", NAME
+    )
+    spelt = F.regexp_replace(named, rf"\b(?=[zotfsenhmb])(?:{NUMBER_WORDS})(?![\p{{L}}\p{{N}}])", NUMBER)
+    measured = F.regexp_replace("__t", rf"(\p{{N}} )(?i:{UNITS})(?![\p{{L}}\p{{N}}])", f"$1{UNIT}")
+    numbered = F.regexp_replace(measured, r"(?<!\S)[-+$€£(\[\"']{0,3}\p{N}\S*", NUMBER)
+    out = rows.withColumn("__t", spelt).withColumn("__t", F.when(F.rlike("__t", F.lit(r"\p{N}")), numbered).otherwise(F.col("__t")))
+    return _worded(out, "__t", name)
 
 
-def words(text: Column) -> Column:
-    """The text's words; what is punctuation only is no word."""
-    return _words(F.coalesce(text.cast("string"), F.lit("")))
+def _slots(width: int) -> Column:
+    """Placeholders in the run that starts at ``at``."""
+    return sum((F.col("t")[F.col("at") + k].isin(NUMBER, NAME, UNIT).cast("int") for k in range(width)), F.lit(0))
 
 
-def template(text: Column) -> Column:
-    """As ``words``, with placeholders; place by place the same words."""
-    out = F.coalesce(text.cast("string"), F.lit(""))
-    out = F.regexp_replace(out, rf"(?i)(?<=\p{{N}} )(?:{UNITS})(?![\p{{L}}\p{{N}}])", UNIT)
-    # the capital is looked for first: it is rare, and what stands before it is then checked
-    out = F.regexp_replace(out, r"\p{Lu}(?<=[^\s.!?:] .)\p{Ll}[\p{L}\p{M}'’-]*", NAME)
-    out = F.regexp_replace(out, r"(?<!\S)[-+$€£(\[\"']{0,3}\p{N}\S*", NUMBER)
-    out = F.regexp_replace(out, rf"(?i)\b(?<![\p{{L}}\p{{N}}])(?:{NUMBER_WORDS})(?![\p{{L}}\p{{N}}])", NUMBER)
-    return _words(out)
+def _hash(name: str, width: int, kind: int) -> Column:
+    return F.xxhash64(F.lit(kind * width), *(F.col(name)[F.col("at") + k] for k in range(width)))
+
+
+def _placed(rows: DataFrame, width: int) -> DataFrame:
+    """One row for each place of a run. A filter on the number of words, also one that the optimizer
+    would put in front of an inner explode, would compute the template a second time."""
+    places = F.when(F.size("t") >= width, F.sequence(F.lit(0), F.size("t") - width))
+    return rows.select("*", F.explode_outer(places).alias("at")).where("at is not null")
 
 
 def _runs(rows: DataFrame, width: int) -> DataFrame:
@@ -75,51 +104,67 @@ def _runs(rows: DataFrame, width: int) -> DataFrame:
     The document's arrays are left behind here, so a row stays small however long the text is; in
     front of a broadcast join the generated loop takes the words of matching runs only.
     """
-    placed = rows.where(F.size("t") >= width).select(
-        "*", F.explode(F.sequence(F.lit(0), F.size("t") - width)).alias("at")
-    )
-    at = lambda name: [F.col(name)[F.col("at") + k] for k in range(width)]
-    slots = sum((w.isin(NUMBER, NAME, UNIT).cast("int") for w in at("t")), F.lit(0))
-    key = F.when(slots <= width - 2, F.xxhash64(F.lit(width), *at("t"))).otherwise(F.xxhash64(F.lit(-width), *at("w")))
+    raw = _slots(width) > width - 2
     cut = lambda name: F.slice(name, F.col("at") + 1, width)
     kept = [c for c in rows.columns if c not in ("w", "t")]
-    return placed.select(*kept, F.size("t").alias("words"), "at", key.alias("key"), cut("w").alias("run"), cut("t").alias("run_template"))
+    return _placed(rows, width).select(
+        *kept, F.size("t").alias("words"), "at", raw.alias("raw"),
+        F.when(raw, _hash("w", width, -1)).otherwise(_hash("t", width, 1)).alias("key"),
+        cut("w").alias("run"), cut("t").alias("run_template"),
+    )
 
 
 def _benchmark(benchmark: DataFrame, id_col: str, text_col: str, width: int) -> tuple[DataFrame, list[int]]:
     """Runs of all items with the number of runs of their item, stored; and the widths in use."""
-    items = benchmark.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("x")).distinct().select(
-        "item_id", F.xxhash64("item_id", "x").alias("item"), words(F.col("x")).alias("w"), template(F.col("x")).alias("t")
-    ).where(F.size("t") > 0)
-    items = materialize(items.withColumn("width", F.least(F.size("t"), F.lit(width))), "items")
+    items = benchmark.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("x")).distinct()
+    items = with_template(with_words(items.withColumn("item", F.xxhash64("item_id", "x")), "x"), "x").drop("x")
+    items = materialize(items.withColumn("width", F.least(F.size("t"), F.lit(width))), "items").where("width > 0")
     widths = sorted(r["width"] for r in items.select("width").distinct().collect())  # ``width`` values at most
     runs = None
     for n in widths:
         own = _runs(items.where(F.col("width") == n), n)
-        own = own.select("item_id", "item", "width", (F.col("words") - n + 1).alias("runs"), F.col("at").alias("place"), "key",
+        own = own.select("item_id", "item", "width", "raw", (F.col("words") - n + 1).alias("runs"), F.col("at").alias("place"), "key",
                          F.col("run").alias("item_words"), F.col("run_template").alias("item_template"))
         runs = own if runs is None else runs.unionByName(own)
     if runs is None:
         return benchmark.sparkSession.createDataFrame(
-            [], "item_id long, item long, width int, runs int, place int, key long, item_words array<string>, item_template array<string>"
+            [], "item_id long, item long, width int, raw boolean, runs int, place int, key long, item_words array<string>, item_template array<string>"
         ), []
     return materialize(runs, "item_runs"), widths
 
 
+def _suspects(docs: DataFrame, id_col: str, text_col: str, bench: DataFrame, widths: list[int], few: bool) -> DataFrame:
+    """Documents that share a run with the benchmark, stored; only these get a second look.
+
+    Runs that go by their original words are not made here: a document that has such a run is a
+    suspect if the benchmark has one.
+    """
+    rows = with_template(docs.select(F.xxhash64(id_col, text_col).alias("uid"), F.col(text_col).alias("x")), "x").select("uid", "t")
+    hits = []
+    for n in widths:
+        own = bench.where(F.col("width") == n)
+        keys = own.where("not raw").select("key").distinct()
+        placed = _placed(rows, n)
+        hits.append(placed.select("uid", _hash("t", n, 1).alias("key")).join(F.broadcast(keys) if few else keys, "key", "left_semi").select("uid"))
+        if own.where("raw").limit(1).count():
+            hits.append(placed.where(_slots(n) > n - 2).select("uid"))
+    found = materialize(reduce(DataFrame.unionByName, hits).distinct(), "suspects")
+    return F.broadcast(found) if found.count() <= BROADCAST_SUSPECTS else found
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, coverage: float = COVERAGE, id_col: str = "doc_id",
             text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", broadcast_runs: int = BROADCAST_RUNS) -> DataFrame:
     """(uid, doc_id, item_id, coverage, verbatim): ``uid`` is the hash of a document's id and text."""
     bench, widths = _benchmark(benchmark, item_id_col, item_text_col, width)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("uid"),
-                       words(F.col(text_col)).alias("w"), template(F.col(text_col)).alias("t"))
     if not widths:
-        return rows.limit(0).select("uid", "doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0.0).alias("coverage"), F.lit(True).alias("verbatim"))
-    if bench.count() <= broadcast_runs:
+        return docs.limit(0).select(F.lit(0).cast("long").alias("uid"), F.col(id_col).alias("doc_id"), F.lit(0).cast("long").alias("item_id"),
+                                    F.lit(0.0).alias("coverage"), F.lit(True).alias("verbatim"))
+    few = bench.count() <= broadcast_runs
+    suspects = _suspects(docs, id_col, text_col, bench, widths, few)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("uid"), F.col(text_col).alias("x"))
+    rows = with_template(with_words(rows.join(suspects, "uid", "left_semi"), "x"), "x").drop("x")
+    if few:
         bench = F.broadcast(bench)
-    else:
-        keys = reduce(DataFrame.unionByName, [_runs(rows, n).select("uid", "key") for n in widths])
-        shared = keys.join(bench.select("key").distinct(), "key", "left_semi").select("uid").distinct()
-        rows = rows.join(materialize(shared, "suspects"), "uid", "left_semi")
     slot = lambda k: F.col("item_template")[k].isin(NUMBER, NAME, UNIT)
     pairs = F.transform(
         F.filter(F.sequence(F.lit(0), F.col("width") - 1), slot),
@@ -148,4 +193,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents that no item contaminates, with their columns as they were."""
     bad = materialize(matches(docs, benchmark, id_col=id_col, text_col=text_col, **options).select("uid").distinct(), "contaminated")
-    return docs.join(bad.withColumnRenamed("uid", "__uid"), F.xxhash64(id_col, text_col) == F.col("__uid"), "left_anti")
+    keyed = wrapped(docs, uid=F.xxhash64(f"`{id_col}`", f"`{text_col}`"))
+    return keyed.join(bad, "uid", "left_anti").select("row.*")
