@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 #: Words of which a worker keeps the count, and the longest such word.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 600_000
 KEPT_LENGTH = 64
 
 Ranks = dict[tuple[str, str], int]
