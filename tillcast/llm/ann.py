@@ -194,7 +194,8 @@ class Index:
         known = materialize(entries(self.vectors, k), "entries")
         count = known.count()
         sample = known.orderBy(F.xxhash64(F.element_at("ids", 1)), F.element_at("ids", 1)).limit(sample_rows)
-        points = np.array([r["v"] for r in sample.select("v").toLocalIterator()], np.float64).reshape(min(count, sample_rows), -1)
+        held = [r["v"] for r in sample.select("v").toLocalIterator()]
+        points = np.array(held, np.float64) if held else np.zeros((0, 1))
         leaves = max(1, min(-(-count // leaf_rows), len(points) // 4))
         self.tree = fit(points, leaves)
         tree = spark.sparkContext.broadcast(self.tree)
