@@ -34,6 +34,8 @@ REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Bytes of an archive, and captures of a range of the index.
 ARCHIVE_BYTES = 32 << 20
 RANGE_ROWS = 100_000
+#: Repeated digests up to which their list is sent to every task: about 100 bytes each.
+BROADCAST_DIGESTS = 500_000
 
 INDEX = (
     "urlkey string, captured string, page_id long, archive string, place long, length long, "
@@ -65,6 +67,9 @@ def records(pages: DataFrame, least: int = 100) -> DataFrame:
         rows.where(F.col("n") >= least).groupBy("digest")
         .agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     )
+    firsts = materialize(firsts, "firsts")
+    if firsts.count() <= BROADCAST_DIGESTS:  # then no payload is moved
+        firsts = F.broadcast(firsts)
     rows = rows.join(firsts, "digest", "left")
     revisit = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
