@@ -51,3 +51,10 @@ def test_plan_has_no_python(tables):
     docs, items = tables
     plan = contaminated(docs, items)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
+
+
+@pytest.mark.parametrize("change", [str.lower, str.upper, lambda t: t.replace(" Denver", "\nDenver"), lambda t: t.replace(" ", "  ")])
+def test_case_and_layout_do_not_hide_a_copy(spark, change):
+    docs = spark.createDataFrame([(1, FILL + change(ITEMS[0][1]) + " " + FILL)], "doc_id long, text string")
+    found = contaminated(docs, spark.createDataFrame(ITEMS, "item_id long, text string")).collect()
+    assert [tuple(r) for r in found] == [(1, 0, 1.0, True)]

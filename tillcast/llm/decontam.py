@@ -2,8 +2,9 @@ r"""Benchmark decontamination by templates, with DataFrame functions only.
 
 Documents and benchmark items become templates: words in lower case without punctuation, where
 numbers, names (capitalised words inside a sentence) and units (after a number) are typed
-placeholders. Runs of ``width`` template words are joined by hash. A run with fewer than two
-plain words would match anything, so it is joined by its original words instead.
+placeholders. Runs of ``width`` template words are joined by hash, but for those with fewer than two
+plain words, which would match anything. All runs are also joined by their original words, so a
+copy in other case or layout is found; a run counts if either key matches. White space is one blank.
 
 Along each alignment of a document and an item (the same distance between their places) the
 slots must be consistent: an item's slot value stands against one value of the document
@@ -72,9 +73,8 @@ def with_template(rows: DataFrame, text: str, name: str = "t") -> DataFrame:
 
     Each pattern starts with what is rare in a text, so most places fail at their first character.
     """
-    named = F.regexp_replace(
-        F.coalesce(F.col(text).cast("string"), F.lit("")), r"\p{Lu}(?<=[^\s.!?:] .)\p{Ll}[\p{L}\p{M}'’-]*", NAME
-    )
+    folded = F.regexp_replace(F.coalesce(F.col(text).cast("string"), F.lit("")), r"\s+", " ")
+    named = F.regexp_replace(folded, r"\p{Lu}(?<=[^\s.!?:] .)\p{Ll}[\p{L}\p{M}'’-]*", NAME)
     spelt = F.regexp_replace(named, rf"\b(?=[zotfsenhmb])(?:{NUMBER_WORDS})(?![\p{{L}}\p{{N}}])", NUMBER)
     measured = F.regexp_replace("__t", rf"(\p{{N}} )(?i:{UNITS})(?![\p{{L}}\p{{N}}])", f"$1{UNIT}")
     numbered = F.regexp_replace(measured, r"(?<!\S)[-+$€£(\[\"']{0,3}\p{N}\S*", NUMBER)
@@ -82,72 +82,81 @@ def with_template(rows: DataFrame, text: str, name: str = "t") -> DataFrame:
     return _worded(out, "__t", name)
 
 
-def _slots(width: int) -> Column:
+#: The kinds of runs and how their arrays are made; the array of original words beside each.
+KINDS = {"t": with_template, "w": with_words}
+WORDS = {"t": "w", "w": "w"}
+
+
+def _slots(name: str, width: int) -> Column:
     """Placeholders in the run that starts at ``at``."""
-    return sum((F.col("t")[F.col("at") + k].isin(NUMBER, NAME, UNIT).cast("int") for k in range(width)), F.lit(0))
+    return sum((F.col(name)[F.col("at") + k].isin(NUMBER, NAME, UNIT).cast("int") for k in range(width)), F.lit(0))
+
 
+def _key(kind: str, width: int) -> Column:
+    """Hash of the run that starts at ``at``; null for a template that would match anything."""
+    key = F.xxhash64(F.lit(kind), F.lit(width), *(F.col(kind)[F.col("at") + k] for k in range(width)))
+    return key if kind == "w" else F.when(_slots(kind, width) <= width - 2, key)
 
-def _hash(name: str, width: int, kind: int) -> Column:
-    return F.xxhash64(F.lit(kind * width), *(F.col(name)[F.col("at") + k] for k in range(width)))
 
+def _with_all(rows: DataFrame, text: str) -> DataFrame:
+    """Add the arrays of all kinds and drop the text."""
+    return with_template(with_words(rows, text), text).drop(text)
 
-def _placed(rows: DataFrame, width: int) -> DataFrame:
+
+def _placed(rows: DataFrame, kind: str, width: int) -> DataFrame:
     """One row for each place of a run. A filter on the number of words, also one that the optimizer
     would put in front of an inner explode, would compute the template a second time."""
-    places = F.when(F.size("t") >= width, F.sequence(F.lit(0), F.size("t") - width))
+    places = F.when(F.size(kind) >= width, F.sequence(F.lit(0), F.size(kind) - width))
     return rows.select("*", F.explode_outer(places).alias("at")).where("at is not null")
 
 
-def _runs(rows: DataFrame, width: int) -> DataFrame:
+def _runs(rows: DataFrame, kind: str, width: int) -> DataFrame:
     """One row for each run of ``width`` words: its place, its key and its own few words.
 
     The document's arrays are left behind here, so a row stays small however long the text is; in
     front of a broadcast join the generated loop takes the words of matching runs only.
     """
-    raw = _slots(width) > width - 2
+    words = WORDS[kind]
     cut = lambda name: F.slice(name, F.col("at") + 1, width)
-    kept = [c for c in rows.columns if c not in ("w", "t")]
-    return _placed(rows, width).select(
-        *kept, F.size("t").alias("words"), "at", raw.alias("raw"),
-        F.when(raw, _hash("w", width, -1)).otherwise(_hash("t", width, 1)).alias("key"),
-        cut("w").alias("run"), cut("t").alias("run_template"),
-    )
+    kept = [c for c in rows.columns if c not in KINDS and c not in WORDS.values()]
+    return _placed(rows, kind, width).select(
+        *kept, F.lit(kind).alias("kind"), "at", _key(kind, width).alias("key"), cut(words).alias("run"), cut(kind).alias("run_template")
+    ).where("key is not null")
 
 
-def _benchmark(benchmark: DataFrame, id_col: str, text_col: str, width: int) -> tuple[DataFrame, list[int]]:
-    """Runs of all items with the number of runs of their item, stored; and the widths in use."""
+def _benchmark(benchmark: DataFrame, id_col: str, text_col: str, width: int) -> tuple[DataFrame, list[tuple[str, int]]]:
+    """Runs of all items with the number of runs of their item, stored; and the kinds and widths in use."""
     items = benchmark.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("x")).distinct()
-    items = with_template(with_words(items.withColumn("item", F.xxhash64("item_id", "x")), "x"), "x").drop("x")
-    items = materialize(items.withColumn("width", F.least(F.size("t"), F.lit(width))), "items").where("width > 0")
-    widths = sorted(r["width"] for r in items.select("width").distinct().collect())  # ``width`` values at most
-    runs = None
-    for n in widths:
-        own = _runs(items.where(F.col("width") == n), n)
-        own = own.select("item_id", "item", "width", "raw", (F.col("words") - n + 1).alias("runs"), F.col("at").alias("place"), "key",
-                         F.col("run").alias("item_words"), F.col("run_template").alias("item_template"))
-        runs = own if runs is None else runs.unionByName(own)
-    if runs is None:
+    items = _with_all(items.withColumn("item", F.xxhash64("item_id", "x")), "x")
+    items = materialize(items.withColumn("runs", F.size("w") - F.least(F.size("w"), F.lit(width)) + 1), "items").where("size(w) > 0")
+    used, runs = [], None
+    for kind in KINDS:
+        sized = items.withColumn("width", F.least(F.size(kind), F.lit(width)))
+        for n in sorted(r["width"] for r in sized.select("width").distinct().collect()):  # ``width`` values at most
+            own = _runs(sized.where(F.col("width") == n), kind, n)
+            own = own.select("item_id", "item", "kind", "width", "runs", F.col("at").alias("place"), "key",
+                             F.col("run").alias("item_words"), F.col("run_template").alias("item_template"))
+            runs = own if runs is None else runs.unionByName(own)
+            used.append((kind, n))
+    if not used:
         return benchmark.sparkSession.createDataFrame(
-            [], "item_id long, item long, width int, raw boolean, runs int, place int, key long, item_words array<string>, item_template array<string>"
+            [], "item_id long, item long, kind string, width int, runs int, place int, key long, item_words array<string>, item_template array<string>"
         ), []
-    return materialize(runs, "item_runs"), widths
+    return materialize(runs, "item_runs"), used
 
 
-def _suspects(docs: DataFrame, id_col: str, text_col: str, bench: DataFrame, widths: list[int], few: bool) -> DataFrame:
-    """Documents that share a run with the benchmark, stored; only these get a second look.
+def _of(bench: DataFrame, kind: str, n: int) -> DataFrame:
+    return bench.where((F.col("kind") == kind) & (F.col("width") == n))
 
-    Runs that go by their original words are not made here: a document that has such a run is a
-    suspect if the benchmark has one.
-    """
-    rows = with_template(docs.select(F.xxhash64(id_col, text_col).alias("uid"), F.col(text_col).alias("x")), "x").select("uid", "t")
+
+def _suspects(docs: DataFrame, id_col: str, text_col: str, bench: DataFrame, used: list[tuple[str, int]], few: bool) -> DataFrame:
+    """Documents that share a run of any kind with the benchmark, stored; only these get a second look."""
+    base = docs.select(F.xxhash64(id_col, text_col).alias("uid"), F.col(text_col).alias("x"))
     hits = []
-    for n in widths:
-        own = bench.where(F.col("width") == n)
-        keys = own.where("not raw").select("key").distinct()
-        placed = _placed(rows, n)
-        hits.append(placed.select("uid", _hash("t", n, 1).alias("key")).join(F.broadcast(keys) if few else keys, "key", "left_semi").select("uid"))
-        if own.where("raw").limit(1).count():
-            hits.append(placed.where(_slots(n) > n - 2).select("uid"))
+    for kind, n in used:
+        keys = _of(bench, kind, n).select("key").distinct()
+        placed = _placed(KINDS[kind](base, "x").select("uid", kind), kind, n)
+        hits.append(placed.select("uid", _key(kind, n).alias("key")).join(F.broadcast(keys) if few else keys, "key", "left_semi").select("uid"))
     found = materialize(reduce(DataFrame.unionByName, hits).distinct(), "suspects")
     return F.broadcast(found) if found.count() <= BROADCAST_SUSPECTS else found
 
@@ -155,14 +164,14 @@ def _suspects(docs: DataFrame, id_col: str, text_col: str, bench: DataFrame, wid
 def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, coverage: float = COVERAGE, id_col: str = "doc_id",
             text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", broadcast_runs: int = BROADCAST_RUNS) -> DataFrame:
     """(uid, doc_id, item_id, coverage, verbatim): ``uid`` is the hash of a document's id and text."""
-    bench, widths = _benchmark(benchmark, item_id_col, item_text_col, width)
-    if not widths:
+    bench, used = _benchmark(benchmark, item_id_col, item_text_col, width)
+    if not used:
         return docs.limit(0).select(F.lit(0).cast("long").alias("uid"), F.col(id_col).alias("doc_id"), F.lit(0).cast("long").alias("item_id"),
                                     F.lit(0.0).alias("coverage"), F.lit(True).alias("verbatim"))
     few = bench.count() <= broadcast_runs
-    suspects = _suspects(docs, id_col, text_col, bench, widths, few)
+    suspects = _suspects(docs, id_col, text_col, bench, used, few)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("uid"), F.col(text_col).alias("x"))
-    rows = with_template(with_words(rows.join(suspects, "uid", "left_semi"), "x"), "x").drop("x")
+    rows = _with_all(rows.join(suspects, "uid", "left_semi"), "x")
     if few:
         bench = F.broadcast(bench)
     slot = lambda k: F.col("item_template")[k].isin(NUMBER, NAME, UNIT)
@@ -171,11 +180,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, coverage:
         lambda k: F.struct(F.col("item_words")[k].alias("item"), F.col("run")[k].alias("doc")),
     )
     found = reduce(DataFrame.unionByName, [
-        _runs(rows, n).join(bench.where(F.col("width") == n), "key").select(
-            "uid", "doc_id", "item_id", "item", "runs", (F.col("at") - F.col("place")).alias("shift"), "place", pairs.alias("pairs")
-        ) for n in widths
+        _runs(rows, kind, n).drop("kind").join(_of(bench, kind, n), "key").select(
+            "uid", "doc_id", "item_id", "item", "runs", "kind", (F.col("at") - F.col("place")).alias("shift"), "place", pairs.alias("pairs")
+        ) for kind, n in used
     ])
-    aligned = found.groupBy("uid", "doc_id", "item_id", "item", "runs", "shift").agg(
+    aligned = found.groupBy("uid", "doc_id", "item_id", "item", "runs", "kind", "shift").agg(
         F.collect_set("place").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
     ).where(F.size(F.array_distinct("pairs.item")) == F.size("pairs"))
     verbatim = F.forall("pairs", lambda p: p["item"] == p["doc"])
