@@ -58,3 +58,20 @@ def test_case_and_layout_do_not_hide_a_copy(spark, change):
     docs = spark.createDataFrame([(1, FILL + change(ITEMS[0][1]) + " " + FILL)], "doc_id long, text string")
     found = contaminated(docs, spark.createDataFrame(ITEMS, "item_id long, text string")).collect()
     assert [tuple(r) for r in found] == [(1, 0, 1.0, True)]
+
+
+SOLD = "Natalia sold 48 clips in April. Natalia sold half as many clips in May. Natalia then gave five miles of ribbon away. How many clips did Natalia sell in all?"
+CHANGED = [
+    (0, "A train leaves New York at 75 km per hour and reaches San Diego after 9 hours. How far is San Diego from New York then?", 0),
+    (1, SOLD.replace("Natalia", "Weng").replace("48", "52"), 6),
+    (2, SOLD.replace("Natalia", "Mary Ann").replace("five miles", "7 km"), 6),
+    (3, "Seven pens cost ten dollars and Twenty-two pens cost 30 dollars in the shop", 7),
+    (4, "A train leaves New York at 75 km per hour and reaches San Diego after 9 hours. How far is Santa Fe from Las Vegas then?", None),
+]
+
+
+def test_changed_names_and_numbers_anywhere(spark):
+    items = [*ITEMS, (6, SOLD), (7, "Three pens cost 4 dollars and 9 pens cost twelve dollars in the shop")]
+    docs = spark.createDataFrame([(i, FILL + t + " " + FILL) for i, t, _ in CHANGED], "doc_id long, text string")
+    found = contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.verbatim) for r in found} == {(i, w, False) for i, _, w in CHANGED if w is not None}

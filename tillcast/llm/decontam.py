@@ -4,7 +4,9 @@ Documents and benchmark items become templates: words in lower case without punc
 numbers, names (capitalised words inside a sentence) and units (after a number) are typed
 placeholders. Runs of ``width`` template words are joined by hash, but for those with fewer than two
 plain words, which would match anything. All runs are also joined by their original words, so a
-copy in other case or layout is found; a run counts if either key matches. White space is one blank.
+copy in other case or layout is found. A wide template takes every capitalised word as a name,
+neighbouring ones as one, and spelt numbers in any case. A run counts if any key matches. White
+space is one blank.
 
 Along each alignment of a document and an item (the same distance between their places) the
 slots must be consistent: an item's slot value stands against one value of the document
@@ -40,7 +42,7 @@ BROADCAST_RUNS = 200_000
 #: Documents up to which a list of hashes is sent to every task.
 BROADCAST_SUSPECTS = 2_000_000
 
-NUMBER, NAME, UNIT = "\ue000", "\ue001", "\ue002"
+NUMBER, NAME, UNIT, JOIN = "\ue000", "\ue001", "\ue002", "\ue003"
 UNITS = (
     "km|m|cm|mm|kg|g|mg|t|lb|lbs|oz|ft|in|yd|mi|l|ml|s|ms|h|min|hz|khz|mhz|ghz|w|kw|kwh|v|a|pa|bar|k|c|f|"
     "miles?|met(?:er|re)s?|kilomet(?:er|re)s?|centimet(?:er|re)s?|grams?|kilograms?|pounds?|ounces?|feet|foot|inch(?:es)?|"
@@ -82,9 +84,33 @@ def with_template(rows: DataFrame, text: str, name: str = "t") -> DataFrame:
     return _worded(out, "__t", name)
 
 
+def _joined(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """Add the text with the words of each name joined, so that a name of any length is one word."""
+    plain = F.regexp_replace(F.coalesce(F.col(text).cast("string"), F.lit("")), r"\s+", " ")
+    named = rf"(?!(?i:{NUMBER_WORDS})(?![\p{{L}}\p{{N}}]))\p{{Lu}}\p{{Ll}}"
+    return rows.withColumn(name, F.regexp_replace(plain, rf"(?<![^\s\p{{Ps}}\p{{Pi}}\"'])({named}[\p{{L}}\p{{M}}'’-]*) (?={named})", f"$1{JOIN}"))
+
+
+def with_names(rows: DataFrame, text: str, name: str = "f") -> DataFrame:
+    """Add the wide template and, as ``name`` + "w", the words beside it.
+
+    Every capitalised word is a name, also at a sentence start, neighbouring ones are one name, spelt
+    numbers are in any case, and units follow either kind of number.
+    """
+    rows = _joined(rows, text, "__j")
+    spelt = F.regexp_replace("__j", rf"(?i)\b(?=[zotfsenhmb])(?:{NUMBER_WORDS})(?:-(?:{NUMBER_WORDS}))*(?![\p{{L}}\p{{N}}])", NUMBER)
+    named = F.regexp_replace("__f", rf"(?<![^\s\p{{Ps}}\p{{Pi}}\"'])\p{{Lu}}\p{{Ll}}[\p{{L}}\p{{M}}'’{JOIN}-]*", NAME)
+    measured = F.regexp_replace("__f", rf"([\p{{N}}{NUMBER}] )(?i:{UNITS})(?![\p{{L}}\p{{N}}])", f"$1{UNIT}")
+    numbered = F.regexp_replace("__f", r"(?<!\S)[-+$€£(\[\"']{0,3}\p{N}\S*", NUMBER)
+    out = rows
+    for step in (spelt, named, measured, numbered):
+        out = out.withColumn("__f", step)
+    return with_words(_worded(out, "__f", name), "__j", f"{name}w").drop("__j")
+
+
 #: The kinds of runs and how their arrays are made; the array of original words beside each.
-KINDS = {"t": with_template, "w": with_words}
-WORDS = {"t": "w", "w": "w"}
+KINDS = {"t": with_template, "w": with_words, "f": with_names}
+WORDS = {"t": "w", "w": "w", "f": "fw"}
 
 
 def _slots(name: str, width: int) -> Column:
@@ -100,7 +126,7 @@ def _key(kind: str, width: int) -> Column:
 
 def _with_all(rows: DataFrame, text: str) -> DataFrame:
     """Add the arrays of all kinds and drop the text."""
-    return with_template(with_words(rows, text), text).drop(text)
+    return with_names(with_template(with_words(rows, text), text), text).drop(text)
 
 
 def _placed(rows: DataFrame, kind: str, width: int) -> DataFrame:
@@ -131,20 +157,30 @@ def _benchmark(benchmark: DataFrame, id_col: str, text_col: str, width: int) ->
     items = materialize(items.withColumn("runs", F.size("w") - F.least(F.size("w"), F.lit(width)) + 1), "items").where("size(w) > 0")
     used, runs = [], None
     for kind in KINDS:
-        sized = items.withColumn("width", F.least(F.size(kind), F.lit(width)))
+        sized = items.withColumn("all_words", F.col(WORDS[kind])).withColumn("width", F.least(F.size(kind), F.lit(width)))
         for n in sorted(r["width"] for r in sized.select("width").distinct().collect()):  # ``width`` values at most
-            own = _runs(sized.where(F.col("width") == n), kind, n)
-            own = own.select("item_id", "item", "kind", "width", "runs", F.col("at").alias("place"), "key",
+            own = _runs(sized.where(F.col("width") == n), kind, n).withColumn("covers", _covers(kind))
+            own = own.select("item_id", "item", "kind", "width", "runs", F.col("at").alias("place"), "covers", "key",
                              F.col("run").alias("item_words"), F.col("run_template").alias("item_template"))
             runs = own if runs is None else runs.unionByName(own)
             used.append((kind, n))
     if not used:
         return benchmark.sparkSession.createDataFrame(
-            [], "item_id long, item long, kind string, width int, runs int, place int, key long, item_words array<string>, item_template array<string>"
+            [], "item_id long, item long, kind string, width int, runs int, place int, covers array<int>, key long, item_words array<string>, item_template array<string>"
         ), []
     return materialize(runs, "item_runs"), used
 
 
+def _covers(kind: str) -> Column:
+    """The item's places that a run at ``at`` covers, in words as they are; a joined name has several."""
+    if kind != "f":
+        return F.array("at")
+    parts = lambda words: F.aggregate(words, F.lit(0), lambda n, w: n + F.size(F.split(w, JOIN)))
+    start = parts(F.slice("all_words", 1, F.col("at")))
+    own = F.size(F.split(F.col("all_words")[F.col("at")], JOIN))
+    return F.filter(F.sequence(start, start + own - 1), lambda k: k < F.col("runs"))
+
+
 def _of(bench: DataFrame, kind: str, n: int) -> DataFrame:
     return bench.where((F.col("kind") == kind) & (F.col("width") == n))
 
@@ -181,11 +217,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, coverage:
     )
     found = reduce(DataFrame.unionByName, [
         _runs(rows, kind, n).drop("kind").join(_of(bench, kind, n), "key").select(
-            "uid", "doc_id", "item_id", "item", "runs", "kind", (F.col("at") - F.col("place")).alias("shift"), "place", pairs.alias("pairs")
+            "uid", "doc_id", "item_id", "item", "runs", "kind", (F.col("at") - F.col("place")).alias("shift"), "covers", pairs.alias("pairs")
         ) for kind, n in used
     ])
     aligned = found.groupBy("uid", "doc_id", "item_id", "item", "runs", "kind", "shift").agg(
-        F.collect_set("place").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
+        F.array_distinct(F.flatten(F.collect_set("covers"))).alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
     ).where(F.size(F.array_distinct("pairs.item")) == F.size("pairs"))
     verbatim = F.forall("pairs", lambda p: p["item"] == p["doc"])
     covered = aligned.groupBy("uid", "doc_id", "item_id", "item", "runs").agg(
