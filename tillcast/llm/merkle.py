@@ -35,6 +35,8 @@ from tillcast.session import materialize, small
 FAN = 3
 #: Levels that one task appends: blocks of 3 ** 7 = 2187 nodes.
 LEVELS = 7
+#: Blocks whose witnesses, about 1 KB each, are sent to every task at most.
+BROADCAST_BLOCKS = 10_000
 
 _STEP = pa.struct([("left", pa.binary()), ("right", pa.binary())])
 
@@ -158,7 +160,7 @@ def extended(rounds: list[DataFrame], top: DataFrame) -> DataFrame:
     above = materialize(top, "above")
     for part in reversed(rounds):
         up = above.select(F.col("tree").alias("__t"), F.col("place").alias("__p"), F.col("witness").alias("__w"), *handed)
-        above = part.join(small(up), (F.col("tree") == F.col("__t")) & (F.col("block") == F.col("__p")))
+        above = part.join(small(up, BROADCAST_BLOCKS), (F.col("tree") == F.col("__t")) & (F.col("block") == F.col("__p")))
         above = above.withColumn("witness", F.concat("witness", "__w")).drop("__t", "__p", "__w", "block")
         if part is not rounds[0]:
             above = materialize(above, "above")

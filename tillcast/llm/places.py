@@ -20,9 +20,9 @@ _ROW_BITS = 33
 def placed(rows: DataFrame, group: str, order: list[str], numbered: bool = False, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Add ``place`` (0-based, in the order of ``order``, nulls first) and ``group_size``.
 
-    ``rows`` is a stored table; its columns ``place``, ``group_size`` and ``group_no`` are taken. Rows
-    equal in group and order are told apart by an arbitrary fixed number, so many of them do no
-    harm. With ``numbered``, ``group_no`` counts the groups in ascending order, null first.
+    ``rows`` is read three times (to count, to sample, to store) and has no column ``place``,
+    ``group_size`` or ``group_no`` of its own. Rows equal in group and order are told apart by
+    where they were read, so many of them do no harm. With ``numbered``, ``group_no`` counts the groups in ascending order, null first.
     """
     total = rows.count()
     ranges = max(1, min(MAX_RANGES, -(-total // range_rows)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillcast.llm import ann, chat, decontam, langid, lmscore, merkle, neardup, packing, passages, tokens, warc
+from tillcast.llm import ann, chat, decontam, langid, lmscore, merkle, neardup, packing, passages, repair, tokens, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +80,10 @@ def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(_table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.damage_and_repair(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_lm_scores": op2_lm_scores,
@@ -92,6 +96,7 @@ QUERIES = {
     "op9_neighbours": op9_neighbours,
     "op10_repeated_passages": op10_repeated_passages,
     "op11_manifest": op11_manifest,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 
 WARC_SQL = """
@@ -178,5 +183,44 @@ select n.doc_id, n.leaf, s.subroot, top.root, sha256(w.proof) as proof_sha256, w
 from way w join l n on n.tree = w.tree and n.place = w.own join s on s.tree = w.tree cross join top
 where w.up and w.lvl = top.height"""
 
+REPAIR_SQL = f"""
+with recursive p as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as key from conversations),
+q as (select *, {_crc32("key")} % 20 as pick from p),
+d as (select conv_id, turn, case when pick = 4 then 'user' else role end as role,
+    case pick when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+    unnest(range(case pick when 0 then 0 when 3 then 2 else 1 end)) as copy from q),
+o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as place, left(role, 1) as initial from d),
+r as (select *, case when regexp_full_match(text, '[\\x20\\x09-\\x0D]*') then 'blank'
+    when row_number() over (partition by conv_id, role, text order by place) > 1 then 'duplicate'
+    when not regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') then 'truncated' else '' end as fault,
+    lag(initial) over (partition by conv_id order by place) || initial as pair from o),
+ins(st, letters, lines, cost, goes) as (values (0, '', '', 0, 0), (0, 'I', chr(10) || 'user:', 3, 2), (0, 'II', chr(10) || 'user:' || chr(10) || 'assistant:', 6, 3),
+    (1, '', '', 0, 1), (1, 'I', chr(10) || 'user:', 3, 2), (1, 'II', chr(10) || 'user:' || chr(10) || 'assistant:', 6, 3),
+    (2, '', '', 0, 2), (2, 'I', chr(10) || 'assistant:', 3, 3), (3, '', '', 0, 3), (3, 'I', chr(10) || 'user:', 3, 2)),
+e(st, letter, initial, goes, cost) as (select st, 'D', cast(null as varchar), st, 4 from range(4) x(st) union all
+  select st, letter, initial, goes, cost from (values (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)) m(st, initial, goes),
+    (values ('K', 0), ('R', 3)) l(letter, cost) where letter = 'K' or initial <> 's'),
+b(conv_id, place, st, best) as (
+  select distinct conv_id, cast(0 as bigint), 0, {{'cost': 0, 'audit': '', 'lines': ''}} from r union all
+  select b.conv_id, any_value(r.place), e.goes, min({{
+    'cost': b.best.cost + ins.cost + e.cost + case when e.letter <> 'D' and fault = 'truncated' then 3 else 0 end,
+    'audit': b.best.audit || ins.letters || e.letter,
+    'lines': b.best.lines || ins.lines || case e.letter when 'D' then '' when 'K' then chr(10) || role || ':' || text
+      else chr(10) || case e.initial when 'u' then 'user' else 'assistant' end || ':' || text end}})
+  from b join r on r.conv_id is not distinct from b.conv_id and r.place = b.place + 1 join ins on ins.st = b.st
+    join e on e.st = ins.goes and (e.letter = 'D' or fault not in ('blank', 'duplicate') and (e.letter = 'R' or e.initial = r.initial))
+  group by b.conv_id, e.goes),
+n as (select conv_id, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count_if(fault = 'blank') as blank,
+  count_if(fault = 'duplicate') as duplicate, count_if(fault = 'truncated') as truncated,
+  count_if(pair is not null and pair not in ('su', 'ua', 'au')) as illegal from r group by conv_id),
+f as (select b.conv_id, min({{'cost': b.best.cost + ins.cost, 'audit': b.best.audit || ins.letters, 'lines': b.best.lines || ins.lines}}) as best
+  from b join n on n.conv_id is not distinct from b.conv_id and b.place = n.n join ins on ins.st = b.st and ins.goes in (0, 3) group by b.conv_id)
+select c.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate,
+  coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal, coalesce(best.cost, 0)::bigint as cost,
+  coalesce(best.audit, '') as audit, sha256(coalesce(substr(best.lines, 2), '')) as repaired_sha256
+from (select distinct conv_id from conversations) c left join n on n.conv_id is not distinct from c.conv_id
+  left join f on f.conv_id is not distinct from c.conv_id"""
+
 #: The others rest on a tokenizer, a fitted model, signatures or a search, which SQL does not have.
-ORACLES = {"op5_warc": WARC_SQL, "op7_chat": CHAT_SQL, "op11_manifest": MANIFEST_SQL}
+ORACLES = {"op5_warc": WARC_SQL, "op7_chat": CHAT_SQL, "op11_manifest": MANIFEST_SQL, "op12_conversation_repair": REPAIR_SQL}
