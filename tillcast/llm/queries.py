@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillcast.llm import ann, chat, decontam, langid, lmscore, merkle, neardup, packing, passages, repair, tokens, warc
+from tillcast.llm import ann, chat, decontam, langid, lmscore, merkle, neardup, packing, passages, phrases, repair, tokens, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +84,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.damage_and_repair(_table(spark, sf_dir, "conversations"))
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.neighbours(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_lm_scores": op2_lm_scores,
@@ -97,6 +101,7 @@ QUERIES = {
     "op10_repeated_passages": op10_repeated_passages,
     "op11_manifest": op11_manifest,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_fingerprints": op13_fingerprints,
 }
 
 WARC_SQL = """
