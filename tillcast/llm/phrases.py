@@ -144,9 +144,14 @@ def fingerprints(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return roots, bins
 
 
+def packed(roots: np.ndarray, bins: np.ndarray) -> list[bytes]:
+    """Fingerprints as bytes: the name of the whole text, then the bins."""
+    return [r.tobytes() + b.tobytes() for r, b in zip(roots.astype(">u8"), bins.astype(">u2"), strict=True)]
+
+
 def written(roots: np.ndarray, bins: np.ndarray) -> list[str]:
     """Fingerprints as hex."""
-    return [f"{int(r):016x}{b.astype('>u2').tobytes().hex()}" for r, b in zip(roots, bins, strict=True)]
+    return [f.hex() for f in packed(roots, bins)]
 
 
 def likenesses(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -169,10 +174,11 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - quarter] + following[:quarter]
 
 
-_OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+#: Digests and fingerprints are bytes until the end, half as long as their hex.
+_OUT = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 _SCHEMA = pa.schema([
-    ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
-    ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()),
+    ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.binary()), ("fingerprint", pa.binary()),
+    ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64()),
 ])
 
 
@@ -183,7 +189,7 @@ def _compared(ids: list[int | None], texts: list[str], own: tuple[np.ndarray, np
     other = fingerprints(changed)
     columns = [
         ids[: len(changed)], [len(t) for t in texts[:-1]],
-        [hashlib.sha256(t.encode("utf-8", "replace")).hexdigest() for t in changed], written(*first), written(*other),
+        [hashlib.sha256(t.encode("utf-8", "replace")).digest() for t in changed], packed(*first), packed(*other),
         likenesses(first, other), likenesses(first, after),
     ]
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA)], schema=_SCHEMA)
@@ -258,4 +264,5 @@ def neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text", range_r
                 yield _compared([doc], [tail, head], fingerprints([tail, head]))
 
     closing = tails.join(heads, "after").select("tail_id", "tail", "head").mapInArrow(last, _OUT)
-    return done.where("part is null").select(*_SCHEMA.names).unionByName(closing)
+    found = done.where("part is null").select(*_SCHEMA.names).unionByName(closing)
+    return found.withColumns({c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")})
