@@ -335,14 +335,10 @@ def _scored_sql(trees: int) -> str:
 
 
 def tune_search(t: Tables):
-    """All trials of the second learner over its full ranges; every draw lies inside them."""
-    made = training.tune_search(
-        prepared(t).rows, training.train_second, training.FOREST_SEARCH, parallelism=4
-    )
-    inside = F.lit(True)
-    for name, (low, high) in training.FOREST_SEARCH.items():
-        inside = inside & F.col("params")[name].between(low, high)
-    return made.select("trial", inside.alias("inside"), (finite("rmse") & (F.col("rmse") > 0)).alias("scored"))
+    """All fits of the race of both learners over their full ranges, with their real scores."""
+    rows = prepared(t).rows
+    made = training.tune_search(rows, "boosted").unionByName(training.tune_search(rows, "forest"))
+    return made.withColumn("params", F.map_entries("params"))
 
 
 def feature_importance(t: Tables):
@@ -512,8 +508,7 @@ QUERIES = {
     "assemble_xy": (assemble_xy, _assemble_sql()),
     "train_gbt": (train_gbt, _scored_sql(100)),
     "train_second": (train_second, _scored_sql(100)),
-    "tune_search": (tune_search, """select cast(i as int) as trial, true as inside, true as scored
-        from range(30) r(i)"""),
+    "tune_search": (tune_search, None),
     "feature_importance": (feature_importance, f"""select model, feature, true as share, 1.0::double as total
         from (values ('boosted'), ('forest')) m(model),
         (values {", ".join(f"('{c}')" for c in VECTOR_COLUMNS)}) f(feature)"""),

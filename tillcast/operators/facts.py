@@ -1,7 +1,8 @@
 """Roll-ups of daily facts and the joins between them.
 
-A group key that is null drops the row. Money is summed in whole units of ``MONEY_SCALE``
-decimals, so that a sum does not depend on task order; means are plain means of the input.
+A group key that is null drops the row. Money is summed in whole numbers, the whole parts and
+the fractions to ``MONEY_SCALE`` decimals apart, so that a sum does not depend on task order; means
+are plain means of the input.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 MONEY = "decimal(18,4)"
-#: Decimals that a sum keeps of every amount; a group's sum may then reach 9.2e10.
+#: Decimals that a sum keeps of every amount.
 MONEY_SCALE = 8
 
 
@@ -20,14 +21,29 @@ def _known(column: str) -> Column:
     return F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))
 
 
+def limbs(column: str, scale: int = MONEY_SCALE) -> tuple[Column, Column]:
+    """An amount as whole part and units of ``scale`` decimals, both whole numbers."""
+    amount = _known(column)
+    whole = F.floor(amount)
+    return whole.cast("bigint"), F.rint((amount - whole) * F.lit(10.0**scale)).cast("bigint")
+
+
+def joined(whole: Column, units: Column, scale: int = MONEY_SCALE) -> Column:
+    """The amount of two added-up limbs; 0 where nothing was added."""
+    unit = 10**scale
+    whole, units = F.coalesce(whole, F.lit(0)), F.coalesce(units, F.lit(0))
+    carry = F.floor(units / F.lit(unit)).cast("bigint")
+    return (whole + carry).cast("double") + (units - carry * F.lit(unit)) / F.lit(float(unit))
+
+
 def exact_sum(column: str, scale: int = MONEY_SCALE) -> Column:
     """Sum to ``scale`` decimals, the same in any order; a sum of nothing is 0.
 
-    Overflow is an ANSI error: larger groups take a smaller scale.
+    Whole parts and fractions are added up apart, so a group's sum may reach 9.2e18, whatever the
+    scale; beyond that it is an ANSI error.
     """
-    unit = F.lit(10.0**scale)
-    total = F.coalesce(F.sum(F.rint(_known(column) * unit).cast("bigint")), F.lit(0))
-    return (total / unit).alias(column)
+    whole, units = limbs(column, scale)
+    return joined(F.sum(whole), F.sum(units), scale).alias(column)
 
 
 def mean(column: str) -> Column:
@@ -38,17 +54,17 @@ def has_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.filter(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
 
 
-def product_day(sales: DataFrame) -> DataFrame:
-    """Sales per date, store, product and category."""
+def product_day(sales: DataFrame, scale: int = MONEY_SCALE) -> DataFrame:
+    """Sales per date, store, product and category, amounts to ``scale`` decimals."""
     keys = ["date", "store_id", "product_id", "category"]
     return (
         has_keys(sales, keys)
         .groupBy(*keys)
         .agg(
             F.coalesce(F.sum("quantity_sold"), F.lit(0)).alias("quantity_sold"),
-            exact_sum("revenue"),
-            exact_sum("cost"),
-            exact_sum("profit"),
+            exact_sum("revenue", scale),
+            exact_sum("cost", scale),
+            exact_sum("profit", scale),
             mean("discount_percent"),
             mean("unit_price"),
         )
@@ -96,7 +112,8 @@ def join_traffic(daily: DataFrame, traffic: DataFrame) -> DataFrame:
 
 
 def store_day(
-    sales: DataFrame, promotions: DataFrame | None = None, promo_ratio: bool = False
+    sales: DataFrame, promotions: DataFrame | None = None, promo_ratio: bool = False,
+    scale: int = MONEY_SCALE,
 ) -> DataFrame:
     """Sales per date and store, in two branches.
 
@@ -110,8 +127,8 @@ def store_day(
     rows = has_keys(sales, [*keys, "product_id", "category"])
     daily = rows.groupBy(*keys).agg(
         F.coalesce(F.sum("quantity_sold"), F.lit(0)).alias("quantity_sold"),
-        exact_sum("revenue"),
-        exact_sum("profit"),
+        exact_sum("revenue", scale),
+        exact_sum("profit", scale),
     ).withColumnRenamed("revenue", "sales")
     if promotions is None:
         daily = daily.withColumn("has_promotion", F.lit(None).cast("double"))

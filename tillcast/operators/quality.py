@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from tillcast import config
 from tillcast.session import materialize
@@ -64,19 +64,25 @@ def quality_report(
     per_unit = df.groupBy(unit.cast("string").alias("unit")).agg(
         F.count(F.lit(1)).alias("n"), *[F.min(c).cast("double").alias(c) for c in columns]
     )
-    per_unit = materialize(per_unit, "units")
-    issues = per_unit.unpivot("unit", list(columns), "column", "min_value").filter(F.col("min_value") < 0)
     broken = sum((F.when(F.col(c) < 0, 1).otherwise(0) for c in columns), F.lit(0))
-    totals = per_unit.agg(F.struct(
-        F.count(F.lit(1)).alias("total_units"),
-        F.coalesce(F.sum("n"), F.lit(0)).alias("total_rows"),
-        F.coalesce(F.sum(broken), F.lit(0)).alias("total_issues"),
-    ).alias("t"))
-    none = totals.filter(F.col("t.total_issues") == 0).select(
-        F.lit(None).cast("string").alias("unit"), F.lit(None).cast("string").alias("column"),
-        F.lit(None).cast("double").alias("min_value"),
-    )
-    return issues.unionByName(none).withColumn("__t", totals.scalar()).select("unit", "column", "min_value", "__t.*")
+    # the totals are taken while the units are stored, and only the units with an issue are read again
+    watched = Observation()
+    per_unit = materialize(per_unit.withColumn("broken", broken).observe(
+        watched, F.count(F.lit(1)).alias("units"), F.sum("n").alias("rows"), F.sum("broken").alias("issues")
+    ), "units")
+    seen = watched.get
+    totals = [
+        F.lit(seen["units"]).cast("bigint").alias("total_units"), F.lit(seen["rows"] or 0).cast("bigint").alias("total_rows"),
+        F.lit(seen["issues"] or 0).cast("bigint").alias("total_issues"),
+    ]
+    if not seen["issues"]:
+        none = df.sparkSession.range(1)
+        return none.select(
+            F.lit(None).cast("string").alias("unit"), F.lit(None).cast("string").alias("column"),
+            F.lit(None).cast("double").alias("min_value"), *totals,
+        )
+    issues = per_unit.filter("broken > 0").unpivot("unit", list(columns), "column", "min_value")
+    return issues.filter(F.col("min_value") < 0).select("unit", "column", "min_value", *totals)
 
 
 def value_ranges(df: DataFrame, ranges: dict[str, tuple[float, float]] | None = None) -> DataFrame:

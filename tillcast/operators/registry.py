@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tillcast import config
+from tillcast.operators import lookups
 
 
 def best_model(metrics: DataFrame, group_cols: list[str], metric: str = "rmse") -> DataFrame:
@@ -69,6 +70,45 @@ def latest_version(
     )
 
 
+def version_intervals(changes: DataFrame, stage: str = "Production") -> DataFrame:
+    """When each version of a model held a stage: (name, version, run_id, start, end).
+
+    ``changes`` has (name, version, run_id, stage, date): from that date on the version is in that
+    stage. A version's stage lasts until its next change, and ends at once when another version of
+    the model enters ``stage`` later; of several that enter on one day the highest is taken.
+    ``end`` is the last day, null where the interval is open. A model has as many rows as it had
+    versions, so its window is bounded by its history.
+    """
+    number = F.col("version").cast("bigint")
+    # the last change of a day counts for a version: the stage itself, if it is among them
+    per_day = changes.groupBy("name", number.alias("version"), "date").agg(
+        F.max(F.struct((F.col("stage") == stage).alias("held"), "run_id")).alias("c")
+    )
+    own = W.partitionBy("name", "version").orderBy("date")
+    held = per_day.withColumn("left", F.lead("date").over(own)).filter("c.held")
+    entered = held.groupBy("name", "date").agg(
+        F.max(F.struct("version", F.col("c.run_id").alias("run_id"), "left")).alias("v")
+    )
+    after = F.lead("date").over(W.partitionBy("name").orderBy("date"))
+    ends = F.least(F.col("v.left"), after)
+    return entered.select(
+        "name", "v.version", "v.run_id", F.col("date").alias("start"), F.date_sub(ends, 1).alias("end")
+    )
+
+
+def version_as_of(
+    points: DataFrame, changes: DataFrame, stage: str = "Production", at: str = "date"
+) -> DataFrame:
+    """Rows of ``points`` (name, date, ...) with the version and run that held ``stage`` that day.
+
+    Both are null where no version did. A point-in-time join on the versions' intervals: models and
+    blocks of days meet by hash, and intervals of a model do not overlap, so no row is multiplied.
+    """
+    keys = points.select("name", at).distinct()
+    found = lookups.interval_join(keys, version_intervals(changes, stage), ["name"], at)
+    return points.join(found.select("name", at, "version", "run_id"), ["name", at], "left")
+
+
 def compare_metrics(
     production: DataFrame,
     candidate: DataFrame,

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import random
 from dataclasses import asdict, dataclass, field
-from functools import partial
-from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.regression import (
     GBTRegressionModel, GBTRegressor, RandomForestRegressionModel, RandomForestRegressor,
@@ -14,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tillcast import config
 from tillcast.operators import diagnose, evaluate, prep, split
+from tillcast.plans import search
 from tillcast.operators.quality import require_columns
 from tillcast.plans.features import all_features
 from tillcast.session import materialize
@@ -86,6 +86,7 @@ class Trained:
     importances: DataFrame
     diagnosis: DataFrame
     prepared: Prepared = field(repr=False)
+    searched: DataFrame | None = None
 
 
 def preprocess(
@@ -186,45 +187,33 @@ def draw_trials(space: dict, trials: int, seed: int = config.SEED) -> list[dict]
     ]
 
 
-def tune_search(
-    rows: DataFrame,
-    train_fn=partial(train_gbt, patience=config.EARLY_STOP),
-    space: dict | None = None,
-    trials: int = config.TUNING_TRIALS,
-    parallelism: int = 2,
-    seed: int = config.SEED,
-) -> DataFrame:
-    """Validation RMSE of every trial on the chronological split, as (trial, params, rmse).
+def _race_boosted(train: DataFrame, validation: DataFrame, final: bool, params: dict):
+    """A rung's boosted model; in the last rung its score is that of the round patience stops at."""
+    model = boosted(**params).fit(train)
+    if not final:
+        return model, search.validation_rmse(model, validation)
+    losses = model.evaluateEachIteration(validation, "squared")
+    return model, math.sqrt(losses[best_round(losses, config.EARLY_STOP) - 1])
 
-    Each trial is a distributed fit; only its parameters and its score reach the driver.
-    """
-    space = space or BOOSTED_SEARCH
-    drawn = draw_trials(space, trials, seed)
-    validation = rows.filter(F.col("split") == "val")
 
-    def score(params: dict) -> float:
-        model = train_fn(rows, **params)
-        scored = model.transform(validation).select(
-            F.lit("trial").alias("model"), F.col("label").alias("actual"), "prediction"
-        )
-        return evaluate.regression_metrics(scored).first()["rmse"]
-
-    with ThreadPool(max(1, min(parallelism, trials))) as pool:
-        scores = pool.map(score, drawn)
-    return rows.sparkSession.createDataFrame(
-        [
-            (i, {k: float(v) for k, v in p.items()}, float(s))
-            for i, (p, s) in enumerate(zip(drawn, scores))
-        ],
-        "trial int, params map<string,double>, rmse double",
-    )
+def _race_forest(train: DataFrame, validation: DataFrame, final: bool, params: dict):
+    model = forest(**params).fit(train)
+    return model, search.validation_rmse(model, validation)
 
 
-def best_params(trials: DataFrame, space: dict) -> dict:
-    row = trials.orderBy("rmse", "trial").first()
-    return {
-        k: int(v) if isinstance(space[k][0], int) else v for k, v in row["params"].items()
-    }
+LEARNERS = {
+    "boosted": search.Learner("boosted", BOOSTED_SEARCH, "maxIter", _race_boosted),
+    "forest": search.Learner("forest", FOREST_SEARCH, "numTrees", _race_forest),
+}
+
+
+def tune_search(
+    rows: DataFrame, learner: str = "boosted", trials: int = config.TUNING_TRIALS,
+    path: str | None = None, seed: int = config.SEED, **options,
+) -> DataFrame:
+    """Race so many seeded draws of a learner's parameters; the table of all fits (``search.race``)."""
+    chosen = LEARNERS[learner]
+    return search.race(rows, chosen, draw_trials(chosen.space, trials, seed), path, **options)
 
 
 def feature_importance(models: dict, features: list[str], spark) -> DataFrame:
@@ -276,22 +265,25 @@ def train_pipeline(
     forest_params: dict | None = None,
     trials: int = config.TUNING_TRIALS,
     spec: FeatureSpec | None = None,
+    search_path: str | None = None,
+    search_options: dict | None = None,
 ) -> Trained:
     """Train both learners, weight the ensemble by validation R2 and judge all on test.
 
-    The parameters come from a search of ``trials`` draws per learner; 0 takes them as given.
-    ``spec`` tells how the features were made, for serving.
+    The parameters come from a race of ``trials`` draws per learner, stored below ``search_path``
+    so that a run that breaks off need not repeat it; 0 takes them as given. The final fits use all
+    rounds of their parameters. ``spec`` tells how the features were made, for
+    serving.
     """
     prepared = preprocess(features, target, keys, spec=spec)
     rows = prepared.rows
     boosted_params, forest_params = dict(boosted_params or {}), dict(forest_params or {})
+    searched = None
     if trials:
-        boosted_params |= best_params(
-            tune_search(rows, space=BOOSTED_SEARCH, trials=trials), BOOSTED_SEARCH
-        )
-        forest_params |= best_params(
-            tune_search(rows, train_second, FOREST_SEARCH, trials), FOREST_SEARCH
-        )
+        tables = {n: tune_search(rows, n, trials, search_path, **(search_options or {})) for n in LEARNERS}
+        boosted_params |= search.best(tables["boosted"], BOOSTED_SEARCH)
+        forest_params |= search.best(tables["forest"], FOREST_SEARCH)
+        searched = tables["boosted"].unionByName(tables["forest"])
     models = {
         "boosted": train_gbt(rows, **boosted_params),
         "forest": train_second(rows, **forest_params),
@@ -323,6 +315,7 @@ def train_pipeline(
             _unpack(data, target, prepared.features), predictions, target, prepared.features
         ),
         prepared=prepared,
+        searched=searched,
     )
 
 
