@@ -17,23 +17,24 @@ TRAFFIC = "date date, store_id bigint, customer_traffic bigint, is_holiday boole
 
 
 def refresh_daily(t: Tables):
-    """Two deliveries: the first lacks the sales of one product in ten, the second writes the
-    days anew that had such sales."""
+    """Two deliveries in months: the first lacks the sales of one product in 2,000, the second brings
+    the months of those sales anew, with the corrected days."""
     root = scratch_path(t.spark, "deliveries")
     inputs = refresh.Inputs(
         f"{root}/sales", f"{root}/promotions", f"{root}/traffic",
-        {"sales": SALES, "promotions": PROMOTIONS, "traffic": TRAFFIC},
+        {"sales": SALES, "promotions": PROMOTIONS, "traffic": TRAFFIC}, unit="month",
     )
-    held_back = F.col("product_id") % 10 == 3
-    sinks.write_by_day(t.sales.filter(~held_back), inputs.sales)
-    sinks.write_by_day(t.promotions, inputs.promotions)
-    sinks.write_by_day(t.customer_traffic, inputs.traffic)
+    held_back = F.col("product_id") % 2_000 == 3
+    sinks.write_by_unit(t.sales.filter(~held_back), inputs.sales, "month")
+    sinks.write_by_unit(t.promotions, inputs.promotions, "month")
+    sinks.write_by_unit(t.customer_traffic, inputs.traffic, "month")
     refresh.refresh_daily(t.spark, inputs, f"{root}/daily", f"{root}/log")
-    corrected = t.sales.filter(held_back).select("date").distinct()
-    sinks.write_by_day(t.sales.join(corrected, "date", "left_semi"), inputs.sales)
-    days = refresh.refresh_daily(t.spark, inputs, f"{root}/daily", f"{root}/log")
-    again = F.date_format("date", "yyyyMMdd").cast("int").isin(days)
-    return refresh.read_daily(t.spark, f"{root}/daily").withColumn("refreshed", again)
+    month = F.trunc("date", "month")
+    corrected = t.sales.filter(held_back).select(month.alias("month")).distinct()
+    again = t.sales.withColumn("month", month).join(corrected, "month", "left_semi").drop("month")
+    sinks.write_by_unit(again, inputs.sales, "month")
+    units = refresh.refresh_daily(t.spark, inputs, f"{root}/daily", f"{root}/log")
+    return refresh.read_daily(t.spark, f"{root}/daily").withColumn("refreshed", refresh.unit_number("month", "date").isin(units))
 
 
 def stream_store_day(t: Tables):
@@ -43,7 +44,7 @@ def stream_store_day(t: Tables):
     for k in range(3):
         sinks.write_table(rows.filter(F.col("delivery") == k).drop("delivery"), f"{root}/in/delivery{k}")
         query = stream.deliver_daily(
-            stream.read_sales_stream(t.spark, f"{root}/in", SALES), f"{root}/out", f"{root}/checkpoint"
+            stream.read_sales_stream(t.spark, f"{root}/in", SALES), f"{root}/out", f"{root}/checkpoint", unit="month"
         )
         query.awaitTermination()
         if query.exception():
@@ -80,8 +81,8 @@ def discover_files(t: Tables):
 MONTHS_SQL = """(select strftime(date, '%Y-%-m') as month, year(date) as y, count(*) as n,
     count(*) filter (store_id % 2 = 0) as even from {sales} group by all)"""
 QUERIES = {
-    "refresh_daily": (refresh_daily, sql("""select d.*, date in (select date from {sales}
-        where product_id % 10 = 3) as refreshed from {daily} d""")),
+    "refresh_daily": (refresh_daily, sql("""select d.*, date_trunc('month', date) in (select date_trunc('month', date)
+        from {sales} where product_id % 2000 = 3) as refreshed from {daily} d""")),
     "stream_store_day": (stream_store_day, sql("""select date, store_id, sum(quantity_sold) as quantity_sold,
         cast(sum(cast(revenue as decimal(18,4))) as double) as sales,
         cast(sum(cast(profit as decimal(18,4))) as double) as profit, count(*) as rows,

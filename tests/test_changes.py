@@ -56,10 +56,25 @@ def test_discovery_sees_new_changed_and_gone_files(spark, tmp_path):
         discovery.NAMED_FILES = kept
 
 
-def test_folder_dates(spark):
-    paths = ["file:/x/year=2024/month=3/day=9/p.parquet", "file:/x/year=2024/month=13/day=9/p", "file:/x/p.parquet"]
-    made = spark.createDataFrame([(p,) for p in paths], "path string").select(discovery.folder_date("path").alias("d"))
-    assert [r.d for r in made.collect()] == [dt.date(2024, 3, 9), None, None]
+def test_folder_units(spark):
+    paths = ["file:/x/year=2024/month=3/day=9/p.parquet", "file:/x/year=2024/month=3/p.parquet", "file:/x/p.parquet"]
+    frame = spark.createDataFrame([(p,) for p in paths], "path string")
+    made = frame.select(*[discovery.folder_unit("path", sinks.UNITS[u]).alias(u) for u in ("day", "month")]).collect()
+    assert [r.day for r in made] == [20240309, None, None] and [r.month for r in made] == [20240300, 20240300, None]
+
+
+def test_refresh_and_stream_by_month(spark, tmp_path):
+    inputs = refresh.Inputs(f"{tmp_path}/sales", unit="month")
+    sales = [sale(d, s) for d in (0, 1, 40, 80) for s in "ab"]
+    sinks.write_by_unit(spark.createDataFrame(sales, SALES), inputs.sales, "month")
+    assert refresh.refresh_daily(spark, inputs, f"{tmp_path}/daily", f"{tmp_path}/log") == [20240300, 20240400, 20240500]
+    shutil.rmtree(f"{inputs.sales}/year=2024/month=4")
+    assert refresh.refresh_daily(spark, inputs, f"{tmp_path}/daily", f"{tmp_path}/log") == [20240400]
+    assert {r.date for r in refresh.read_daily(spark, f"{tmp_path}/daily").collect()} == {DAY + dt.timedelta(days=d) for d in (0, 1, 80)}
+    for number, part in enumerate((sales[:5], sales[5:])):
+        stream.deliver_batch(spark.createDataFrame(part, SALES), number, f"{tmp_path}/out", unit="month")
+    made = stream.read_delivered(spark, f"{tmp_path}/out")
+    assert rows(made, "date", "store_id", "sales") == rows(store_day(spark.createDataFrame(sales, SALES)), "date", "store_id", "sales")
 
 
 def test_refresh_reads_and_replaces_touched_days_only(spark, tmp_path):
@@ -94,16 +109,16 @@ def _files(root):
 
 def test_refresh_opens_the_folders_of_the_days_only(spark, tmp_path):
     sinks.write_by_day(spark.createDataFrame([sale(d, "a") for d in range(6)], SALES), f"{tmp_path}/sales")
-    scan = refresh.scan_days(spark, f"{tmp_path}/sales", SALES, [20240302, 20240305])
+    scan = refresh.scan_units(spark, f"{tmp_path}/sales", SALES, [20240302, 20240305])
     opened = scan.select(F.input_file_name().alias("f")).distinct().collect()
     assert scan.count() == 2 and len(opened) == 2
     plan = scan._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "20240302" in plan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
-    kept, refresh.LISTED_DAYS = refresh.LISTED_DAYS, 1
+    kept, refresh.LISTED_UNITS = refresh.LISTED_UNITS, 1
     try:
-        assert rows(refresh.scan_days(spark, f"{tmp_path}/sales", SALES, [20240302, 20240305]), "date") == rows(scan, "date")
+        assert rows(refresh.scan_units(spark, f"{tmp_path}/sales", SALES, [20240302, 20240305]), "date") == rows(scan, "date")
     finally:
-        refresh.LISTED_DAYS = kept
+        refresh.LISTED_UNITS = kept
 
 
 def test_refresh_refuses_rows_of_other_days(spark, tmp_path):

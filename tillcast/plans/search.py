@@ -1,8 +1,8 @@
 """Racing search for a learner's parameters over a stored table of trials.
 
-All trials are fitted with a few rounds, a rung; the half with the smaller validation error is
-fitted with more, and so on until the last rung, which runs each survivor's own number of rounds.
-No trial worse than the median of its rung goes on. Every fit is a distributed job; what it found
+All trials are fitted with a few rounds, a rung; the third with the smallest validation error is
+fitted with three times as many, and so on until the last rung, which runs each survivor's own
+number of rounds. No trial worse than the median of its rung goes on. Every fit is a distributed job; what it found
 is stored as soon as it is known, so a search that breaks off goes on from its table and ends with
 the same one.
 """
@@ -20,9 +20,9 @@ from tillcast.operators import evaluate
 from tillcast.session import materialize, scratch_path
 
 #: Rounds of the rungs; None stands for a trial's own number.
-RUNGS = (2, 4, 8, 16, 32, None)
+RUNGS = (3, 9, 27, None)
 #: Share of a rung's trials that goes on.
-KEPT = 0.5
+KEPT = 1 / 3
 #: Training rows of a partition: a small table is not cut into more tasks than it feeds.
 PARTITION_ROWS = 50_000
 

@@ -25,11 +25,14 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def folder_date(path: Column | str) -> Column:
-    """The day of a file in year=/month=/day= folders; null elsewhere."""
+def folder_unit(path: Column | str, parts: list[str]) -> Column:
+    """The year=/month=/day= folders of a file as one number, yyyymmdd; null if one of ``parts`` is missing.
+
+    A month's number ends in 00.
+    """
     path = F.col(path) if isinstance(path, str) else path
-    parts = [F.regexp_extract(path, rf"/{name}=(\d+)/", 1) for name in ("year", "month", "day")]
-    return F.try_to_timestamp(F.concat_ws("-", *parts), F.lit("y-M-d")).cast("date")
+    value = [F.regexp_extract(path, rf"/{name}=(\d+)/", 1).try_cast("int") if name in parts else F.lit(0) for name in ("year", "month", "day")]
+    return value[0] * 10_000 + value[1] * 100 + value[2]
 
 
 def looks(spark: SparkSession, log: str) -> list[int]:

@@ -11,10 +11,17 @@ def write_by_day(df: DataFrame, path: str, date_col: str = "date", mode: str = "
     The rebalance hint groups a day into few files and lets AQE split a day that is too large
     for one task, so neither many small files nor one hot writer results.
     """
-    parts = df.withColumns(
-        {"year": F.year(date_col), "month": F.month(date_col), "day": F.day(date_col)}
-    )
-    _write(parts, path, ["year", "month", "day"], mode)
+    write_by_unit(df, path, "day", date_col, mode)
+
+
+#: Folder columns of a unit of replacement.
+UNITS = {"day": ["year", "month", "day"], "month": ["year", "month"]}
+
+
+def write_by_unit(df: DataFrame, path: str, unit: str = "day", date_col: str = "date", mode: str = "overwrite") -> None:
+    """Write facts into the folders of their days or months; overwriting replaces only those written."""
+    columns = {"year": F.year(date_col), "month": F.month(date_col), "day": F.day(date_col)}
+    _write(df.withColumns({c: columns[c] for c in UNITS[unit]}), path, UNITS[unit], mode)
 
 
 def write_by_week(df: DataFrame, path: str, date_col: str = "date", mode: str = "overwrite") -> None:

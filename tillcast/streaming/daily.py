@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tillcast.operators.facts import exact_sum, has_keys, joined, limbs
+from tillcast.plans.refresh import unit_number
 from tillcast.session import materialize
 from tillcast.sources import sinks
 
@@ -59,11 +60,14 @@ _KEYS = ["date", "store_id", "product_id", "category"]
 _SUMS = ["quantity_sold", "revenue_whole", "revenue_units", "profit_whole", "profit_units", "n"]
 
 
-def deliver_batch(rows: DataFrame, batch: int, path: str, lateness_days: int = LATENESS_DAYS) -> None:
+def deliver_batch(
+    rows: DataFrame, batch: int, path: str, lateness_days: int = LATENESS_DAYS, unit: str = "day"
+) -> None:
     """Add one batch of sales to the daily table below ``path``; the same batch again changes nothing.
 
-    A batch's sums per day and store are stored as its own part of each day it touches, and these
-    days are added up again from all their parts and replace their partitions. So a row that comes
+    A batch's sums per day and store are stored as its own part of each day it touches (of each
+    month, with ``unit="month"``), and these are added up again from all their parts and replace
+    their partitions. So a row that comes
     late, however late, lands in its day, and a batch that is repeated after a failure overwrites its
     own parts. A count of the batch's rows is stored too: those without a key, which belong to no
     day, and those that came after their day counted as finished.
@@ -90,21 +94,22 @@ def deliver_batch(rows: DataFrame, batch: int, path: str, lateness_days: int = L
     ).write.mode("overwrite").parquet(f"{path}/counts/batch={batch}")
 
     known = sums.filter("has_keys").drop("has_keys")
-    days = [r.date for r in known.select("date").distinct().collect()]  # at most one a calendar day
-    if not days:
+    number = unit_number(unit, "date")
+    units = [r.unit for r in known.select(number.alias("unit")).distinct().collect()]  # at most one a calendar day
+    if not units:
         return
     (
-        known.withColumns({"day": F.col("date"), "batch": F.lit(batch)}).repartition("day")
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(f"{path}/parts")
+        known.withColumns({"unit": number, "batch": F.lit(batch)}).repartition("unit")
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("unit", "batch").parquet(f"{path}/parts")
     )
-    schema = T.StructType([known.schema[c] for c in ("date", "store_id", *_SUMS)]).add("day", T.DateType()).add("batch", T.LongType())
+    schema = T.StructType([known.schema[c] for c in ("date", "store_id", *_SUMS)]).add("unit", T.IntegerType()).add("batch", T.LongType())
     parts = spark.read.schema(schema).parquet(f"{path}/parts")
-    touched = parts.filter(F.col("day").isin(days)).groupBy("date", "store_id").agg(*[F.sum(c).alias(c) for c in _SUMS])
+    touched = parts.filter(F.col("unit").isin(units)).groupBy("date", "store_id").agg(*[F.sum(c).alias(c) for c in _SUMS])
     daily = touched.select(
         "date", "store_id", "quantity_sold", joined(F.col("revenue_whole"), F.col("revenue_units")).alias("sales"),
         joined(F.col("profit_whole"), F.col("profit_units")).alias("profit"), F.col("n").alias("rows"),
     )
-    sinks.write_by_day(daily, f"{path}/daily")
+    sinks.write_by_unit(daily, f"{path}/daily", unit)
 
 
 def _counts(spark: SparkSession, path: str) -> DataFrame | None:
@@ -115,11 +120,11 @@ def _counts(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def deliver_daily(
-    sales: DataFrame, path: str, checkpoint: str, lateness_days: int = LATENESS_DAYS
+    sales: DataFrame, path: str, checkpoint: str, lateness_days: int = LATENESS_DAYS, unit: str = "day"
 ):
     """Run the stream over all files that are there; a restart continues from the checkpoint."""
     return (
-        sales.writeStream.foreachBatch(lambda rows, batch: deliver_batch(rows, batch, path, lateness_days))
+        sales.writeStream.foreachBatch(lambda rows, batch: deliver_batch(rows, batch, path, lateness_days, unit))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
