@@ -58,3 +58,10 @@ def test_children_are_valid_and_no_worse_in_the_end():
     assert block.loads(child).max() <= 100 and block.loads(child).sum() == lengths.sum()
     best = block.evolve([a, b], 60)[0]
     assert block.fitness(best) >= max(block.fitness(a), block.fitness(b))
+
+
+@pytest.mark.parametrize("n, length", [(601, 30), (250, 60), (1000, 45)])
+def test_lengths_that_never_fill_a_sequence_cost_one_part_filled_sequence(spark, n, length):
+    items = spark.createDataFrame([(length,)] * n, "length long")
+    rows = pack(items, capacity=100, block_items=50).collect()
+    assert len(rows) == n and _check(rows, 100) == -(-n // (100 // length))

@@ -4,7 +4,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tillcast.llm.tokens import counter, merged, token_counts
+from tillcast.llm.tokens import Counter, Memo, counter, merged, token_counts
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 ODD = [
@@ -38,3 +38,24 @@ def test_rows_with_nulls_repeats_and_clashing_columns(spark, rows):
     key = lambda r: (r[0] is None, r)
     assert sorted(((r.doc_id, r.n_bytes, r.n_tokens) for r in found), key=key) == sorted(expected, key=key)
     assert all(r.over_limit == (r.n_tokens > 2048) for r in found)
+
+
+def test_a_memo_keeps_frequent_words_within_its_bytes():
+    memo = Memo(limit=10 * (Memo.ENTRY + 8))
+    for i in range(500):
+        memo.put(f"word{i:04}", i)
+        assert len(memo.young) + len(memo.old) <= 22
+        if i:
+            assert memo.get("word0000") in (0, None)
+            memo.put("word0000", 0)
+    assert memo.get("word0000") == 0 and memo.get("word0001") is None
+    memo.put("x" * 1000, 1)
+    assert memo.get("x" * 1000) is None
+
+
+def test_a_small_memo_changes_no_count():
+    library = Tokenizer.from_file(PATH)
+    own = Counter(PATH)
+    own._kept = Memo(limit=3000)
+    texts = [*ODD, "the and the, and? " * 20, "Ã© é Ã© é, Ã©, don't dont don't"] * 2
+    assert [own.count(t) for t in texts] == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tillcast.llm.tokens import KEPT_LENGTH, KEPT_WORDS, Words
+from tillcast.llm.tokens import Memo, Words
 from tillcast.session import materialize
 
 #: Items of a block, islands of a block, epochs between which elites migrate.
@@ -50,31 +50,32 @@ class Encoder(Words):
     def __init__(self, path: str):
         super().__init__(path)
         self._tokenize = self.library.model.tokenize
-        self._kept: dict[str, bytes] = {}
-        self._ids: dict[str, bytes] = {}
+        self._kept = Memo()
 
     def _piece(self, piece: str | int) -> bytes:
         if isinstance(piece, int):
             return np.array([piece], "<u4").tobytes()
-        ids = self._ids.get(piece)
+        key = "\n" + piece  # no word holds a line end, so pieces have keys of their own
+        ids = self._kept.get(key)
         if ids is None:
-            ids = np.array([t.id for t in self._tokenize(piece)], "<u4").tobytes()
-            if len(piece) <= KEPT_LENGTH:
-                if len(self._ids) >= KEPT_WORDS:
-                    self._ids.clear()
-                self._ids[piece] = ids
+            ids = self._merged(piece)
+            self._kept.put(key, ids)
         return ids
 
+    def _merged(self, piece: str) -> bytes:
+        return np.array([t.id for t in self._tokenize(piece)], "<u4").tobytes()
+
     def _word(self, word: str) -> bytes:
-        ids = b"".join(map(self._piece, self.pieces(word)))
-        if len(word) <= KEPT_LENGTH:
-            if len(self._kept) >= KEPT_WORDS:
-                self._kept.clear()
-            self._kept[word] = ids
+        ids = self._kept.get(word)
+        if ids is None:
+            parts = self.pieces(word)
+            whole = len(parts) == 1 and isinstance(parts[0], str)  # kept as a word only
+            ids = self._merged(parts[0]) if whole else b"".join(map(self._piece, parts))
+            self._kept.put(word, ids)
         return ids
 
     def encode(self, text: str | None) -> bytes:
-        kept = self._kept
+        kept = self._kept.young
         words = (text or "").replace("\n", " ").split(" ")
         return b"".join([ids if (ids := kept.get(w)) is not None else self._word(w) for w in words if w])
 
@@ -280,12 +281,16 @@ def pack(
             break
         open_ = solved.where(F.col("load") < WELL_FILLED * capacity).select("item", "length")
         left = open_.count()
-        # what fills badly everywhere cannot be mended by another deal: it closes as it is
         if left > 0.9 * count:
-            done[-1] = solved.select(
+            # what fills badly everywhere gains nothing from another deal but in each block's worst
+            # bin: the others close as they are, and the worst bins' items meet on the next level
+            worst = solved.groupBy("block").agg(F.min(F.struct("load", "bin")).alias("worst"))
+            marked = solved.join(worst, "block").withColumn("carried", F.col("bin") == F.col("worst.bin"))
+            done[-1] = marked.where("not carried").select(
                 "item", (F.lit(level << 56) + F.col("block") * (1 << 16) + F.col("bin")).alias("sequence_id"), "offset"
             )
-            break
+            open_ = materialize(marked.where("carried").select("item", "length"), "carried")
+            left = open_.count()
         count, level = left, level + 1
     if not done:
         return full.drop("item")

@@ -25,8 +25,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-#: Words of which a worker keeps the count, and the longest such word.
-KEPT_WORDS = 600_000
+#: Bytes of each of a memo's two generations in one worker, and the longest word that it keeps.
+KEPT_BYTES = 48 << 20
 KEPT_LENGTH = 64
 
 Ranks = dict[tuple[str, str], int]
@@ -68,6 +68,37 @@ def merged(symbols: list[str], ranks: Ranks) -> int:
     return left
 
 
+class Memo:
+    """What a worker has found for words, in two generations bounded by bytes.
+
+    A full generation becomes the old one and a new one is begun; a word that is found in the old one
+    moves on to the new. So frequent words stay, and no more than two generations are ever held.
+    """
+
+    #: Bytes of an entry beside its key and value: two objects and a place in the table.
+    ENTRY = 200
+
+    def __init__(self, limit: int | None = None):
+        self.limit = KEPT_BYTES if limit is None else limit
+        self.young: dict = {}
+        self.old: dict = {}
+        self.held = 0
+
+    def get(self, key: str):
+        value = self.young.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self.put(key, value)
+        return value
+
+    def put(self, key: str, value) -> None:
+        if len(key) > KEPT_LENGTH:
+            return
+        self.held += self.ENTRY + len(key) + (len(value) if isinstance(value, bytes) else 0)
+        if self.held > self.limit:
+            self.old, self.young, self.held = self.young, {}, self.ENTRY
+        self.young[key] = value
+
+
 class Words:
     """Splits texts as one vocabulary file says: into words, and those into pieces to merge."""
 
@@ -113,34 +144,35 @@ class Counter(Words):
         self._end = self.spec["model"].get("end_of_word_suffix") or ""
         merges = (m.split(" ") if isinstance(m, str) else m for m in self.spec["model"]["merges"])
         self._ranks: Ranks = {(a, b): i for i, (a, b) in enumerate(merges)}
-        self._words: dict[str, int] = {}
-        self._pieces: dict[str, int] = {}
+        self._kept = Memo()
 
     def _piece(self, piece: str | int) -> int:
         if isinstance(piece, int):
             return 1
-        n = self._pieces.get(piece)
+        key = "\n" + piece  # no word holds a line end, so pieces have keys of their own
+        n = self._kept.get(key)
         if n is None:
-            symbols = list(piece)
-            symbols[-1] += self._end
-            n = merged(symbols, self._ranks)
-            if len(piece) <= KEPT_LENGTH:
-                if len(self._pieces) >= KEPT_WORDS:
-                    self._pieces.clear()
-                self._pieces[piece] = n
+            n = self._merged(piece)
+            self._kept.put(key, n)
         return n
 
+    def _merged(self, piece: str) -> int:
+        symbols = list(piece)
+        symbols[-1] += self._end
+        return merged(symbols, self._ranks)
+
     def _word(self, word: str) -> int:
-        n = sum(map(self._piece, self.pieces(word)))
-        if len(word) <= KEPT_LENGTH:
-            if len(self._words) >= KEPT_WORDS:
-                self._words.clear()
-            self._words[word] = n
+        n = self._kept.get(word)
+        if n is None:
+            parts = self.pieces(word)
+            whole = len(parts) == 1 and isinstance(parts[0], str)  # kept as a word only
+            n = self._merged(parts[0]) if whole else sum(map(self._piece, parts))
+            self._kept.put(word, n)
         return n
 
     def count(self, text: str | None) -> int:
         # no token spans a blank or a line end, so the parts between them count on their own
-        total, kept = 0, self._words
+        total, kept = 0, self._kept.young
         for word in (text or "").replace("\n", " ").split(" "):
             if word:
                 n = kept.get(word)
