@@ -10,8 +10,11 @@ of ``target`` of them are reached. Distances are then computed from the original
 double precision.
 
 Equal vectors are one entry with their smallest ids, k + 1 at most: no later one can be among k
-neighbours. The visited leaves and their queries meet in groups of bounded size, so a leaf
-that many rows or queries share is split. The tree, the sample and the number of leaves are
+neighbours. A query meets its leaves by ``SUBTREES`` runs of neighbouring leaves: one row for each
+run, with the list of its leaves there, so that its rows do not grow with the table. The nearest
+``FIRST_LEAVES`` leaves come first; the others then give only what can still come before the k-th
+neighbour found there. Rows and queries of a run meet in groups of bounded size, so a run
+that many share is split. The tree, the sample and the number of leaves are
 bounded whatever the table's size, and only they are sent to the tasks.
 
 Vectors that are null, empty, zero, hold nulls or non-finite numbers, differ from the usual
@@ -36,8 +39,11 @@ SAMPLE_ROWS = 20_000
 LEAF_ROWS = 128
 BRANCHES = 8
 CALIBRATION_ROWS = 128
-#: Rows and queries of a group in which distances are computed.
-GROUP_ROWS = 512
+#: Rows and queries of a group in which distances are computed, and runs of leaves.
+GROUP_ROWS = 8192
+SUBTREES = 16
+#: Leaves whose k-th distance bounds what the later ones give.
+FIRST_LEAVES = 4
 
 
 @dataclass
@@ -51,6 +57,20 @@ class Tree:
     def leaves(self) -> int:
         return sum(len(c) == 0 for c in self.children)
 
+    def runs(self, n: int) -> np.ndarray:
+        """The run, of ``n`` with about as many leaves each, that every leaf lies in; neighbours share one."""
+        order, stack = [], [0]
+        while stack:
+            node = stack.pop()
+            below = self.children[node]
+            if len(below):
+                stack.extend(below.tolist()[::-1])
+            else:
+                order.append(node)
+        out = np.full(len(self.children), -1, np.int64)
+        out[order] = np.arange(len(order)) * n // len(order)
+        return out
+
     def assign(self, vectors: np.ndarray) -> np.ndarray:
         """The leaf that each vector falls into."""
         at = np.zeros(len(vectors), np.int64)
@@ -165,11 +185,12 @@ def exact(queries: list[tuple[int, list[float]]], index: DataFrame, k: int) -> D
             v, members = _matrix(batch.column("v")), batch.column("ids")
             owner = np.repeat(np.arange(len(v)), np.diff(members.offsets.to_numpy()))
             flat, leaf = members.flatten().to_numpy(), batch.column("leaf").to_numpy()
+            by_id = np.argsort(flat, kind="stable")
             out = []
             for q, x in zip(ids, vectors, strict=True):
                 near, score = closest(q, x, v, flat, owner, k)
-                where = {i: o for i, o in zip(flat.tolist(), owner.tolist(), strict=True) if i in set(near.tolist())}
-                out += [(q, int(i), float(s), int(leaf[where[int(i)]])) for i, s in zip(near, score, strict=True)]
+                at = leaf[owner[by_id[np.searchsorted(flat, near, sorter=by_id)]]]
+                out += zip([q] * len(near), near.tolist(), score.tolist(), at.tolist())
             yield pa.RecordBatch.from_arrays(
                 [pa.array([o[c] for o in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int64()))],
                 ["query_id", "vec_id", "score", "leaf"],
@@ -203,10 +224,10 @@ class Index:
         def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 leaf = tree.value.assign(_matrix(batch.column("v")))
-                yield batch.append_column("leaf", pa.array(leaf, pa.int64()))
+                yield batch.append_column("leaf", pa.array(leaf, pa.int64())).append_column("run", pa.array(runs[leaf], pa.int64()))
 
-        self._tree = tree
-        self.index = materialize(known.mapInArrow(put, "v array<double>, ids array<long>, leaf long"), "leaves")
+        self._tree, runs = tree, self.tree.runs(SUBTREES)
+        self.index = materialize(known.mapInArrow(put, "v array<double>, ids array<long>, leaf long, run long"), "leaves")
         self.visits, self.recall = self._calibrate(target)
 
     def _calibrate(self, target: float) -> tuple[int, float]:
@@ -227,45 +248,82 @@ class Index:
     def search(self, queries: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
         """(query_id, rank, vec_id, score) for rows (vec_id, v) of the index's own vectors."""
         tree, visits, k = self._tree, self.visits, self.k
+        runs = self.tree.runs(SUBTREES)
 
         def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = [tree.value.visit(q, visits) for q in _matrix(batch.column("v"))]
-                yield batch.append_column("leaf", pa.array(found, pa.list_(pa.int64())))
-
-        walked = queries.select("vec_id", "v").mapInArrow(walk, "vec_id long, v array<double>, leaf array<long>")
-        asked = materialize(walked.select("vec_id", "v", F.explode("leaf").alias("leaf")), "visits")
-        # one row for each leaf; the number of leaves is bounded, so both counts can be broadcast
-        rows = self.index.groupBy("leaf").agg(F.ceil(F.count("*") / group_rows).alias("row_groups"))
-        wants = asked.groupBy("leaf").agg(F.ceil(F.count("*") / group_rows).alias("query_groups"))
-        groups = F.broadcast(materialize(rows.join(wants, "leaf"), "groups"))
+                at, later, run, leaves = [], [], [], []
+                for row, q in enumerate(_matrix(batch.column("v"))):
+                    found = np.array(tree.value.visit(q, visits), np.int64)
+                    for phase, part in enumerate((found[:FIRST_LEAVES], found[FIRST_LEAVES:])):
+                        for r in np.unique(runs[part]):
+                            at.append(row)
+                            later.append(phase)
+                            run.append(r)
+                            leaves.append(part[runs[part] == r])
+                taken = pa.array(at, pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("vec_id").take(taken), batch.column("v").take(taken), pa.array(later, pa.int32()),
+                     pa.array(run, pa.int64()), pa.array(leaves, pa.list_(pa.int64()))],
+                    ["vec_id", "v", "later", "run", "leaves"],
+                )
+
+        walked = queries.select("vec_id", "v").mapInArrow(walk, "vec_id long, v array<double>, later int, run long, leaves array<long>")
+        asked = materialize(walked, "visits")
+        never = F.lit(float("inf"))
+        near = materialize(self._measured(asked.where("later = 0").withColumn("bound", never), group_rows), "first")
+        if visits > FIRST_LEAVES:
+            kth = top(near, k).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("bound"))
+            after = asked.where("later = 1").join(kth, "vec_id", "left").withColumn("bound", F.coalesce("bound", never))
+            near = near.unionByName(self._measured(after, group_rows))
+        return top(near, k).select("query_id", "rank", "vec_id", "score")
+
+    def _measured(self, asked: DataFrame, group_rows: int) -> DataFrame:
+        """(query_id, vec_id, score): of each run that a query asks, its k nearest within the bound."""
+        k = self.k
+        # one row for each run, so both counts can be broadcast
+        rows = self.index.groupBy("run").agg(F.ceil(F.count("*") / group_rows).alias("row_groups"))
+        wants = asked.groupBy("run").agg(F.ceil(F.count("*") / group_rows).alias("query_groups"))
+        groups = F.broadcast(materialize(rows.join(wants, "run"), "groups"))
         upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-        left = self.index.join(groups, "leaf").select(
-            "leaf", F.pmod(F.xxhash64("ids"), "row_groups").alias("a"), upto("query_groups").alias("b"), "v", "ids"
+        left = self.index.join(groups, "run").select(
+            "run", F.pmod(F.xxhash64("ids"), "row_groups").alias("a"), upto("query_groups").alias("b"), "v", "ids", "leaf"
         )
-        right = asked.join(groups, "leaf").select(
-            "leaf", upto("row_groups").alias("a"), F.pmod(F.xxhash64("vec_id", "v"), "query_groups").alias("b"), "vec_id", "v"
+        right = asked.join(groups, "run").select(
+            "run", upto("row_groups").alias("a"), F.pmod(F.xxhash64("vec_id", "v"), "query_groups").alias("b"), "vec_id", "v", "leaves", "bound"
         )
 
         def measure(key: tuple, rows_: pa.Table, asks: pa.Table) -> pa.Table:
             out: list[tuple[int, np.ndarray, np.ndarray]] = []
             if rows_.num_rows and asks.num_rows:
-                members = rows_.column("ids").combine_chunks()
+                rows_ = rows_.sort_by("leaf")
+                members, leaf = rows_.column("ids").combine_chunks(), rows_.column("leaf").to_numpy()
                 v = _matrix(rows_.column("v").combine_chunks())
-                owner = np.repeat(np.arange(len(v)), np.diff(members.offsets.to_numpy()))
-                flat = members.flatten().to_numpy()
-                for q, x in zip(asks.column("vec_id").to_pylist(), _matrix(asks.column("v").combine_chunks()), strict=True):
-                    out.append((q, *closest(q, x, v, flat, owner, k)))
+                flat, offsets = members.flatten().to_numpy(), members.offsets.to_numpy() - members.offsets[0].as_py()
+                asked_ = zip(
+                    asks.column("vec_id").to_pylist(), _matrix(asks.column("v").combine_chunks()), asks.column("leaves"),
+                    asks.column("bound").to_pylist(), strict=True,
+                )
+                for q, x, leaves, bound in asked_:
+                    want = leaves.values.to_numpy()
+                    first, last = np.searchsorted(leaf, want, "left"), np.searchsorted(leaf, want, "right")
+                    at = np.concatenate([np.arange(i, j) for i, j in zip(first, last, strict=True)])
+                    if not len(at):
+                        continue
+                    sizes = offsets[at + 1] - offsets[at]
+                    inside = np.repeat(offsets[at] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+                    ids, score = closest(q, x, v[at], flat[inside], np.repeat(np.arange(len(at)), sizes), k)
+                    near = score <= bound
+                    out.append((q, ids[near], score[near]))
             joined = lambda i, t: np.concatenate([o[i] for o in out]) if out else np.zeros(0, t)
             return pa.table({
                 "query_id": np.repeat(np.array([o[0] for o in out], np.int64), [len(o[1]) for o in out]),
                 "vec_id": joined(1, np.int64), "score": joined(2, np.float64),
             })
 
-        near = left.groupBy("leaf", "a", "b").cogroup(right.groupBy("leaf", "a", "b")).applyInArrow(
+        return left.groupBy("run", "a", "b").cogroup(right.groupBy("run", "a", "b")).applyInArrow(
             measure, "query_id long, vec_id long, score double"
         )
-        return top(near, k).select("query_id", "rank", "vec_id", "score")
 
 
 def neighbours(embeddings: DataFrame, k: int = 10, every: int = 100, target: float = 0.97, **options) -> DataFrame:
