@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 #: Bytes of each of a memo's two generations in one worker, and the longest word that it keeps.
-KEPT_BYTES = 48 << 20
+KEPT_BYTES = 128 << 20
 KEPT_LENGTH = 64
 
 Ranks = dict[tuple[str, str], int]
