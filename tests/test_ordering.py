@@ -172,3 +172,22 @@ def test_quantiles_outside_a_bracket_are_found(spark, monkeypatch):
            quantiles.exact_quantiles(df, "v", [0.25, 0.5], ["g"]).collect()}
     want = {(g, p): float(np.quantile(np.arange(g, 1000, 3), p)) for g in range(3) for p in (0.25, 0.5)}
     assert got == want and len(seen) == 2
+
+
+@pytest.mark.parametrize("range_rows", [10, 1_000_000])
+def test_stored_sketches_give_the_same_quantiles(spark, range_rows):
+    draw = random.Random(6)
+    rows = [(g, f"d{i % 9}", None if draw.random() < 0.05 else float(round(draw.gauss(0, 9), draw.choice([0, 6])))) for g in "ab" for i in range(3000)]
+    frame = spark.createDataFrame(rows, "g string, day string, v double").cache()
+    points = [0.01, 0.25, 0.5, 0.75, 0.999]
+    stored = quantiles.sketches(frame, "v", ["g"], "day")
+    assert stored.count() == 18
+    key = lambda r: (r.g, r.probability)
+    plain = sorted(quantiles.exact_quantiles(frame, "v", points, ["g"], range_rows=range_rows).collect(), key=key)
+    merged = sorted(quantiles.exact_quantiles(frame, "v", points, ["g"], range_rows=range_rows, stored=stored).collect(), key=key)
+    assert merged == plain and len(plain) == 10
+    for r in plain:
+        values = sorted(v for g, _, v in rows if g == r.g and v is not None)
+        place = r.probability * (len(values) - 1)
+        low, high = values[int(place)], values[min(int(place) + 1, len(values) - 1)]
+        assert r.quantile == pytest.approx(low + (high - low) * (place - int(place)))

@@ -9,6 +9,8 @@ per day and group, so that later quantiles merge them and scan the values once.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tillcast.operators import ordering
@@ -42,8 +44,8 @@ def exact_quantiles(
     """Rows of (group, probability, quantile) with linear interpolation; nulls are skipped.
 
     ``stored`` gives the sketches of the same rows (``sketches``), which then are not scanned to
-    find the brackets. The brackets are broadcast if the groups are few. A quantile that the sketch has put outside
-    its bracket is looked for again in a wider one, at last among all values.
+    find the brackets. The brackets are broadcast if the groups are few. A quantile that the sketch
+    has put outside its bracket is looked for again in a wider one, at last among all values.
     """
     data = df.select(*group_cols, F.col(value).cast("double").alias("__v")).filter(
         F.col("__v").isNotNull()
@@ -51,8 +53,9 @@ def exact_quantiles(
     # four times the rank error the sketch promises
     margin, done = (4.0 / accuracy if stored is None else 10.0 / SKETCH_SIZE**0.9), None
     while True:
+        sketched = _bracketed if stored is None else partial(_bracketed, stored=stored)
         found = materialize(
-            _bracketed(data, probabilities, group_cols, accuracy, margin, range_rows, stored), "quantiles"
+            sketched(data, probabilities, group_cols, accuracy, margin, range_rows), "quantiles"
         )
         sure = found.filter("quantile is not null")
         done = sure if done is None else done.unionByName(sure)
@@ -69,7 +72,7 @@ def exact_quantiles(
 
 def _bracketed(
     data: DataFrame, probabilities: list[float], group_cols: list[str], accuracy: int,
-    margin: float, range_rows: int, stored: DataFrame | None,
+    margin: float, range_rows: int, stored: DataFrame | None = None,
 ) -> DataFrame:
     """One attempt; the quantile is null where the bracket does not hold it."""
     points = [
