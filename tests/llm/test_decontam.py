@@ -1,5 +1,9 @@
+import random
+
 import pytest
+import regex
 
+from tillcast.llm import decontam
 from tillcast.llm.decontam import NAME, NUMBER, UNIT, clean, contaminated, with_template, with_words
 from pyspark.sql import functions as F
 
@@ -75,3 +79,104 @@ def test_changed_names_and_numbers_anywhere(spark):
     docs = spark.createDataFrame([(i, FILL + t + " " + FILL) for i, t, _ in CHANGED], "doc_id long, text string")
     found = contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r.doc_id, r.item_id, r.verbatim) for r in found} == {(i, w, False) for i, _, w in CHANGED if w is not None}
+
+
+# --- the whole query again, text by text and without Spark ---
+
+SPACE = r"[ \t\n\x0b\f\r]"
+PUNCT = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def plain_words(text):
+    text = "".join(c for c in text.lower() if c not in PUNCT).strip(" \t\n\r\x0b\x0c")
+    return regex.split(SPACE + "+", text) if text else []
+
+
+def plain_template(text):
+    text = regex.sub(SPACE + "+", " ", text)
+    text = regex.sub(r"\p{Lu}(?<=[^ \t\n\x0b\f\r.!?:] .)\p{Ll}[\p{L}\p{M}'’-]*", decontam.NAME, text)
+    text = regex.sub(rf"(?<![\p{{L}}\p{{N}}_])(?:{decontam.NUMBER_WORDS})(?![\p{{L}}\p{{N}}])", decontam.NUMBER, text)
+    if regex.search(r"\p{N}", text):
+        text = regex.sub(rf"(\p{{N}} )(?i:{decontam.UNITS})(?![\p{{L}}\p{{N}}])", rf"\1{decontam.UNIT}", text)
+        text = regex.sub(r"(?<![^ \t\n\x0b\f\r])[-+$€£(\[\"']{0,3}\p{N}[^ \t\n\x0b\f\r]*", decontam.NUMBER, text)
+    return plain_words(text)
+
+
+def plain_joined(text):
+    text = regex.sub(SPACE + "+", " ", text)
+    named = rf"(?!(?i:{decontam.NUMBER_WORDS})(?![\p{{L}}\p{{N}}]))\p{{Lu}}\p{{Ll}}"
+    return regex.sub(rf"(?<![^ \p{{Ps}}\p{{Pi}}\"'])({named}[\p{{L}}\p{{M}}'’-]*) (?={named})", rf"\1{decontam.JOIN}", text)
+
+
+def plain_names(joined):
+    n = decontam.NUMBER_WORDS
+    text = regex.sub(rf"(?i)(?<![\p{{L}}\p{{N}}_])(?:{n})(?:-(?:{n}))*(?![\p{{L}}\p{{N}}])", decontam.NUMBER, joined)
+    text = regex.sub(rf"(?<![^ \p{{Ps}}\p{{Pi}}\"'])\p{{Lu}}\p{{Ll}}[\p{{L}}\p{{M}}'’{decontam.JOIN}-]*", decontam.NAME, text)
+    text = regex.sub(rf"([\p{{N}}{decontam.NUMBER}] )(?i:{decontam.UNITS})(?![\p{{L}}\p{{N}}])", rf"\1{decontam.UNIT}", text)
+    return plain_words(regex.sub(r"(?<![^ ])[-+$€£(\[\"']{0,3}\p{N}[^ ]*", decontam.NUMBER, text))
+
+
+def views(text):
+    """(kind, template, words, first word of each place in the words as they are) of a text."""
+    words, joined = plain_words(text), plain_joined(text)
+    names = plain_words(joined)
+    starts = [0]
+    for w in names:
+        starts.append(starts[-1] + len(w.split(decontam.JOIN)))
+    plain = list(range(len(words) + 1))
+    return [("w", words, words, plain), ("t", plain_template(text), words, plain), ("f", plain_names(joined), names, starts)]
+
+
+def brute_force(docs, items, width=decontam.WIDTH, least=decontam.COVERAGE):
+    marks = {decontam.NUMBER, decontam.NAME, decontam.UNIT}
+    out = []
+    for item_id, item in sorted({(i, t or "") for i, t in items}):
+        words = plain_words(item)
+        if not words:
+            continue
+        runs = len(words) - min(len(words), width) + 1
+        for doc_id, doc in docs:
+            covered, verbatim = set(), True
+            for (kind, t, w, starts), (_, dt, dw, _) in zip(views(item), views(doc or "")):
+                n = min(len(t), width)
+                shifts = {}
+                for a in range(len(t) - n + 1) if n else []:
+                    run = t[a : a + n]
+                    if kind != "w" and sum(x in marks for x in run) > n - 2:
+                        continue
+                    for b in range(len(dt) - n + 1):
+                        if dt[b : b + n] == run:
+                            places, pairs = shifts.setdefault(b - a, (set(), set()))
+                            places |= {p for p in range(starts[a], starts[a + 1]) if p < runs}
+                            pairs |= {(w[a + k], dw[b + k]) for k in range(n) if run[k] in marks}
+                for places, pairs in shifts.values():
+                    if len({x for x, _ in pairs}) == len(pairs):
+                        covered |= places
+                        verbatim &= all(x == y for x, y in pairs)
+            if len(covered) / runs >= least:
+                out.append((doc_id, item_id, round(len(covered) / runs, 6), verbatim))
+    return sorted(out)
+
+
+def test_whole_query_against_plain_python(spark):
+    draw = random.Random(12)
+    bank = ["Natalia sold 48 clips to her friends in April, then half as many in May.", "A train leaves Denver at 9:30 and goes 60 miles per hour to Salt Lake City.",
+            "Weng earns twelve dollars an hour for babysitting. Yesterday she did 50 minutes.", "El tren sale de Madrid a las 9 y llega a Sevilla en 3 horas.", "Der Zug fährt 80 km von Berlin nach Köln.", "short item", "one two", "?!", None]
+    swaps = [("Natalia", "Maria"), ("48", "52"), ("April", "June"), ("Denver", "New York"), ("60", "75"), ("miles", "km"), ("twelve", "ninety-two"), ("Weng", "Li"), ("Madrid", "Lisboa"), ("80", "95"), ("Berlin", "Bonn"), ("half", "twice")]
+    docs = []
+    for i in range(60):
+        text = draw.choice(bank[:7])
+        for a, b in draw.sample(swaps, draw.randint(0, 5)):
+            text = text.replace(a, b)
+        if draw.random() < 0.3:
+            text = draw.choice([str.upper, str.lower, lambda t: t.replace(" ", "\n  ")])(text)
+        if draw.random() < 0.3:
+            cut = draw.randint(0, len(text))
+            text = text[:cut] + " Some Other words, " + text[cut:]
+        docs.append((i, draw.choice(["", "Before it. ", "lead "]) + text + draw.choice(["", " And after 3 days."])))
+    docs += [(100, None), (101, ""), (102, "one two one two"), (103, "Zürich 5 kg")]
+    items = [(i, t) for i, t in enumerate(bank)]
+    found = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    rows = sorted((r.doc_id, r.item_id, r.coverage, r.verbatim) for r in found.collect())
+    want = brute_force(docs, items)
+    assert rows == want and len(want) > 25 and len({v for *_, v in want}) == 2

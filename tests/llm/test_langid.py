@@ -1,3 +1,6 @@
+import math
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -67,3 +70,71 @@ def test_addresses_and_markup(spark):
     ).first()
     assert tuple(row.h) == ("blog.ab.example.net", "example.net", "net")
     assert (row.m, row.n, row.d) == ("fr", None, "de") and row.v.split() == ["a", "b", "c"]
+
+
+def brute_force(rows, model, least=0.5):
+    """The fused verdict of every row (id, text, declared, marker, host, domain, suffix), in plain Python."""
+    names, size = model.languages, len(model.languages)
+    ll, n = model.evidence([r[1] for r in rows])
+    best = [int(np.argmax(x)) for x in ll]
+    counts = [b < size and k > 0 for b, k in zip(best, n)]  # rows whose text speaks for a language
+
+    def confusion(column):
+        known = [*names, "other"]
+        table = {v: [1.0] * size for v in known}
+        for r, b, ok in zip(rows, best, counts):
+            if r[column] is not None and ok:
+                table[r[column] if r[column] in names else "other"][b] += 1
+        sums = [sum(table[v][k] for v in known) for k in range(size)]
+        wrong = langid.WRONG
+        return {v: [math.log((1 - wrong * len(known)) * table[v][k] / sums[k] + wrong) for k in range(size)] + [math.log(1 / len(known))] for v in known}
+
+    tables = {2: confusion(2), 3: confusion(3)}
+    # a host's domain and suffix count for all rows of the host that have them
+    levels = {"g": lambda r: "all", "s": lambda r: r[6], "d": lambda r: r[5], "h": lambda r: r[4]}
+    held = {name: {} for name in levels}
+    for r, b, ok in zip(rows, best, counts):
+        if ok and r[4] is not None:
+            for name, key in levels.items():
+                if key(r) is not None:
+                    held[name].setdefault(key(r), [0] * size)[b] += 1
+    out = {}
+    for r, own, b, k, ok in zip(rows, ll, best, n, counts):
+        counted_host = r[4] is not None and r[4] in held["h"]
+        logs = []
+        for lang in range(size + 1):
+            log = own[lang] + sum(tables[c][r[c] if r[c] in names else "other"][lang] for c in (2, 3) if r[c] is not None)
+            if lang == size:
+                logs.append(log + math.log(langid.OTHER_PRIOR))
+                continue
+            prior = 1 / size
+            for name, key in levels.items():
+                seen = held[name].get(key(r), [0] * size) if counted_host else [0] * size
+                seen = [max(c - (ok and counted_host and b == j), 0) for j, c in enumerate(seen)]
+                prior = (seen[lang] + langid.WEIGHT * prior) / (sum(seen) + langid.WEIGHT)
+            logs.append(log + math.log(prior * (1 - langid.OTHER_PRIOR)))
+        top = max(logs)
+        chosen = logs.index(top)
+        posterior = 1 / sum(math.exp(x - top) for x in logs)
+        language = [*names, "und"][chosen]
+        out[r[0]] = (language, posterior, chosen < size and k > 0 and own[chosen] >= own[size] and round(posterior, 6) >= least)
+    return out
+
+
+def test_fused_posterior_against_plain_python(spark, model):
+    draw = random.Random(7)
+    words = {"en": "the and of that with for from this", "de": "der die und das mit von für nicht", "fr": "le des une avec dans pour que est", "es": "los las una con por para que es"}
+    hosts = [(f"h{i}.{d}", d, d.split(".")[1]) for i, d in enumerate(["a.org", "a.org", "b.fr", "c.es", "d.de", "d.de"])] + [(None, None, None), ("h9.a.org", "a.org", "org")]
+    rows = []
+    for i in range(400):
+        host = hosts[0] if draw.random() < 0.3 else draw.choice(hosts)
+        lang = draw.choice([*words])
+        text = draw.choice([None, "", "12 ** 3", "кот море", *[" ".join(draw.choices(words[lang].split() + words[draw.choice([*words])].split()[:2], k=draw.randint(1, 9))) for _ in range(6)]])
+        rows.append((i, text, draw.choice([None, lang, lang, "it"]), draw.choice([None, None, lang, "en"]), *host))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, declared string, marker string, host string, domain string, suffix string")
+    found = {r.doc_id: r for r in identify(frame, model, Evidence("text", "declared", "marker", "host", "domain", "suffix")).collect()}
+    want = brute_force(rows, model)
+    assert len(found) == len(rows) and len({w[0] for w in want.values()}) > 3
+    for i, (language, posterior, accepted) in want.items():
+        assert found[i].posterior == pytest.approx(posterior, abs=2e-6), i
+        assert (found[i].language, found[i].accepted) == (language, accepted), i

@@ -44,6 +44,8 @@ def blocks(documents: DataFrame, path: str, block_tokens: int = BLOCK_TOKENS) ->
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, closed, held = encoder(path), 0, 0
+        if own.library.get_vocab_size() > 1 << 16:
+            raise ValueError("ids are kept in 16 bits: the vocabulary has more than 65,536 entries")
         names, parts, sizes = [], [], []
 
         def close() -> pa.RecordBatch:

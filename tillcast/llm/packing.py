@@ -109,6 +109,7 @@ def pieces(documents: DataFrame, path: str, capacity: int = 2048, end_id: int =
                  *(pa.array(x, pa.int64()) for x in (start, length, crc))],
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
             )
+        own._kept.trim()
 
     return rows.mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 

@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 #: Bytes of each of a memo's two generations in one worker, and the longest word that it keeps.
-KEPT_BYTES = 128 << 20
+KEPT_BYTES = 224 << 20
 KEPT_LENGTH = 64
 
 Ranks = dict[tuple[str, str], int]
@@ -98,6 +98,10 @@ class Memo:
             self.old, self.young, self.held = self.young, {}, self.ENTRY
         self.young[key] = value
 
+    def trim(self) -> None:
+        """Let the old generation go: what a worker keeps between tasks is one generation."""
+        self.old = {}
+
 
 class Words:
     """Splits texts as one vocabulary file says: into words, and those into pieces to merge."""
@@ -201,6 +205,7 @@ def token_counts(
                 [batch.column("doc_id"), batch.column("n_bytes"), pa.array(n, pa.int64())],
                 ["doc_id", "n_bytes", "n_tokens"],
             )
+        own._kept.trim()
 
     counted = rows.mapInArrow(count, f"doc_id {kind}, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
