@@ -184,6 +184,7 @@ def promote_decision(
             F.when(first, F.lit(force_first_deployment))
             .otherwise(F.coalesce(improved, F.lit(False)))
             .alias("promoted"),
+            # fixed values: the wording of the reasons
             F.when(first & F.lit(force_first_deployment), "First deployment")
             .when(first, "No production model to compare against")
             .when(F.coalesce(improved, F.lit(False)), F.concat(
