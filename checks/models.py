@@ -344,23 +344,6 @@ def tune_search(t: Tables):
     return made[0].unionByName(made[1]).withColumn("params", F.map_entries("params"))
 
 
-def train_searched(t: Tables):
-    """Training with the search in it: what was chosen, and the real weights, errors and importances."""
-    made = training.train_pipeline(t.features, trials=9)
-    value = lambda kind, frame, model, name, v: frame.select(F.lit(kind).alias("kind"), model.alias("model"), name.alias("name"), v.cast("double").alias("value"))
-    model = F.col("model")
-    last = made.searched.filter("kept").groupBy("learner").agg(F.max_by(F.struct("params", "rmse"), "rung").alias("b"))
-    chosen = last.select("learner", F.explode("b.params").alias("name", "value"))
-    errors = made.metrics.unpivot("model", MEASURES, "name", "value")
-    return (
-        value("parameter", chosen, F.col("learner"), F.col("name"), F.col("value"))
-        .unionByName(value("search", last, F.col("learner"), F.lit("rmse"), F.col("b.rmse")))
-        .unionByName(value("weight", made.weights, model, F.lit("weight"), F.col("weight")))
-        .unionByName(value("test", errors, model, F.col("name"), F.col("value")))
-        .unionByName(value("importance", made.importances, model, F.col("feature"), F.col("importance")))
-    )
-
-
 def feature_importance(t: Tables):
     p = prepared(t)
     models = {"boosted": training.train_gbt(p.rows), "forest": training.train_second(p.rows)}
@@ -529,7 +512,6 @@ QUERIES = {
     "train_gbt": (train_gbt, _scored_sql(100)),
     "train_second": (train_second, _scored_sql(100)),
     "tune_search": (tune_search, None),
-    "train_searched": (train_searched, None),
     "feature_importance": (feature_importance, f"""select model, feature, true as share, 1.0::double as total
         from (values ('boosted'), ('forest')) m(model),
         (values {", ".join(f"('{c}')" for c in VECTOR_COLUMNS)}) f(feature)"""),
