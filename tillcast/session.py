@@ -100,6 +100,16 @@ def drop_stages(spark: SparkSession) -> None:
     _RUN_DIRS.discard(folder)
 
 
+def drop_table(df) -> None:
+    """Delete the tables of ``materialize`` that ``df`` reads; what was not stored from it is lost."""
+    spark = df.sparkSession
+    inside = f"/{spark.sparkContext.applicationId}/"
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if inside in folder:
+            path, system = _hadoop(spark, folder)
+            system.delete(path, True)
+
+
 #: Rows up to which a stored table is sent to every task.
 BROADCAST_ROWS = 100_000
 
