@@ -180,3 +180,11 @@ def test_whole_query_against_plain_python(spark):
     rows = sorted((r.doc_id, r.item_id, r.coverage, r.verbatim) for r in found.collect())
     want = brute_force(docs, items)
     assert rows == want and len(want) > 25 and len({v for *_, v in want}) == 2
+
+
+def test_patterns_fail_at_their_first_character(spark):
+    frame = spark.createDataFrame([("x",)], "x string")
+    for kind in ("t", "f"):
+        plan = decontam.KINDS[kind](frame, "x").select(kind)._jdf.queryExecution().optimizedPlan().toString()
+        # what looks behind a place, or at both sides of it, comes after what most places fail at
+        assert "regexp_replace" in plan and not regex.search(r", (\(\?i\))?(\(\?<|\\b)", plan), plan

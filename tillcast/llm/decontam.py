@@ -55,6 +55,28 @@ NUMBER_WORDS = (
 )
 
 
+def _by_first_letter(words: str) -> str:
+    """The same words as alternatives by their first letter, so that few are tried at a place.
+
+    Only for words that are followed by no letter: then at most one of them fits, in whatever order.
+    """
+    by: dict[str, list[str]] = {}
+    for word in words.split("|"):
+        by.setdefault(word[0], []).append(word[1:])
+    return "|".join(f"{letter}(?:{'|'.join(rest)})" for letter, rest in by.items())
+
+
+_SPELT = _by_first_letter(NUMBER_WORDS)
+#: What a number may start with; an assertion in front of the dearer ones, as is a capital's in ``_CAPITAL``.
+_MAY_BE_NUMBER = r"(?=[-+$€£(\[\"'\p{N}])"
+_CAPITAL = r"(?=\p{Lu}\p{Ll})(?<![^\s\p{Ps}\p{Pi}\"'])"
+
+
+def _folded(text: str) -> Column:
+    """A text with each run of white space as one blank; a blank that stands alone is no match and costs nothing."""
+    return F.regexp_replace(F.coalesce(F.col(text).cast("string"), F.lit("")), r"[\t\n\x0B\f\r]\s*| \s+", " ")
+
+
 def _worded(rows: DataFrame, source: str, name: str) -> DataFrame:
     """Replace text column ``source`` by its words; what is punctuation only is no word.
 
@@ -75,20 +97,20 @@ def with_template(rows: DataFrame, text: str, name: str = "t") -> DataFrame:
 
     Each pattern starts with what is rare in a text, so most places fail at their first character.
     """
-    folded = F.regexp_replace(F.coalesce(F.col(text).cast("string"), F.lit("")), r"\s+", " ")
+    folded = _folded(text)
     named = F.regexp_replace(folded, r"\p{Lu}(?<=[^\s.!?:] .)\p{Ll}[\p{L}\p{M}'’-]*", NAME)
-    spelt = F.regexp_replace(named, rf"\b(?=[zotfsenhmb])(?:{NUMBER_WORDS})(?![\p{{L}}\p{{N}}])", NUMBER)
+    spelt = F.regexp_replace(named, rf"(?=[zotfsenhmb])\b(?:{_SPELT})(?![\p{{L}}\p{{N}}])", NUMBER)
     measured = F.regexp_replace("__t", rf"(\p{{N}} )(?i:{UNITS})(?![\p{{L}}\p{{N}}])", f"$1{UNIT}")
-    numbered = F.regexp_replace(measured, r"(?<!\S)[-+$€£(\[\"']{0,3}\p{N}\S*", NUMBER)
+    numbered = F.regexp_replace(measured, _MAY_BE_NUMBER + r"(?<!\S)[-+$€£(\[\"']{0,3}\p{N}\S*", NUMBER)
     out = rows.withColumn("__t", spelt).withColumn("__t", F.when(F.rlike("__t", F.lit(r"\p{N}")), numbered).otherwise(F.col("__t")))
     return _worded(out, "__t", name)
 
 
 def _joined(rows: DataFrame, text: str, name: str) -> DataFrame:
     """Add the text with the words of each name joined, so that a name of any length is one word."""
-    plain = F.regexp_replace(F.coalesce(F.col(text).cast("string"), F.lit("")), r"\s+", " ")
-    named = rf"(?!(?i:{NUMBER_WORDS})(?![\p{{L}}\p{{N}}]))\p{{Lu}}\p{{Ll}}"
-    return rows.withColumn(name, F.regexp_replace(plain, rf"(?<![^\s\p{{Ps}}\p{{Pi}}\"'])({named}[\p{{L}}\p{{M}}'’-]*) (?={named})", f"$1{JOIN}"))
+    plain = _folded(text)
+    named = rf"(?=\p{{Lu}}\p{{Ll}})(?!(?i:{_SPELT})(?![\p{{L}}\p{{N}}]))\p{{Lu}}\p{{Ll}}"
+    return rows.withColumn(name, F.regexp_replace(plain, rf"{_CAPITAL}({named}[\p{{L}}\p{{M}}'’-]*) (?={named})", f"$1{JOIN}"))
 
 
 def with_names(rows: DataFrame, text: str, name: str = "f") -> DataFrame:
@@ -98,12 +120,12 @@ def with_names(rows: DataFrame, text: str, name: str = "f") -> DataFrame:
     numbers are in any case, and units follow either kind of number.
     """
     rows = _joined(rows, text, "__j")
-    spelt = F.regexp_replace("__j", rf"(?i)\b(?=[zotfsenhmb])(?:{NUMBER_WORDS})(?:-(?:{NUMBER_WORDS}))*(?![\p{{L}}\p{{N}}])", NUMBER)
-    named = F.regexp_replace("__f", rf"(?<![^\s\p{{Ps}}\p{{Pi}}\"'])\p{{Lu}}\p{{Ll}}[\p{{L}}\p{{M}}'’{JOIN}-]*", NAME)
+    spelt = F.regexp_replace("__j", rf"(?=[zotfsenhmbZOTFSENHMB])\b(?i)(?:{_SPELT})(?:-(?:{_SPELT}))*(?![\p{{L}}\p{{N}}])", NUMBER)
+    named = F.regexp_replace("__f", rf"{_CAPITAL}\p{{Lu}}\p{{Ll}}[\p{{L}}\p{{M}}'’{JOIN}-]*", NAME)
     measured = F.regexp_replace("__f", rf"([\p{{N}}{NUMBER}] )(?i:{UNITS})(?![\p{{L}}\p{{N}}])", f"$1{UNIT}")
-    numbered = F.regexp_replace("__f", r"(?<!\S)[-+$€£(\[\"']{0,3}\p{N}\S*", NUMBER)
+    numbered = F.regexp_replace(measured, _MAY_BE_NUMBER + r"(?<!\S)[-+$€£(\[\"']{0,3}\p{N}\S*", NUMBER)
     out = rows
-    for step in (spelt, named, measured, numbered):
+    for step in (spelt, named, F.when(F.rlike("__f", F.lit(rf"[\p{{N}}{NUMBER}]")), numbered).otherwise(F.col("__f"))):
         out = out.withColumn("__f", step)
     return with_words(_worded(out, "__f", name), "__j", f"{name}w").drop("__j")
 
@@ -118,10 +140,13 @@ def _slots(name: str, width: int) -> Column:
     return sum((F.col(name)[F.col("at") + k].isin(NUMBER, NAME, UNIT).cast("int") for k in range(width)), F.lit(0))
 
 
-def _key(kind: str, width: int) -> Column:
-    """Hash of the run that starts at ``at``; null for a template that would match anything."""
+def _key(kind: str, width: int, any_run: bool = False) -> Column:
+    """Hash of the run that starts at ``at``; null for a template that would match anything.
+
+    With ``any_run`` such templates have their hash too, which no key of the benchmark equals.
+    """
     key = F.xxhash64(F.lit(kind), F.lit(width), *(F.col(kind)[F.col("at") + k] for k in range(width)))
-    return key if kind == "w" else F.when(_slots(kind, width) <= width - 2, key)
+    return key if kind == "w" or any_run else F.when(_slots(kind, width) <= width - 2, key)
 
 
 def _with_all(rows: DataFrame, text: str) -> DataFrame:
@@ -192,7 +217,7 @@ def _suspects(docs: DataFrame, id_col: str, text_col: str, bench: DataFrame, use
     for kind, n in used:
         keys = _of(bench, kind, n).select("key").distinct()
         placed = _placed(KINDS[kind](base, "x").select("uid", kind), kind, n)
-        hits.append(placed.select("uid", _key(kind, n).alias("key")).join(F.broadcast(keys) if few else keys, "key", "left_semi").select("uid"))
+        hits.append(placed.select("uid", _key(kind, n, any_run=True).alias("key")).join(F.broadcast(keys) if few else keys, "key", "left_semi").select("uid"))
     found = materialize(reduce(DataFrame.unionByName, hits).distinct(), "suspects")
     return F.broadcast(found) if found.count() <= BROADCAST_SUSPECTS else found
 
