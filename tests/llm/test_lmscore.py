@@ -5,7 +5,9 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from tillcast.llm import lmscore, tokens
 from tillcast.llm.lmscore import scores
+from tillcast.llm.packing import encoder
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -43,3 +45,12 @@ def test_scores_match_brute_force(spark, block_tokens, part_pairs):
     assert [f[:3] for f in found] == [w[:3] for w in want]
     assert all(abs(f[3] - w[3]) < 1e-4 for f, w in zip(found, want, strict=True))
     assert scores(frame.limit(0), PATH).count() == 0
+
+
+def test_the_memo_leaves_room_for_the_blocks():
+    own = encoder(PATH, lmscore.MEMO_BYTES)
+    assert own._kept.limit == lmscore.MEMO_BYTES < tokens.KEPT_BYTES // 2
+    small = encoder(PATH, 20_000)
+    words = [f"word{i} and{i}" for i in range(500)]
+    assert [small.encode(w) for w in words] == [own.encode(w) for w in words]
+    assert len(small._kept.young) + len(small._kept.old) < 250 < len(own._kept.young)

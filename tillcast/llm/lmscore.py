@@ -25,16 +25,19 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tillcast.llm.common import mix
+from tillcast.llm.common import forget, give_back, mix
 from tillcast.llm.packing import encoder
 from tillcast.session import materialize
 
 BACKOFF = 0.4
-#: Tokens after which a block is closed, and pairs of a hash part that are aimed at.
-BLOCK_TOKENS = 3_000_000
+#: Tokens after which a block is closed, about 60 bytes each while it is scored, and pairs of a hash part that are aimed at.
+BLOCK_TOKENS = 1_000_000
 PART_PAIRS = 2_000_000
 #: Tokens of a block that are scored at once, whole documents each.
 SLICE_TOKENS = 250_000
+#: Bytes of each of the memo's two generations: less than for packing, as the blocks and, from earlier
+#: stages, the JVM's heap stand beside it in an executor.
+MEMO_BYTES = 32 << 20
 
 
 def blocks(documents: DataFrame, path: str, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -43,7 +46,8 @@ def blocks(documents: DataFrame, path: str, block_tokens: int = BLOCK_TOKENS) ->
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, closed, held = encoder(path), 0, 0
+        give_back()
+        own, closed, held = encoder(path, MEMO_BYTES), 0, 0
         if own.library.get_vocab_size() > 1 << 16:
             raise ValueError("ids are kept in 16 bits: the vocabulary has more than 65,536 entries")
         names, parts, sizes = [], [], []
@@ -71,6 +75,7 @@ def blocks(documents: DataFrame, path: str, block_tokens: int = BLOCK_TOKENS) ->
                     closed, held, names, parts, sizes = closed + 1, 0, [], [], []
         if names:
             yield close()
+        own._kept.trim()
 
     return materialize(rows.mapInArrow(encode, f"block long, doc_ids array<{kind}>, ids binary, ends binary"), "blocks")
 
@@ -110,7 +115,7 @@ def _singles(stored: DataFrame) -> np.ndarray:
     """Counts of all tokens; the result has one row for each vocabulary entry at most."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder.cache_clear()  # all texts are encoded: the words that this worker has kept can go
+        forget()  # all texts are encoded: the words that this worker has kept can go
         total = np.zeros(1 << 16, np.int64)
         for batch in batches:
             for ids in batch.column("ids"):
@@ -128,7 +133,7 @@ def pair_totals(stored: DataFrame, parts: int) -> DataFrame:
     """(block, part, totals): for every block the corpus counts of its pairs, in their order."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder.cache_clear()
+        forget()
         for batch in batches:
             for i in range(batch.num_rows):
                 pairs, _ = _pairs(*_tokens(batch.column("ids")[i].as_py(), batch.column("ends")[i].as_py()))
@@ -173,7 +178,7 @@ def scores(documents: DataFrame, path: str, backoff: float = BACKOFF, block_toke
         return counts[back]
 
     def score(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        encoder.cache_clear()
+        forget()
         who, n_tokens, sums = [], [], []
         singles = shared.value
         total = singles.sum()

@@ -25,12 +25,12 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tillcast.llm.common import kept
 from tillcast.llm.tokens import Memo, Words
 from tillcast.session import materialize
 
@@ -47,10 +47,10 @@ WELL_FILLED = 0.995
 class Encoder(Words):
     """Ids of texts as little-endian bytes, by the library's own merging of each word piece."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo_bytes: int | None = None):
         super().__init__(path)
         self._tokenize = self.library.model.tokenize
-        self._kept = Memo()
+        self._kept = Memo(memo_bytes)
 
     def _piece(self, piece: str | int) -> bytes:
         if isinstance(piece, int):
@@ -80,19 +80,20 @@ class Encoder(Words):
         return b"".join([ids if (ids := kept.get(w)) is not None else self._word(w) for w in words if w])
 
 
-@cache
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+@kept
+def encoder(path: str, memo_bytes: int | None = None) -> Encoder:
+    """This worker's encoder; ``memo_bytes`` bounds each of its memo's two generations."""
+    return Encoder(path, memo_bytes)
 
 
-def pieces(documents: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
+def pieces(documents: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, memo_bytes: int | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): every document cut only where it is too long."""
     rows = documents.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
+        own = encoder(path, memo_bytes)
         for batch in batches:
             at, piece, start, length, crc = [], [], [], [], []
             for row, text in enumerate(batch.column("text")):
@@ -302,6 +303,6 @@ def pack(
     return full.unionByName(packed.select(full.columns)).drop("item")
 
 
-def packed_documents(documents: DataFrame, path: str, capacity: int = 2048, **options) -> DataFrame:
+def packed_documents(documents: DataFrame, path: str, capacity: int = 2048, memo_bytes: int | None = None, **options) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of all documents."""
-    return pack(pieces(documents, path, capacity), capacity, **options)
+    return pack(pieces(documents, path, capacity, memo_bytes=memo_bytes), capacity, **options)

@@ -19,12 +19,13 @@ import heapq
 import json
 import re
 from collections.abc import Iterator
-from functools import cache
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from tillcast.llm.common import kept
+
 #: Bytes of each of a memo's two generations in one worker, and the longest word that it keeps.
 KEPT_BYTES = 224 << 20
 KEPT_LENGTH = 64
@@ -184,7 +185,7 @@ class Counter(Words):
         return total
 
 
-@cache
+@kept
 def counter(path: str) -> Counter:
     return Counter(path)
 
