@@ -33,3 +33,16 @@ def test_every_stage_takes_effect_and_keeps_the_columns(spark, sf_dir):
 def test_run(spark, sf_dir):
     rows = corpus_pipeline.run(spark, sf_dir)
     assert rows.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and rows.count() > 0
+
+
+def test_a_stage_lets_go_what_earlier_ones_kept():
+    import public_tokenizers
+
+    from tillcast.llm.common import forget
+    from tillcast.llm.packing import encoder
+
+    own = encoder(public_tokenizers.path("word_bpe_49k.json"), corpus_pipeline.MEMO_BYTES)
+    own.encode("some words")
+    assert own._kept.young and own._kept.limit == corpus_pipeline.MEMO_BYTES
+    forget()
+    assert encoder.cache_info().currsize == 0

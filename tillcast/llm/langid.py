@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from tillcast.llm.common import chunks
+from tillcast.llm.common import chunks, forget
 from tillcast.session import materialize
 
 LANGUAGES = ("en", "de", "fr", "es")
@@ -92,6 +92,7 @@ def fit(labelled: DataFrame, languages: Sequence[str] = LANGUAGES, text_col: str
     texts = keyed.join(F.broadcast(chosen.drop("n")), ["label", "key"]).dropDuplicates(["label", "key"]).select("label", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         seen: dict[str, np.ndarray] = {}
         for batch in batches:
             text, label = batch.column("text").to_pylist(), batch.column("label").to_pylist()
@@ -126,6 +127,7 @@ def with_text_evidence(rows: DataFrame, model: TextModel, text_col: str) -> Data
     schema = StructType([*rows.schema.fields, StructField(_LL, ArrayType(DoubleType())), StructField(_N, LongType()), StructField(_BEST, LongType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             ll, n = shared.value.evidence(batch.column(text_col).to_pylist())
             best = ll.argmax(1)

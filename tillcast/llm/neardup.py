@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tillcast.llm.common import as_long, chunks, components, lists, mix, salted, shingles, word_hashes, wrapped
+from tillcast.llm.common import as_long, chunks, components, forget, lists, mix, salted, shingles, word_hashes, wrapped
 from tillcast.session import materialize
 
 WIDTH = 5
@@ -130,6 +130,7 @@ def signatures(texts: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: i
     """(key, n, sketch, buckets) of every row (key, text)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             text = batch.column("text").to_pylist()
             for a, b in chunks(text):
