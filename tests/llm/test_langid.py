@@ -138,3 +138,14 @@ def test_fused_posterior_against_plain_python(spark, model):
     for i, (language, posterior, accepted) in want.items():
         assert found[i].posterior == pytest.approx(posterior, abs=2e-6), i
         assert (found[i].language, found[i].accepted) == (language, accepted), i
+
+
+def test_a_text_does_not_come_back_from_scoring(spark):
+    docs = spark.createDataFrame([(i, f"the cat and the dog {i}", "en", "a.org") for i in range(2500)], "doc_id long, text string, lang string, source string").coalesce(1)
+    model = langid.fit(docs)
+    scored = langid.with_text_evidence(docs, model, "text")
+    assert "text" not in scored.columns
+    rows = scored.orderBy("doc_id").collect()
+    want, _ = model.evidence([f"the cat and the dog {i}" for i in range(2500)])
+    assert [r.doc_id for r in rows] == list(range(2500)) and [list(r["__likelihood"]) for r in rows] == want.tolist()
+    assert langid.accepted_rows(docs, model, langid.Evidence("text", declared="lang", host="source")).columns == docs.columns

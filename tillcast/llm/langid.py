@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,8 @@ OTHER = "und"
 #: Different texts of each language that the text model is fitted on.
 SAMPLE = 500
 BUCKETS = 1 << 15
+#: Rows of a batch whose texts are taken out of it at once.
+ROWS_AT_ONCE = 1000
 EFFECTIVE = 60
 #: Rows that a level's smoothing towards the next level counts as.
 WEIGHT = 20.0
@@ -122,19 +124,27 @@ _LL, _N, _BEST = "__likelihood", "__trigrams", "__best"
 
 
 def with_text_evidence(rows: DataFrame, model: TextModel, text_col: str) -> DataFrame:
-    """Every row and all its columns, with the text's log likelihoods and best language."""
+    """Every row and its columns but for the text, with the text's log likelihoods and best language.
+
+    Rows come back in batches of bounded text, as neither side has room for many large ones at once.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(model)
-    schema = StructType([*rows.schema.fields, StructField(_LL, ArrayType(DoubleType())), StructField(_N, LongType()), StructField(_BEST, LongType())])
+    kept = [i for i, field in enumerate(rows.schema.fields) if field.name != text_col]
+    schema = StructType([*(rows.schema.fields[i] for i in kept), StructField(_LL, ArrayType(DoubleType())), StructField(_N, LongType()), StructField(_BEST, LongType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         for batch in batches:
-            ll, n = shared.value.evidence(batch.column(text_col).to_pylist())
-            best = ll.argmax(1)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(ll.tolist(), pa.list_(pa.float64())), pa.array(n), pa.array(best, pa.int64())],
-                [*batch.schema.names, _LL, _N, _BEST],
-            )
+            text = batch.column(text_col)
+            for start in range(0, len(text), ROWS_AT_ONCE):
+                some = text.slice(start, ROWS_AT_ONCE).to_pylist()
+                for a, b in chunks(some):
+                    ll, n = shared.value.evidence(some[a:b])
+                    yield pa.RecordBatch.from_arrays(
+                        [*(batch.column(i).slice(start + a, b - a) for i in kept),
+                         pa.array(ll.tolist(), pa.list_(pa.float64())), pa.array(n), pa.array(ll.argmax(1), pa.int64())],
+                        [*(batch.schema.names[i] for i in kept), _LL, _N, _BEST],
+                    )
 
     return rows.mapInArrow(score, schema)
 
@@ -224,10 +234,10 @@ def identify(rows: DataFrame, model: TextModel, columns: Evidence, least: float
     }
     dressed = rows.select(*(F.col(f"`{c}`") for c in own), *(c.alias(n) for n, c in hidden.items()))
     facts = dressed.select(*hidden)
-    evidence = materialize(with_text_evidence(facts, model, "__text").drop("__text"), "evidence")
+    evidence = materialize(with_text_evidence(facts, model, "__text"), "evidence")
     declared, marker = (_confusion(evidence, c, languages) for c in ("__declared", "__marker"))
     priors = _priors(evidence, size).withColumnRenamed("__host", "__h")
-    scored = with_text_evidence(dressed, model, "__text").drop("__text")
+    scored = with_text_evidence(dressed, model, "__text")
     joined = scored.join(priors, F.col("__host") == F.col("__h"), "left").drop("__h")
 
     def table(name: str, values: dict[str, list[float]], k: int) -> Column:
@@ -266,8 +276,7 @@ def identify(rows: DataFrame, model: TextModel, columns: Evidence, least: float
 
 def accepted_rows(docs: DataFrame, model: TextModel, columns: Evidence, least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose language is accepted, with their columns as they were."""
-    wrapped = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *(F.col(f"`{c}`") for c in {
-        c for c in (columns.text, columns.declared, columns.marker, columns.host, columns.domain, columns.suffix) if c
-    }))
-    kept = identify(wrapped, model, columns, least).where("accepted")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    inside = Evidence(**{name: c and f"row.`{c}`" for name, c in asdict(columns).items()})  # no text goes along twice
+    kept = identify(rows, model, inside, least).where("accepted")
     return kept.select("row.*")
