@@ -1,12 +1,15 @@
 import random
 import string
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tillcast.llm.common import components
+from tillcast.llm import common
+from tillcast.llm.common import components, word_hashes
 from tillcast.llm.neardup import dart_signatures, deduplicated, near_duplicates, runs_of
 
 
@@ -101,6 +104,28 @@ def test_darts_agree_with_the_weighted_similarity(weighted):
     assert abs(error.mean()) < 0.01 and error.std() < 0.05
 
 
+def test_word_hashes_hold_little_beside_their_text(monkeypatch):
+    text = " ".join(f"word{i * i % 7919}" for i in range(200_000))
+    word_hashes([text])
+    common._POWERS.clear()
+    tracemalloc.start()
+    whole, bounds = word_hashes([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 * len(text) and list(bounds) == [0, 200_000]
+    monkeypatch.setattr(common, "BLOCK_BYTES", 100)
+    assert (word_hashes([text[: len(text) // 2], text[len(text) // 2 :]])[0][:90_000] == whole[:90_000]).all()
+    assert (common.span_hashes(np.arange(1 << 17, dtype=np.uint64), np.array([5]), np.array([9])) == common.span_hashes(np.arange(9, dtype=np.uint64), np.array([5]), np.array([9]))).all()
+
+
+def test_texts_come_out_of_a_column_in_bounded_parts(monkeypatch):
+    monkeypatch.setattr(common, "ROWS_AT_ONCE", 3)
+    texts = ["a", None, "", "b" * (common.CHUNK_BYTES + 1), "c", "d", "e" * common.CHUNK_BYTES, "f"]
+    parts = list(common.text_chunks(pa.array(texts)))
+    assert [t for _, _, some in parts for t in some] == texts and all(texts[a:b] == some for a, b, some in parts)
+    assert max(len(some) for _, _, some in parts) <= 3 and list(common.text_chunks(pa.array([], pa.string()))) == []
+
+
 def test_signatures_do_not_depend_on_the_batch():
     flat, bounds = runs_of(["a b c d e f g h", None, "", "a b c d e f g h", "one"])
     sig = dart_signatures(flat, np.ones(len(flat)), bounds, 50)

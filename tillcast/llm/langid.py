@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from tillcast.llm.common import chunks, forget
+from tillcast.llm.common import chunks, forget, give_back, text_chunks
 from tillcast.session import materialize
 
 LANGUAGES = ("en", "de", "fr", "es")
@@ -38,8 +38,6 @@ OTHER = "und"
 #: Different texts of each language that the text model is fitted on.
 SAMPLE = 500
 BUCKETS = 1 << 15
-#: Rows of a batch whose texts are taken out of it at once.
-ROWS_AT_ONCE = 1000
 EFFECTIVE = 60
 #: Rows that a level's smoothing towards the next level counts as.
 WEIGHT = 20.0
@@ -135,16 +133,14 @@ def with_text_evidence(rows: DataFrame, model: TextModel, text_col: str) -> Data
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         for batch in batches:
-            text = batch.column(text_col)
-            for start in range(0, len(text), ROWS_AT_ONCE):
-                some = text.slice(start, ROWS_AT_ONCE).to_pylist()
-                for a, b in chunks(some):
-                    ll, n = shared.value.evidence(some[a:b])
-                    yield pa.RecordBatch.from_arrays(
-                        [*(batch.column(i).slice(start + a, b - a) for i in kept),
-                         pa.array(ll.tolist(), pa.list_(pa.float64())), pa.array(n), pa.array(ll.argmax(1), pa.int64())],
-                        [*(batch.schema.names[i] for i in kept), _LL, _N, _BEST],
-                    )
+            for a, b, text in text_chunks(batch.column(text_col)):
+                ll, n = shared.value.evidence(text)
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(i).slice(a, b - a) for i in kept),
+                     pa.array(ll.tolist(), pa.list_(pa.float64())), pa.array(n), pa.array(ll.argmax(1), pa.int64())],
+                    [*(batch.schema.names[i] for i in kept), _LL, _N, _BEST],
+                )
+        give_back()
 
     return rows.mapInArrow(score, schema)
 

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tillcast.llm.common import as_long, chunks, components, forget, lists, mix, salted, shingles, word_hashes, wrapped
+from tillcast.llm.common import as_long, components, forget, give_back, lists, mix, salted, shingles, text_chunks, word_hashes, wrapped
 from tillcast.session import materialize
 
 WIDTH = 5
@@ -132,9 +132,8 @@ def signatures(texts: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: i
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         for batch in batches:
-            text = batch.column("text").to_pylist()
-            for a, b in chunks(text):
-                flat, bounds = runs_of(text[a:b], width)
+            for a, b, text in text_chunks(batch.column("text")):
+                flat, bounds = runs_of(text, width)
                 sig = dart_signatures(flat, np.ones(len(flat)), bounds, bands * rows)
                 n = np.diff(bounds)
                 keys = np.zeros((b - a, bands), np.uint64)
@@ -149,6 +148,7 @@ def signatures(texts: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: i
                      lists(as_long(flat_keys), np.concatenate([[0], np.cumsum(held)]), pa.int64())],
                     ["key", "n", "sketch", "buckets"],
                 )
+        give_back()
 
     return texts.select("key", "text").mapInArrow(sign, "key binary, n int, sketch binary, buckets array<long>")
 
@@ -180,13 +180,13 @@ def _runs_of_nodes(wanted: DataFrame, texts: DataFrame, width: int) -> DataFrame
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = batch.column("text").to_pylist()
-            for a, b in chunks(text):
-                flat, bounds = runs_of(text[a:b], width)
+            for a, b, text in text_chunks(batch.column("text")):
+                flat, bounds = runs_of(text, width)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("node").slice(a, b - a), lists((flat >> np.uint64(32)).astype(np.uint32).view(np.int32), bounds, pa.int32())],
                     ["node", "runs"],
                 )
+        give_back()
 
     once = texts.join(_small(materialize(wanted, "wanted")), "key").select("node", "text").mapInArrow(gather, "node long, runs array<int>")
     # copies of a text give the same runs; one of them is kept, combined before the shuffle
@@ -220,6 +220,7 @@ def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, sim
                 a, b = len(np.unique(a)), len(np.unique(b))
                 ok.append(common >= similarity * (a + b - common) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        give_back()
 
     return materialize(both.select("a", "b", "ra", "rb").mapInArrow(verify, "a long, b long"), "links")
 
