@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tillcast.llm import common
+from tillcast.llm import common, neardup
 from tillcast.llm.common import components, word_hashes
 from tillcast.llm.neardup import dart_signatures, deduplicated, near_duplicates, runs_of
 
@@ -74,6 +74,28 @@ def test_classes_match_brute_force(spark):
     assert len(wrong) <= 2 and found[503] == found[504] == 503 and found[505] == found[506] == 505 and found[508] == found[509] == 508
 
 
+def test_copies_far_from_the_middle_do_not_all_meet(spark, monkeypatch):
+    draw = random.Random(9)
+    word = lambda: "".join(draw.choices("abcdefgh", k=6))
+    base, texts = [word() for _ in range(100)], []
+    for i in range(400):
+        w = list(base)
+        for at in draw.sample(range(100), draw.choice([1, 2, 2, 3])):
+            w[at] = word()
+        texts.append((i, " ".join(w)))
+    for i in range(400, 440, 2):  # pairs that are links of each other, and of none else
+        w = list(base)
+        for at in draw.sample(range(100), 6):
+            w[at] = word()
+        texts += [(i, " ".join(w)), (i + 1, " ".join([*w, word()]))]
+    compared, links = [], neardup._links
+    monkeypatch.setattr(neardup, "_links", lambda pairs, *rest: compared.append(pairs.count()) or links(pairs, *rest))
+    found = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    want = brute(texts)
+    assert sum(found[i] != c for i, c in want.items()) <= 2 and all(found[i] == found[i + 1] for i in range(400, 440, 2))
+    assert sum(compared) < 20 * len(texts)
+
+
 def test_one_row_of_each_class_stays(spark):
     rows = [(1, "a b c d e f g", "x"), (1, "a b c d e f g", "x"), (2, "a b c d e f g", "y"), (3, "other text of its own here", "z"), (3, "third one that shares the id only", "z"),
             (4, None, "n"), (4, None, "n"), (None, "null id with some words in it", "q"), (5, "null id with some words in it", "r")]

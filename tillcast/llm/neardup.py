@@ -10,9 +10,9 @@ coordinate has a dart, so the work is proportional to the elements plus K log K.
 
 Equal texts are one node. Nodes that agree in a whole band of coordinates share a bucket.
 Instead of all pairs of a bucket, every member is compared with the bucket's middle, the node with the
-most bucket mates; whoever is then still in another component than the bucket's largest one is
-compared with the members of other components. A pair is left out only if it cannot be a link: two
-texts have no more runs in common than either of them shares with any text. So no link is lost
+most bucket mates; whoever is then still in another component than the bucket's largest one meets the
+members of other components by the rarest runs in which it differs from what most of them have. A pair
+meets in no run only if it cannot be a link, or if both are linked to the same node. So no link is lost
 that two bucket mates have, while a large group of copies costs its size and not its square. Pairs are screened by the agreement of their
 signatures, then verified by the exact similarity of their runs (32-bit hashes of them).
 
@@ -42,6 +42,8 @@ FIRST_CELL = 0.25
 SLACK = 0.16
 #: Rows up to which a list of ids is sent to every task: about 24 bytes a row.
 BROADCAST_ROWS = 2_000_000
+#: Allowance for sums of floats.
+EPSILON = 1e-9
 
 _POISSON: dict[float, np.ndarray] = {}
 
@@ -193,13 +195,48 @@ def _runs_of_nodes(wanted: DataFrame, texts: DataFrame, width: int) -> DataFrame
     return materialize(once.groupBy("node").agg(F.first("runs").alias("runs")), "runs")
 
 
-def _shared_runs(wanted: DataFrame, nodes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """(node, n, shared): the runs of a node, and how many of them another wanted node has too."""
-    runs = _runs_of_nodes(nodes.join(wanted, "node").select("node", "key"), texts, width)
-    each = runs.select("node", F.explode("runs").alias("run"))
-    twice = each.groupBy("run").agg(F.count("*").alias("n")).where("n > 1").select("run")
-    shared = each.join(twice, "run").groupBy("node").agg(F.count("*").alias("shared"))
-    return runs.select("node", F.size("runs").alias("n")).join(shared, "node", "left").fillna(0, ["shared"])
+def _meetings(mixed: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of different components among the rows (node, component, main) of one ``main`` that may be links.
+
+    The runs that more than half of a main's nodes have are its centre, D(x) those in which x and the centre differ.
+    Two nodes are a link if |D(x)| + |D(y)| - 2 |D(x) & D(y)| is at most k = (1 - s) / (1 + s) of
+    their runs, s the similarity. So with slack(x) = |D(x)| - k |x| all whose slacks add up to 0 or less are links, and linked
+    through the node of the least slack. All others share (slack(x) + slack(y)) / 2 runs of D or more, and
+    meet by the rarest ones: as many of each node as leave too few for a link behind them.
+    """
+    member = materialize(mixed.select("main", "node", "component").distinct(), "members")
+    runs = _runs_of_nodes(nodes.join(member.select("node").distinct(), "node").select("node", "key"), texts, width)
+    held = member.join(runs.select("node", F.array_distinct("runs").alias("runs")), "node")
+    often = held.select("main", F.explode("runs").alias("run")).groupBy("main", "run").agg(F.count("*").alias("n"))
+    sizes = member.groupBy("main").agg(F.count("*").alias("size"))
+    centres = often.join(sizes, "main").where("2 * n > size").groupBy("main").agg(F.collect_list("run").alias("centre"))
+    apart = held.join(centres, "main", "left").withColumn("centre", F.coalesce("centre", F.expr("array()")))
+    apart = materialize(apart.select(
+        "main", "node", "component", F.size("runs").alias("n"),
+        F.concat(F.array_except("runs", "centre"), F.array_except("centre", "runs")).alias("apart"),
+    ), "apart")
+    share = (1 - similarity) / (1 + similarity)
+    placed = apart.select("main", "node", "component", "n", (F.size("apart") - share * F.col("n")).alias("slack"))
+    best = placed.groupBy("main").agg(F.min(F.struct("slack", "node", "component")).alias("best"))
+    placed = placed.join(best, "main")
+    sure = placed.where(f"component <> best.component and slack + best.slack <= {EPSILON}").select(F.col("node").alias("x"), F.col("best.node").alias("y"))
+    # runs that no other node of the main has are shared with none
+    each = apart.select("main", "node", F.explode("apart").alias("run"))
+    rare = each.groupBy("main", "run").agg(F.count("*").alias("holders")).where("holders > 1")
+    order = each.join(rare, ["main", "run"]).groupBy("main", "node").agg(F.sort_array(F.collect_list(F.struct("holders", "run"))).alias("order"))
+    least = F.greatest(F.lit(1), F.ceil((F.col("slack") + F.col("best.slack")) / 2 - EPSILON))
+    firsts = placed.join(order, ["main", "node"]).withColumn("take", F.size("order") - least + 1).where("take > 0")
+    firsts = firsts.select("main", "node", "component", "n", "slack", F.size("order").alias("all"), F.posexplode(F.expr("slice(order, 1, cast(take as int))")))
+    firsts = materialize(firsts.select("main", "node", "component", "n", "slack", F.col("col.run").alias("run"), (F.col("all") - F.col("pos")).alias("left")), "firsts")
+    side = lambda x: firsts.select("main", "run", *(F.col(c).alias(f"{c}{x}") for c in ("node", "component", "n", "slack", "left")))
+    met = side("x").where("componentx <> main").join(side("y"), ["main", "run"]).where(
+        (F.col("componentx") != F.col("componenty")) & ((F.col("componenty") == F.col("main")) | (F.col("nodex") < F.col("nodey")))
+        & (F.least("nx", "ny") >= similarity * F.greatest("nx", "ny"))
+        # of the first run that they share on, both have enough left
+        & (F.least("leftx", "lefty") + EPSILON >= (F.col("slackx") + F.col("slacky")) / 2)
+    )
+    met = met.select(F.col("nodex").alias("x"), F.col("nodey").alias("y")).unionByName(sure)
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -244,26 +281,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     stars = members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     links = _links(stars, nodes, keyed, width, similarity)
     labels = components(links, "a", "b")
-    # whoever is outside its bucket's largest component meets the others there, unless the runs
-    # that it shares with anyone at all are too few for any link
+    # whoever is outside its bucket's largest component meets those there that may be a link
     placed = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
     parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("size"))
     largest = parts.groupBy("bucket").agg(F.max(F.struct("size", "component"))["component"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    mixed = materialize(placed.join(largest.drop("parts"), "bucket"), "mixed")
-    sized = mixed.join(_shared_runs(mixed.select("node").distinct(), nodes, keyed, width), "node")
-    sized = materialize(sized.join(nodes.select("node", "buckets"), "node"), "sized")
-    side = lambda x: sized.select(
-        "bucket", (F.col("component") != F.col("main")).alias(f"lone{x}"),
-        *(F.col(c).alias(f"{c}{x}") for c in ("node", "component", "n", "shared", "buckets")),
-    )
-    common = F.least("sharedx", "sharedy")  # no two of them can have more runs in common
-    met = side("x").where("lonex").join(side("y"), "bucket").where(
-        (F.col("componentx") != F.col("componenty")) & (~F.col("loney") | (F.col("nodex") < F.col("nodey")))
-        & (common + 1e-9 >= similarity * (F.col("nx") + F.col("ny") - common))
-        # the first of the buckets that two nodes share is the one where they meet
-        & (F.array_min(F.array_intersect("bucketsx", "bucketsy")) == F.col("bucket"))
-    ).select(F.col("nodex").alias("x"), F.col("nodey").alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = _links(met.join(stars, ["a", "b"], "left_anti"), nodes, keyed, width, similarity)
+    met = _meetings(placed.join(largest.drop("parts"), "bucket"), nodes, keyed, width, similarity)
+    known = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = _links(met.join(known, ["a", "b"], "left_anti"), nodes, keyed, width, similarity)
     if more.limit(1).count():
         labels = components(links.unionByName(more), "a", "b")
     named = materialize(
